@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from suite import basic, derived  # noqa: F401
+from suite import basic, derived, stats  # noqa: F401
 from suite.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
