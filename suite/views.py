@@ -41,8 +41,15 @@ STATES = ("none", "recovered", "mild", "moderate", "severe", "critical", "dead")
 DEATH_LIMIT, STAY_LIMIT, STAY_ORIGIN = 60, 21, -2
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Its schema is read from the footer once per path, later reads name it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _state(number):
