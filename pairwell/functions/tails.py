@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +20,15 @@ _REL_ERR = 1 + 1e-7
 
 
 @F.pandas_udf(T.DoubleType())
-def chi2_tail(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom; NaN stays NaN, NULL gives NULL."""
-    return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v >= 0 else float("nan")).where(x.notna())
+def _chi2_udf(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: math.erfc(math.sqrt(v / 2)), na_action="ignore")
+
+
+def chi2_tail(x) -> Column:
+    """Upper tail of chi-square with one degree of freedom; NaN stays NaN and NULL stays NULL."""
+    x = F.col(x) if isinstance(x, str) else x
+    # Arrow turns NaN into NULL on the way back, so both are settled here
+    return F.when(F.isnan(x), F.lit(float("nan"))).when(x.isNotNull(), _chi2_udf(x))
 
 
 def _support(row1: int, row2: int, col1: int, centre: float, spread: float) -> tuple[int, int]:
