@@ -16,8 +16,8 @@ def null_if(df: DataFrame, col: str, value) -> DataFrame:
     return df.withColumn(col, F.nullif(F.col(col), F.lit(value)))
 
 
-def recode(df: DataFrame, col: str, mapping: dict, null_to: str | None = None, out: str | None = None) -> DataFrame:
-    """Replace values by ``mapping``; values not listed pass through, NULL becomes ``null_to``.
+def recoded(col: str, mapping: dict, null_to: str | None = None) -> Column:
+    """Value of ``col`` replaced by ``mapping``; values not listed pass through, NULL becomes ``null_to``.
 
     A target of None makes the value missing.
     """
@@ -25,7 +25,12 @@ def recode(df: DataFrame, col: str, mapping: dict, null_to: str | None = None, o
     chain = F.when(text.isNull(), F.lit(null_to).cast("string"))
     for source, target in mapping.items():
         chain = chain.when(text == source, F.lit(target).cast("string"))
-    return df.withColumn(out or col, chain.otherwise(text))
+    return chain.otherwise(text)
+
+
+def recode(df: DataFrame, col: str, mapping: dict, null_to: str | None = None, out: str | None = None) -> DataFrame:
+    """Replace values of one column, see ``recoded``."""
+    return df.withColumn(out or col, recoded(col, mapping, null_to))
 
 
 def level_order(col, levels) -> Column:

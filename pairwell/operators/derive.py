@@ -35,12 +35,16 @@ ID = "subject_id"
 def tag_master(master: DataFrame, stays: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Apply the master rules in their order. ``hot`` are the hot subjects of ``master``, counted here if not given."""
     hot = hot or hot_keys(master, [ID])
-    out = Q.flag_duplicate_key(Q.with_empty_tags(master), ID, "index_date", C.TAG_DUPLICATE, hot)
-    out = Q.flag_missing_required(
-        out, {ID: C.TAG_NO_ID, "index_date": C.TAG_NO_INDEX, "sex_code": C.TAG_NO_SEX, "birth_year": C.TAG_NO_BIRTH}
-    )
     dated = stays.filter(F.col("death_date").isNotNull())
-    return Q.flag_missing_partner(out, F.col("ind_death") == "1", dated, ID, C.TAG_NO_DEATH_DATE, hot)
+    marked = Q.mark_duplicate_key(Q.with_empty_tags(master), ID, "index_date", "_dup", hot)
+    marked = Q.mark_known(marked, dated, ID, "_dated", hot)
+    missing = {ID: C.TAG_NO_ID, "index_date": C.TAG_NO_INDEX, "sex_code": C.TAG_NO_SEX, "birth_year": C.TAG_NO_BIRTH}
+    rules = [
+        (F.col("_dup"), C.TAG_DUPLICATE),
+        *[(F.col(c).isNull(), tag) for c, tag in missing.items()],
+        ((F.col("ind_death") == "1") & F.col("_dated").isNull(), C.TAG_NO_DEATH_DATE),
+    ]
+    return Q.flags(marked, rules).drop("_dup", "_dated")
 
 
 def tag_stays(
@@ -48,13 +52,18 @@ def tag_stays(
 ) -> DataFrame:
     """Apply the hospital-stay rules in their order. ``hot`` are the hot subjects of ``stays``."""
     hot = hot or hot_keys(stays, [ID])
-    out = Q.flag_conflicting_value(Q.with_empty_tags(stays), ID, "death_date", C.TAG_DIFF_DEATH, hot)
-    out = Q.flag_date_order(out, "arrival", "release_date", 0, C.TAG_RELEASE_ORDER)
-    out = Q.flag_date_order(out, "arrival", "death_date", cfg.min_days_to_death, C.TAG_DEATH_ARRIVAL)
-    clean = Q.without_tags(tagged_master)
-    return Q.flag_cross_table_order(
-        out, clean, ID, "index_date", "death_date", cfg.min_days_to_death, C.TAG_DEATH_INDEX, hot
-    )
+    least = cfg.min_days_to_death
+    marked = Q.mark_conflicting_value(Q.with_empty_tags(stays), ID, "death_date", "_diff", hot)
+    index = Q.without_tags(tagged_master).select(ID, F.col("index_date").alias("_index"))
+    # a subject with several untagged master rows repeats its stays, as a left join does
+    marked = attach(marked, index, [ID], "left", hot=hot)
+    rules = [
+        (F.col("_diff"), C.TAG_DIFF_DEATH),
+        (F.datediff("release_date", "arrival") < 0, C.TAG_RELEASE_ORDER),
+        (F.datediff("death_date", "arrival") < least, C.TAG_DEATH_ARRIVAL),
+        (F.datediff("death_date", "_index") < least, C.TAG_DEATH_INDEX),
+    ]
+    return Q.flags(marked, rules).drop("_diff", "_index")
 
 
 def index_rows(master: DataFrame, clean_first: bool = False) -> DataFrame:
@@ -161,15 +170,14 @@ def state_during(updates: DataFrame, base: DataFrame, pick: str, hot: HotKeys |
     return states_during(updates, base, hot).select(ID, f"{pick}_state")
 
 
-def with_state_default(base: DataFrame, col: str) -> DataFrame:
-    """Fill a missing state from the stay indicator."""
-    filled = (
-        F.when(F.col(col).isNotNull(), F.col(col))
-        .when(F.col("ind_hospitalized") == "1", F.lit("unknown"))
+def with_state_defaults(base: DataFrame, cols=("min_state", "max_state", "first_state")) -> DataFrame:
+    """Fill missing states from the stay indicator."""
+    from_indicator = (
+        F.when(F.col("ind_hospitalized") == "1", F.lit("unknown"))
         .when(F.col("ind_hospitalized") == "0", F.lit("not_hospitalized"))
         .otherwise(F.lit("hospitalization_unknown"))
     )
-    return base.withColumn(col, filled)
+    return base.withColumns({c: F.coalesce(F.col(c), from_indicator) for c in cols})
 
 
 def with_arm(base: DataFrame) -> DataFrame:
@@ -276,6 +284,4 @@ def subject_table(
         if bad:
             raise ValueError(f"subject {bad[0][0]!r} has {bad[0][1]} prior stays")
     base = base.drop("prior_n").join(states_during(updates, base, hot_updates), ID, "left")
-    for col in ("min_state", "max_state", "first_state"):
-        base = with_state_default(base, col)
-    return study_columns(base, cfg)
+    return study_columns(with_state_defaults(base), cfg)

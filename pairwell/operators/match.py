@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.operators.aggregate import CASE, CONTROL
-from pairwell.skew import RANK_ROWS, rank_within
+from pairwell.skew import rank_within
 
 # Ranks of one cell are joined to pair blocks in buckets of this many rows.
 RANK_BUCKET = 4096
@@ -117,7 +117,7 @@ def pair_blocks(cells: DataFrame, exact: list[str]) -> DataFrame:
 
 
 def match_nearest(
-    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass", max_rows: int = RANK_ROWS
+    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass", max_rows: int | None = None
 ) -> DataFrame:
     """Pair every treated subject with the nearest unused untreated one of the same stratum; unmatched rows drop out.
 

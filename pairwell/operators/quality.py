@@ -23,38 +23,52 @@ def flag(df: DataFrame, cond: Column, tag: str) -> DataFrame:
     return df.withColumn(ERR, F.concat(F.col(ERR), F.when(cond, F.lit(f" {tag}")).otherwise(F.lit(""))))
 
 
-def _flag_subjects(df: DataFrame, bad: DataFrame, id: str, tag: str, hot: HotKeys | None) -> DataFrame:
-    """Tag the rows of the subjects in ``bad`` (one row per subject)."""
-    marked = attach(df, bad.withColumn("_bad", F.lit(True)), [id], "left", null_safe=True, hot=hot)
-    return flag(marked, F.col("_bad"), tag).drop("_bad")
+def flags(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
+    """Append the tags of several rules in one projection, in the order given."""
+    parts = [F.when(cond, F.lit(f" {tag}")).otherwise(F.lit("")) for cond, tag in rules]
+    return df.withColumn(ERR, F.concat(F.col(ERR), *parts))
 
 
-def flag_duplicate_key(df: DataFrame, id: str, key: str, tag: str, hot: HotKeys | None = None) -> DataFrame:
-    """Tag every row of a subject that has some (id, key) pair twice. NULLs count as equal."""
+def mark_duplicate_key(df: DataFrame, id: str, key: str, mark: str, hot: HotKeys | None = None) -> DataFrame:
+    """Add ``mark``: true on every row of a subject that has some (id, key) pair twice. NULLs count as equal."""
     pairs = df.groupBy(id, key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    return _flag_subjects(df, pairs.select(id).distinct(), id, tag, hot)
+    bad = pairs.select(id).distinct().withColumn(mark, F.lit(True))
+    return attach(df, bad, [id], "left", null_safe=True, hot=hot)
 
 
-def flag_conflicting_value(df: DataFrame, id: str, col: str, tag: str, hot: HotKeys | None = None) -> DataFrame:
-    """Tag every row of a subject that has two different non-null values. A missing id is never tagged."""
+def mark_conflicting_value(df: DataFrame, id: str, col: str, mark: str, hot: HotKeys | None = None) -> DataFrame:
+    """Add ``mark``: true on every row of a subject with two different non-null values; never for a missing id."""
     spread = df.filter(F.col(id).isNotNull()).groupBy(id).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    return _flag_subjects(df, spread.filter("_lo < _hi").select(id), id, tag, hot)
+    bad = spread.filter("_lo < _hi").select(id, F.lit(True).alias(mark))
+    return attach(df, bad, [id], "left", hot=hot)
+
+
+def mark_known(df: DataFrame, other: DataFrame, id: str, mark: str, hot: HotKeys | None = None) -> DataFrame:
+    """Add ``mark``: true where the id occurs in ``other``. Missing ids count as equal."""
+    known = other.select(id).distinct().withColumn(mark, F.lit(True))
+    return attach(df, known, [id], "left", null_safe=True, hot=hot)
+
+
+def flag_duplicate_key(df: DataFrame, id: str, key: str, tag: str, hot: HotKeys | None = None) -> DataFrame:
+    """Tag every row of a subject that has some (id, key) pair twice."""
+    return flag(mark_duplicate_key(df, id, key, "_bad", hot), F.col("_bad"), tag).drop("_bad")
+
+
+def flag_conflicting_value(df: DataFrame, id: str, col: str, tag: str, hot: HotKeys | None = None) -> DataFrame:
+    """Tag every row of a subject that has two different non-null values."""
+    return flag(mark_conflicting_value(df, id, col, "_bad", hot), F.col("_bad"), tag).drop("_bad")
 
 
 def flag_missing_required(df: DataFrame, tags: dict[str, str]) -> DataFrame:
     """Tag rows where a required column is missing; ``tags`` maps column to tag, applied in order."""
-    for col, tag in tags.items():
-        df = flag(df, F.col(col).isNull(), tag)
-    return df
+    return flags(df, [(F.col(col).isNull(), tag) for col, tag in tags.items()])
 
 
 def flag_missing_partner(
     df: DataFrame, cond: Column, other: DataFrame, id: str, tag: str, hot: HotKeys | None = None
 ) -> DataFrame:
-    """Tag rows that meet ``cond`` but whose id does not occur in ``other``. Missing ids count as equal."""
-    known = other.select(id).distinct().withColumn("_known", F.lit(True))
-    marked = attach(df, known, [id], "left", null_safe=True, hot=hot)
-    return flag(marked, cond & F.col("_known").isNull(), tag).drop("_known")
+    """Tag rows that meet ``cond`` but whose id does not occur in ``other``."""
+    return flag(mark_known(df, other, id, "_known", hot), cond & F.col("_known").isNull(), tag).drop("_known")
 
 
 def flag_date_order(df: DataFrame, start: str, end: str, min_days: int, tag: str) -> DataFrame:

@@ -38,11 +38,12 @@ class HotKeys:
         return spark.createDataFrame(list(self.rows), T.StructType([*named, T.StructField("_salts", T.IntegerType())]))
 
 
-def hot_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> HotKeys:
+def hot_keys(df: DataFrame, keys: list[str], heavy_rows: int | None = None) -> HotKeys:
     """Count rows per key and fetch the heaviest ones. One job that reads the key columns only.
 
     Take it once from the raw table and hand it to every join on that key: later filters only make keys lighter.
     """
+    heavy_rows = heavy_rows or HEAVY_ROWS
     top = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -103,7 +104,7 @@ def attach(
 
 
 def rank_within(
-    df: DataFrame, keys: list[str], order: list[str], largest: int, out: str = "rank", max_rows: int = RANK_ROWS
+    df: DataFrame, keys: list[str], order: list[str], largest: int, out: str = "rank", max_rows: int | None = None
 ) -> DataFrame:
     """1-based row number inside each group of ``keys`` by ``order`` (unique inside a group).
 
@@ -113,7 +114,7 @@ def rank_within(
     the partitioned rows are written to the checkpoint folder before they are read twice.
     """
     by_order = [F.col(c) for c in order]
-    if largest <= max_rows:
+    if largest <= (max_rows or RANK_ROWS):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order)).cast("bigint"))
     parts = df.repartitionByRange(*[F.col(c) for c in keys], *by_order).withColumn("_part", F.spark_partition_id())
     parts = checkpointed(parts)

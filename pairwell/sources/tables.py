@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwell import config as C
 from pairwell.config import StudyConfig
-from pairwell.operators.clean import as_ordered, coerce, null_if, recode
+from pairwell.operators.clean import as_ordered, coerce, null_if, recode, recoded
 
 # File column -> name used by the operators.
 MASTER_COLUMNS = {
@@ -50,11 +50,14 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def clean_master(df: DataFrame, cfg: StudyConfig) -> DataFrame:
     out = null_if(df, "index_date", str(cfg.index_sentinel))
-    out = recode(out, "sex_code", cfg.sex_labels, out="sex")
-    out = recode(out, "ind_death", {}, null_to="0")
-    for col in ("within_5", "before_vaccine", "no_vaccine"):
-        if col in out.columns:
-            out = recode(out, col, YES, null_to="0")
+    yes_no = [c for c in ("within_5", "before_vaccine", "no_vaccine") if c in out.columns]
+    out = out.withColumns(
+        {
+            "sex": recoded("sex_code", cfg.sex_labels),
+            "ind_death": recoded("ind_death", {}, null_to="0"),
+            **{c: recoded(c, YES, null_to="0") for c in yes_no},
+        }
+    )
     if "death_reason" in out.columns:
         out = as_ordered(recode(out, "death_reason", cfg.death_reason_labels), "death_reason", C.DEATH_REASON_LEVELS)
     dates = [c for c in ("index_date", "first_dose_date", "second_dose_date") if c in out.columns]

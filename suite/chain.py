@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwell.operators.clean import as_ordered, recode
 from pairwell.operators.derive import index_rows, subject_table, tag_master, tag_stays
+from pairwell.session import checkpointed
 from pairwell.skew import HotKeys
 from suite import views as V
 from suite.views import CFG
@@ -22,21 +23,26 @@ def clean_stays(spark: SparkSession, sf: str) -> DataFrame:
     return V.stays(spark, sf).distinct()
 
 
-def tagged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, HotKeys]:
-    """Tagged master, tagged stays, and the hot subjects of the stays."""
+def tagged(spark: SparkSession, sf: str, keep: bool = False) -> tuple[DataFrame, DataFrame, HotKeys]:
+    """Tagged master, tagged stays, and the hot subjects of the stays.
+
+    ``keep`` writes the tagged master to the checkpoint folder, for callers that read it more than once.
+    """
     stays = clean_stays(spark, sf)
     master = tag_master(V.master(spark, sf), stays, V.hot_master(spark, sf))
+    if keep:
+        master = checkpointed(master)
     hot = V.hot_stays(spark, sf)
     return master, tag_stays(stays, master, CFG, hot), hot
 
 
 def base0(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, HotKeys]:
-    master, stays, hot = tagged(spark, sf)
+    master, stays, hot = tagged(spark, sf, keep=True)
     return index_rows(master), stays, hot
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    master, stays, hot = tagged(spark, sf)
+    master, stays, hot = tagged(spark, sf, keep=True)
     return subject_table(master, stays, clean_updates(spark, sf), CFG, "latest", hot, hot)
 
 

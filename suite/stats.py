@@ -214,9 +214,40 @@ def fisher_p(spark, sf):
     return _rounded(_tested(spark, sf), "fisher_p").select("age_group_narrow", "sex", "case_n", "control_n", "fisher_p")
 
 
-@query("fisher_or_ci")
+# bisection on the log odds ratio t: E[X | t] = a for the estimate, P(X >= a | t) = P(X <= a | t) = 0.025 for the bounds
+_FISHER_WEIGHTS = """fw AS MATERIALIZED (
+  SELECT age_group_narrow, sex, a, xs, list_transform(xs, lambda x: -lgamma(x + 1.0) - lgamma(a + c - x + 1.0) - lgamma(a + b - x + 1.0)
+           - lgamma(b + d - a - b + x + 1.0)) AS lw
+  FROM (SELECT *, control_n - control_event_n AS a, control_event_n AS b, case_n - case_event_n AS c, case_event_n AS d,
+          range(greatest(0, control_n - control_event_n - case_event_n), least(control_n + case_n - control_event_n - case_event_n, control_n) + 1) AS xs
+        FROM g) q)"""
+_FISHER_BISECT = """fb(k, age_group_narrow, sex, kind, lo, hi) AS (
+  SELECT 0, age_group_narrow, sex, kind, CAST(-30 AS DOUBLE), CAST(30 AS DOUBLE) FROM fw, (VALUES ('or'), ('lo'), ('hi')) v(kind)
+  UNION ALL
+  SELECT k + 1, age_group_narrow, sex, kind, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END
+  FROM (SELECT k, age_group_narrow, sex, kind, lo, hi, mid,
+          CASE kind WHEN 'or' THEN list_sum(list_transform(p, lambda v, i: v * xs[i])) / list_sum(p) < a
+            WHEN 'lo' THEN list_sum(list_transform(p, lambda v, i: CASE WHEN xs[i] >= a THEN v ELSE 0 END)) / list_sum(p) < 0.025
+            ELSE list_sum(list_transform(p, lambda v, i: CASE WHEN xs[i] <= a THEN v ELSE 0 END)) / list_sum(p) > 0.025 END AS below
+        FROM (SELECT *, list_transform(e, lambda v: exp(v - list_max(e))) AS p
+              FROM (SELECT fb.*, (fb.lo + fb.hi) / 2 AS mid, a, xs, list_transform(lw, lambda v, i: v + xs[i] * ((fb.lo + fb.hi) / 2)) AS e
+                    FROM fb JOIN fw ON fw.age_group_narrow = fb.age_group_narrow AND fw.sex = fb.sex WHERE k < 60) x) y) z)"""
+
+
+@query(
+    "fisher_or_ci",
+    """SELECT fw.age_group_narrow, fw.sex,
+         CASE WHEN a = xs[1] THEN 0.0 WHEN a = xs[len(xs)] THEN CAST('Infinity' AS DOUBLE) ELSE round(exp(o.lo), 6) END AS fisher_or,
+         CASE WHEN a = xs[1] THEN 0.0 ELSE round(exp(l.lo), 6) END AS fisher_lo,
+         CASE WHEN a = xs[len(xs)] THEN CAST('Infinity' AS DOUBLE) ELSE round(exp(h.lo), 6) END AS fisher_hi
+       FROM fw JOIN fb o ON o.age_group_narrow = fw.age_group_narrow AND o.sex = fw.sex AND o.kind = 'or' AND o.k = 60
+       JOIN fb l ON l.age_group_narrow = fw.age_group_narrow AND l.sex = fw.sex AND l.kind = 'lo' AND l.k = 60
+       JOIN fb h ON h.age_group_narrow = fw.age_group_narrow AND h.sex = fw.sex AND h.kind = 'hi' AND h.k = 60""",
+    (_GROUPS, _FISHER_WEIGHTS, _FISHER_BISECT),
+)
 def fisher_or_ci(spark, sf):
-    return _tested(spark, sf).select("age_group_narrow", "sex", "fisher_or", "fisher_lo", "fisher_hi")
+    rows = _rounded(_tested(spark, sf), "fisher_or", "fisher_lo", "fisher_hi", digits=6)
+    return rows.select("age_group_narrow", "sex", "fisher_or", "fisher_lo", "fisher_hi")
 
 
 _PAIR_COUNTS = """mc AS (SELECT a.age_group_narrow, COUNT(*) FILTER (WHERE a.ind_death = '1' AND b.ind_death = '0') AS case_only,
@@ -493,9 +524,48 @@ def _coefficients(pair, digits=6):
     return _rounded(pair[0], "estimate", "std_error", "z", "p", digits=digits)
 
 
-@query("poisson_additive")
+# a main-effects Poisson model of categories is fitted by scaling the margins in turn
+_SCALED = (
+    """cell_totals AS (SELECT arm, age_group, sex, SUM(n) AS n, SUM(n * y) AS tot FROM cells GROUP BY ALL)""",
+    """scaled(k, arm, age_group, sex, n, tot, mu) AS (
+         SELECT 0, arm, age_group, sex, CAST(n AS DOUBLE), CAST(tot AS DOUBLE), CAST(n AS DOUBLE) FROM cell_totals
+         UNION ALL
+         SELECT k + 1, arm, age_group, sex, n, tot,
+           mu * SUM(tot) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN arm WHEN 1 THEN age_group ELSE sex END)
+              / SUM(mu) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN arm WHEN 1 THEN age_group ELSE sex END)
+         FROM scaled WHERE k < 300)""",
+    """rates AS (SELECT arm, age_group, sex, ln(mu / n) AS r FROM scaled WHERE k = 300)""",
+)
+
+
+def _additive_sql() -> str:
+    at = lambda a, b, c: f"(SELECT r FROM rates WHERE arm = '{a}' AND age_group = '{b}' AND sex = '{c}')"
+    base = at("0", "12-54", "female")
+    others = {
+        "arm=1": at("1", "12-54", "female"),
+        "age_group=55-64": at("0", "55-64", "female"),
+        "age_group=65+": at("0", "65+", "female"),
+        "sex=male": at("0", "12-54", "male"),
+    }
+    parts = [f"SELECT '(Intercept)' AS term, round({base}, 6) AS estimate"]
+    parts += [f"SELECT '{name}', round({cell} - {base}, 6)" for name, cell in others.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("poisson_additive", _additive_sql(), (_CELLS, *_SCALED))
 def poisson_additive(spark, sf):
-    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS))
+    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS)).select("term", "estimate")
+
+
+@query(
+    "poisson_fit",
+    """SELECT CAST(SUM(c.n) AS BIGINT) AS n_rows,
+         round(2 * SUM(c.n * (CASE WHEN y > 0 THEN y * (ln(y) - r) ELSE 0 END - (y - exp(r)))), 5) AS deviance
+       FROM cells c JOIN rates q ON q.arm = c.arm AND q.age_group = c.age_group AND q.sex = c.sex""",
+    (_CELLS, *_SCALED),
+)
+def poisson_fit(spark, sf):
+    return _rounded(fit_poisson(_cells(spark, sf), _FACTORS)[1], "deviance", digits=5).select("n_rows", "deviance")
 
 
 def _saturated_sql() -> str:
@@ -637,7 +707,7 @@ _ISOLATION = "isolation AS (SELECT event_type AS fever, CAST(strftime(ts, '%Y%m%
 
 @query("params_table", _params_sql(), (*K.TAGS, _ISOLATION))
 def params_table(spark, sf):
-    master, stays, _ = K.tagged(spark, sf)
+    master, stays, _ = K.tagged(spark, sf, keep=True)
     events = V.table(spark, sf, "events").select(
         F.col("event_type").alias("new_fever"), F.date_format("ts", "yyyyMMdd").cast("int").alias("isolationstartdaykey")
     )
@@ -647,7 +717,7 @@ def params_table(spark, sf):
         "monitoring": V.updates(spark, sf),
         "quarantine": renamed(events, {"new_fever": "fever", "isolationstartdaykey": "isolation_day_key"}),
     }
-    return R.params_table(CFG, sources, checkpointed(master), checkpointed(stays))
+    return R.params_table(CFG, sources, master, stays)
 
 
 def _demographic_sql() -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.config import StudyConfig
-from pairwell.operators.clean import as_ordered, null_if, recode
+from pairwell.operators.clean import as_ordered, null_if, recode, recoded
 from pairwell.skew import HotKeys, hot_keys
 
 CFG = StudyConfig(
@@ -247,10 +247,13 @@ STUDY = """study AS (
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subject_rows`` cleaned: distinct, sentinel to NULL, codes recoded."""
     out = null_if(subject_rows(spark, sf_dir).distinct(), "index_date", CFG.index_sentinel)
-    out = recode(out, "sex_code", CFG.sex_labels, out="sex")
-    out = recode(out, "ind_death", {}, null_to="0")
-    for col in ("within_5", "no_vaccine"):
-        out = recode(out, col, {"Y": "1"}, null_to="0")
+    out = out.withColumns(
+        {
+            "sex": recoded("sex_code", CFG.sex_labels),
+            "ind_death": recoded("ind_death", {}, null_to="0"),
+            **{c: recoded(c, {"Y": "1"}, null_to="0") for c in ("within_5", "no_vaccine")},
+        }
+    )
     return as_ordered(recode(out, "death_reason", CFG.death_reason_labels), "death_reason",
                       ("negative", "other", "suspect", "positive"))
 
