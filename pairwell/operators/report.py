@@ -105,6 +105,7 @@ def params_table(
 
     ``sources`` are the raw frames under ``master``, ``hospitalizations``, ``monitoring`` and ``quarantine``.
     """
+    # The descriptions, spelled as the parameter table prints them.
     spark = tagged_master.sparkSession
     limits = _pairs(
         spark,
@@ -193,6 +194,7 @@ def demographic_table(base: DataFrame, pre: DataFrame, study: DataFrame, cfg: St
         percent_of(F.col(f"{n}_1"), F.col(f"{n}_g")),
         percent_of(F.col(f"{n}_0"), F.col(f"{n}_g")),
     )
+    # The descriptions, spelled as the demographic table prints them.
     head = f"Complete non-confilicted cases aged {cfg.min_age}+ during"
     names = [f"{head} {a} - {b}" for a, b in periods]
     rows = _arm_counts(base, inside).select(F.inline(F.array(*[line(f"p{i}", d) for i, d in enumerate(names)])))

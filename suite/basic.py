@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ def _scratch(spark, name: str) -> str:
     """A new folder for a round trip: under the shared checkpoint folder if the cluster names one, else local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{tempfile.mkdtemp()[-8:]}"
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{tempfile.mkdtemp(prefix='pairwell-')}/{name}"
 
 
