@@ -176,6 +176,21 @@ def match_nearest(
     return ranked.join(spans, on, "inner").select(*df.columns, name.alias(out))
 
 
+def match_summary(before: DataFrame, after: DataFrame, arm: str) -> DataFrame:
+    """Subjects per arm before matching, matched, and left over."""
+    sizes = lambda df, name: df.agg(
+        F.count_if(F.col(arm) == CONTROL).alias(f"{name}_0"), F.count_if(F.col(arm) == CASE).alias(f"{name}_1")
+    )
+    both = sizes(before, "all").unionByName(sizes(after, "matched"), allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    line = lambda name, control, case: F.struct(
+        F.lit(name).alias("sample"), control.alias("control_n"), case.alias("case_n")
+    )
+    all0, all1, m0, m1 = (F.col(c) for c in ("all_0", "all_1", "matched_0", "matched_1"))
+    lines = F.array(line("all", all0, all1), line("matched", m0, m1), line("unmatched", all0 - m0, all1 - m1))
+    return row.select(F.inline(lines))
+
+
 def balance(
     before: DataFrame, after: DataFrame, arm: str, numeric: list[str], categorical: list[str], threshold: float = 0.1
 ) -> DataFrame:

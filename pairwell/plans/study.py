@@ -11,7 +11,7 @@ from pairwell.config import STATUS_LEVELS, StudyConfig
 from pairwell.operators.clean import dedupe_rows
 from pairwell.operators.cohort import attrition, censor_at, cohort, complete_pairs_cohort, subcohort_with_partners
 from pairwell.operators.derive import ID, subject_table, tag_master, tag_stays
-from pairwell.operators.match import balance, match_nearest, propensity
+from pairwell.operators.match import balance, match_nearest, match_summary, propensity
 from pairwell.operators.models import fit_negbin, fit_poisson, model_cells
 from pairwell.operators.outcome import ALL_GROUPINGS, BASIC_GROUPINGS, outcome_summary
 from pairwell.operators.quality import without_tags
@@ -59,6 +59,7 @@ class Study:
             "params": params_table(cfg, self.sources, self.master, self.stays),
             "demographic": demographic_table(self.base, self.pre, study, cfg),
             "attrition": attrition(self.base, cfg),
+            "match_summary": match_summary(self.pre, study, "arm"),
             "balance": balance(
                 self.pre.withColumn("index_day", F.unix_date("index_date")),
                 study.withColumn("index_day", F.unix_date("index_date")),

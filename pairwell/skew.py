@@ -74,7 +74,8 @@ def attach(
 
     ``how`` is ``left`` or ``inner``. ``condition(l, r)`` may add a range predicate; ``l(name)`` and ``r(name)`` give
     the columns of the two sides. Without ``hot`` the keys of ``left`` are counted here. The salt is a function of the
-    row's content, so a task that is run again places its rows as before.
+    row's content and the number of its input partition: a task that is run again places its rows as before, and
+    copies of one row that were read by different tasks are spread.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
@@ -91,7 +92,7 @@ def attach(
     if hot.rows:
         heavy = F.broadcast(hot.frame(left.sparkSession, [left.schema[k] for k in keys]))
         listed = [f"_h_{k}" for k in keys]
-        salt = F.pmod(F.xxhash64(*names), F.col("_salts")).cast("int")
+        salt = F.pmod(F.xxhash64(*names, F.spark_partition_id()), F.col("_salts")).cast("int")
         left = left.join(heavy, _match(keys, listed, True), "left").select(
             *names, F.coalesce(salt, F.lit(0)).alias("_salt")
         )

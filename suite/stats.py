@@ -9,7 +9,7 @@ from pairwell.operators import report as R
 from pairwell.operators.aggregate import conditional_counts
 from pairwell.operators.inference import fisher_exact, mcnemar, mcnemar_statistic
 from pairwell.operators.joins import pair_wide
-from pairwell.operators.match import balance, match_nearest, propensity
+from pairwell.operators.match import balance, match_nearest, match_summary, propensity
 from pairwell.operators.models import fit_negbin, fit_poisson, model_cells
 from pairwell.operators.outcome import ALL_GROUPINGS, BASIC_GROUPINGS, outcome_counts, outcome_summary, with_tests
 from pairwell.operators.survival import at_risk, event_table, km_curve, km_from_table, logrank_from_table, with_logrank_p
@@ -374,6 +374,21 @@ def balance_table(spark, sf):
     return _rounded(out, "diff_before", "diff_after")
 
 
+@query(
+    "match_summary",
+    """SELECT 'all' AS sample, a0 AS control_n, a1 AS case_n FROM sizes UNION ALL SELECT 'matched', m0, m1 FROM sizes
+       UNION ALL SELECT 'unmatched', a0 - m0, a1 - m1 FROM sizes""",
+    (
+        _HOSP,
+        """sizes AS (SELECT (SELECT COUNT(*) FROM study WHERE arm = '0') AS a0, (SELECT COUNT(*) FROM study WHERE arm = '1') AS a1,
+             (SELECT COUNT(*) FROM hosp WHERE arm = '0') AS m0, (SELECT COUNT(*) FROM hosp WHERE arm = '1') AS m1)""",
+    ),
+)
+def match_summary_query(spark, sf):
+    study = V.study(spark, sf).select("subject_id", "subclass", "arm", "ind_hospitalized")
+    return match_summary(study, H.complete_pairs_cohort(study), "arm")
+
+
 @query("matched_outcome")
 def matched_outcome(spark, sf):
     """Subject chain, propensity score, pairing and outcome table in one go."""
