@@ -2,7 +2,6 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from pairwell.operators.joins import pair_wide
 from pairwell.operators.match import balance, match_nearest, propensity

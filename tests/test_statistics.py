@@ -3,7 +3,6 @@ from math import comb
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pairwell.functions.tails import chi2_tail, fisher_one
 from pairwell.operators.aggregate import quantiles_by
