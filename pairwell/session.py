@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +23,51 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pai
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local run without one gets a temporary folder.
+    Only a local run without either gets a temporary folder; anything else raises.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder")
-            folder = tempfile.mkdtemp(prefix="pairwell-ckpt-")
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pairwell-shared-")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path for a new table or spool below the shared folder; nothing is created."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: lineage is cut, and no executor's loss undoes it."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove folders made by :func:`new_folder`, whatever file system they are on."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard_stored(*frames: DataFrame) -> None:
+    """Remove the folders of frames made by :func:`stored` that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            discard(df.sparkSession, folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder with ``checkpoint()`` and cut its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
