@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import bpe, digests, quality, shards, token_counts, topk, warc
+from pairwell.llm import bpe, digests, lattice, quality, shards, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins, where SQL can express the operator; the other queries are tested against brute force.
@@ -45,6 +45,14 @@ FROM g
 """
 
 
+@query
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; every seventh by the CRC of its id is held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; the digests are of the ids as little-endian 32-bit integers, and of the decoded text."""
