@@ -8,7 +8,7 @@ that pair; only pairs next to a merge are looked up again. Words without a pair
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -140,28 +140,46 @@ def decode_batch(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[st
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+class Coded(NamedTuple):
+    """The ids of a run of texts: those of text i are ``ids[offsets[i]:offsets[i + 1]]``."""
+
+    vocabulary: Vocabulary
+    ids: np.ndarray
+    offsets: np.ndarray
+
+    def lists(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), pa.array(self.ids.astype(np.int32)))
+
+    def texts(self) -> list[str]:
+        return decode_batch(self.vocabulary, self.ids, self.offsets)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with a column ``ids`` (array<int>): the token ids of the whole ``text``, special strings in it as their own ids.
+def transcode(docs: DataFrame, path: str, columns: dict[str, tuple[str, Callable[[Coded], pa.Array | list]]], text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with columns made from the ids of the whole ``text``: name -> (type, function of the ids of a run of texts).
 
-    A null or empty text has no ids. Every other column passes through as it is; one that is called like ``ids`` is replaced. Rows are independent, so
-    repeated rows give repeated results. Memory: a batch of at most ``batch_bytes`` of text, or of one longer text.
+    One pass over the rows: what is made from the ids or from the text they decode to needs no second one. A null or empty text has no ids. Every other
+    column passes through as it is; one that is called like a made one is replaced. Rows are independent, so repeated rows give repeated results and an
+    empty table gives none. Memory: a batch of at most ``batch_bytes`` of text, or of one longer text.
     """
-    kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(*kept).withColumn(ids, F.array(F.lit(0))).schema
+    kept = [c for c in docs.columns if c not in columns]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema], *[f"`{c}` {kind}" for c, (kind, _) in columns.items()]])
+    inputs = kept if text in kept else [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
             data, offsets = column_bytes(batch.column(text))
             for a, b in by_bytes(offsets, batch_bytes):
-                found, ends = encode_batch(v, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], _lists(found, ends)], [*kept, ids])
+                coded = Coded(v, *encode_batch(v, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                made = [f(coded) for _, f in columns.values()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], *[x if isinstance(x, pa.Array) else pa.array(x) for x in made]], [*kept, *columns])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*inputs).mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with a column ``ids`` (array<int>), as :func:`transcode` makes it; special strings in a text are their own ids."""
+    return transcode(docs, path, {ids: ("array<int>", Coded.lists)}, text)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded", batch_ids: int = 1 << 20) -> DataFrame:

@@ -5,21 +5,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from pairwell.llm.bpe import Coded
 
-def _sha256(lists: pa.Array) -> pa.Array:
-    offsets = lists.offsets.to_numpy()
-    raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
-    return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
 
+def ids_sha256(coded: Coded) -> list[str]:
+    """Of each text, lower-case hex SHA-256 of its ids as little-endian unsigned 32-bit integers."""
+    raw = memoryview(np.ascontiguousarray(coded.ids.astype("<u4"))).cast("B")
+    at = coded.offsets.tolist()
+    return [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
-def ids_sha256(ids: str) -> Column:
-    """Lower-case hex SHA-256 of an array<int> column as little-endian unsigned 32-bit integers."""
 
-    def digest(lists: pa.Array) -> pa.Array:
-        return _sha256(lists)
-
-    return F.arrow_udf(digest, "string")(F.col(ids))
+def decoded_sha256(coded: Coded) -> list[str]:
+    """Of each text, lower-case hex SHA-256 of what its ids decode to, in UTF-8."""
+    return [hashlib.sha256(x.encode()).hexdigest() for x in coded.texts()]

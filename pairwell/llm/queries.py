@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,13 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; the digests are of the ids as little-endian 32-bit integers, and of the decoded text."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    columns = {
+        "n_tokens": ("long", lambda coded: np.diff(coded.offsets)),
+        "ids_sha256": ("string", digests.ids_sha256),
+        "decoded_sha256": ("string", digests.decoded_sha256),
+    }
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digests.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.transcode(docs, public_tokenizers.path("byte_bpe_50k.json"), columns).drop("text")
 
 
 @query
