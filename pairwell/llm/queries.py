@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import bpe, digests, lattice, quality, shards, token_counts, topk, warc
+from pairwell.llm import bpe, digests, lattice, ngram_join, quality, shards, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins, where SQL can express the operator; the other queries are tested against brute force.
@@ -46,6 +46,12 @@ FROM g
 """
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the group that links of Jaccard 0.9 on 3-word shingles put them in."""
+    return ngram_join.linked_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; every seventh by the CRC of its id is held out."""
