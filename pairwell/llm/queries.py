@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import bpe, digests, lattice, leaks, ngram_join, quality, shards, token_counts, topk, warc
+from pairwell.llm import bpe, digests, lattice, leaks, ngram_join, quality, shards, token_counts, topk, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins, where SQL can express the operator; the other queries are tested against brute force.
@@ -80,6 +80,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by lists that were in force when they were fetched.
+
+    The tables have neither lists nor fetch times. Both are derived from the pages: page n was fetched n days, counted round 3,000, after 2015-01-01;
+    of the hosts, every third by hash entered a list of sites, left it later, and entered it again, and first path parts of every second are on a list
+    of allowed places from a day of their own.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2015-01-01").cast("date")
+    captures = pages.withColumn("fetched", F.date_add(start, (F.col("page_id") % 3000).cast("int")))
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1).alias("part")).where("host is not null").distinct()
+    mark = lambda column: F.crc32(column.cast("binary"))
+    sites = hosts.select("host").distinct().where(mark(F.col("host")) % 3 < 2).withColumn("d", (mark(F.col("host")) % 1000).cast("int"))
+    events = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), (F.col("d") + k).alias("after")) for a, k in (("add", 0), ("remove", 700), ("add", 1500))]))
+    blocks = sites.select(F.lit("sites").alias("list"), F.col("host").alias("rule"), F.lit("block").alias("verdict"), events.alias("e")).select("list", "rule", "verdict", "e.action", F.date_add(start, F.col("e.after")).alias("day"))
+    places = hosts.where("part <> ''").select(F.concat_ws("/", "host", "part").alias("rule"))
+    places = places.where(mark(F.col("rule")) % 2 == 0)
+    allows = places.select(F.lit("places").alias("list"), "rule", F.lit("allow").alias("verdict"), F.lit("add").alias("action"), F.date_add(start, (mark(F.col("rule")) % 2000).cast("int")).alias("day"))
+    return url_lists.judged(captures, blocks.unionByName(allows))
+
+
 @query
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every vector whose id is divisible by 50, against all rows."""
