@@ -12,6 +12,7 @@ candidate links between two groups only as many are verified as it takes to join
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -173,12 +174,17 @@ class _Links:
         return stored(found.groupBy("v").agg(F.min("text").alias("text")), "join-texts")
 
     def add(self, candidates: DataFrame) -> None:
-        """Verify candidate pairs (a, b) as far as groups may be joined by them."""
+        """Verify candidate pairs (a, b) as far as groups may be joined by them.
+
+        Two rounds take one pair for each class, to its neighbour in the group with the smallest label, and then all that still run between two groups
+        are verified: near misses, mostly.
+        """
         texts, left = None, stored(candidates.distinct(), "join-candidates")
-        while True:
+        for number in itertools.count():
             cross = self.labelled(left).where("la <> lb")
             ends = cross.select(F.col("a").alias("v"), "a", "b", F.col("lb").alias("other")).union(cross.select(F.col("b").alias("v"), "a", "b", F.col("la").alias("other")))
-            picked = stored(ends.groupBy("v").agg(F.min(F.struct("other", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "join-picked")
+            star = ends.groupBy("v").agg(F.min(F.struct("other", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+            picked = stored(star if number < 2 else cross.select("a", "b"), "join-picked")
             if not picked.limit(1).count():
                 break
             if texts is None:
