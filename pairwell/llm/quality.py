@@ -39,9 +39,9 @@ def features(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray,
     """
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    # One blank after every text keeps words of neighbours apart.
-    flat = np.insert(data, ends, 0x20)
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])) + 1)
+    # A blank before and after every text: its first and last words have edges of their own.
+    flat = np.insert(data, np.sort(np.concatenate([[0], ends[:-1], ends])), 0x20)
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])) + 2)
     blank = _BLANK[flat]
     value = np.where(blank, 0, flat.astype(np.uint32) + 1)
     shift = np.uint32(32 - bits)
