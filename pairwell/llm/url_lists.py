@@ -18,7 +18,7 @@ OPEN = "9999-12-31"
 
 def host_of(url: Column) -> Column:
     """The host of a url with a scheme, in lower case, without user, port and final dot; null if there is none."""
-    host = F.rtrim(F.lit("."), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)", 2)))
+    host = F.rtrim(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)", 2)), F.lit("."))
     return F.when(host != "", host)
 
 
