@@ -176,15 +176,15 @@ class _Links:
     def add(self, candidates: DataFrame) -> None:
         """Verify candidate pairs (a, b) as far as groups may be joined by them.
 
-        Two rounds take one pair for each class, to its neighbour in the group with the smallest label, and then all that still run between two groups
-        are verified: near misses, mostly.
+        The first round takes one pair for each class, to its neighbour in the group with the smallest label; then all that still run between two
+        groups are verified: near misses, mostly.
         """
         texts, left = None, stored(candidates.distinct(), "join-candidates")
         for number in itertools.count():
             cross = self.labelled(left).where("la <> lb")
             ends = cross.select(F.col("a").alias("v"), "a", "b", F.col("lb").alias("other")).union(cross.select(F.col("b").alias("v"), "a", "b", F.col("la").alias("other")))
             star = ends.groupBy("v").agg(F.min(F.struct("other", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-            picked = stored(star if number < 2 else cross.select("a", "b"), "join-picked")
+            picked = stored(star if not number else cross.select("a", "b"), "join-picked")
             if not picked.limit(1).count():
                 break
             if texts is None:
@@ -228,7 +228,8 @@ class _Links:
 def _compared(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
 
-    ``members``: token, rid, n, full, label, bitmap. Pairs of one group are left out.
+    ``members``: token, rid, n, full, label, bitmap, lists (the first three lists that the member is in). Pairs of one group are left out. Two members
+    may meet in many lists; if they have one of their first three in common, only the first such list returns them.
     """
     counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("full"), 1)).alias("q"), F.countDistinct("label").alias("groups")).where("q > 0 and groups > 1")
     cut = counts.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("q") / BLOCK).cast("int").alias("rows"))
@@ -236,14 +237,18 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
     block = F.xxhash64("rid")
     col = rows.withColumn("j", F.pmod(block, F.col("cols")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     row = rows.where("full").withColumn("i", F.pmod(block, F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-    keep = ["token", "i", "j", "rid", "n", "label", "bitmap"]
+    keep = ["token", "i", "j", "rid", "n", "label", "bitmap", "lists"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def side(t: pa.Table) -> tuple:
             maps = [np.frombuffer(x, np.uint64) for x in t.column("bitmap").to_pylist()]
-            return t.column("rid").to_numpy(), t.column("n").to_numpy(), t.column("label").to_numpy(), maps, np.array([len(m) for m in maps], np.int64)
+            first = np.array([[*x, *[None] * 3][:3] for x in t.column("lists").to_pylist()], object).reshape(len(maps), 3)
+            known = first != None  # noqa: E711
+            lists = np.where(known, first, 0).astype(np.int64)
+            return t.column("rid").to_numpy(), t.column("n").to_numpy(), t.column("label").to_numpy(), maps, np.array([len(m) for m in maps], np.int64), lists, known
 
-        (ra, na, la, ma, wa), (rb, nb, lb, mb, wb) = side(left), side(right)
+        (ra, na, la, ma, wa, fa, ka), (rb, nb, lb, mb, wb, fb, kb) = side(left), side(right)
+        here = left.column("token")[0].as_py() if len(ra) else 0
         a_out, b_out = [], []
         for w in np.unique(wb).tolist() if len(wb) else []:
             mine = np.flatnonzero(wb == w)
@@ -258,6 +263,9 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
                 elif wa[i] < w:
                     y = np.bitwise_xor.reduce(y.reshape(len(y), -1, wa[i]), axis=1)
                 hit = at[np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na[i] + nb[at]) * (100 - percent)]
+                common = (fa[i][None, :, None] == fb[hit][:, None, :]) & ka[i][None, :, None] & kb[hit][:, None, :]
+                least = np.where(common.any(axis=2), fa[i][None, :], np.iinfo(np.int64).max).min(axis=1)
+                hit = hit[~common.any(axis=(1, 2)) | (least == here)]
                 a_out.append(np.minimum(ra[i], rb[hit]))
                 b_out.append(np.maximum(ra[i], rb[hit]))
         empty = np.zeros(0, np.int64)
@@ -267,7 +275,7 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
     return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "a long, b long").where("a < b")
 
 
-def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", list_limit: int = 24) -> DataFrame:
+def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", list_limit: int = 16) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Words are runs of characters other than ASCII white space, A-Z lowered; a text's set is its distinct ``size``-word n-grams, or its whole word
@@ -284,16 +292,16 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     p = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     grams = classes.select("rid", "n", F.posexplode("window").alias("pos", "token"))
     shared = stored(grams.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "join-shared")
-    posts = stored(grams.join(shared, "token"), "join-posts")
-    costly = posts.where(F.col("f") > list_limit).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("costly"))
+    posts = stored(grams.join(shared, "token").select("token", "rid", "n", "pos", (F.col("f") > list_limit).alias("dear")), "join-posts")
+    costly = posts.where("dear").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("costly"))
     rows = posts.join(costly, "rid", "left").withColumn("costly", F.coalesce("costly", F.array().cast("array<struct<pos:int,token:bigint>>"))).withColumn("p", p)
     before = F.size(F.filter("costly", lambda x: x["pos"] < F.col("pos")))
     cheap = F.least("n", F.floor(3 * F.col("p") / 2) + 8) - F.size("costly")
     rows = rows.withColumn("full", cheap < F.col("p")).withColumn("member", F.when(F.col("full"), F.col("pos") < F.col("p")).otherwise(F.col("pos") - before < F.col("p")))
-    members = stored(rows.where("member").select("token", "rid", "n", "f", "full", F.size("costly").alias("costly")), "join-members")
+    members = stored(rows.where("member").select("token", "rid", "n", "dear", "full", F.size("costly").alias("costly")), "join-members")
     # What a class's own prefix asks for: m, and its costly n-grams in it.
-    met = members.where(F.col("f") > list_limit).groupBy("rid").agg(F.collect_list("token").alias("met"), F.first("full").alias("full"))
-    met = met.select("rid", "met", F.when(F.col("full"), 1).otherwise(F.size("met") + 1).alias("m"))
+    met = members.where("dear").groupBy("rid").agg(F.collect_list("token").alias("met"), F.first("full").alias("full"))
+    met = met.select("rid", F.sort_array("met").alias("met"), F.when(F.col("full"), 1).otherwise(F.size("met") + 1).alias("m"))
     about = classes.select("rid", "n", "bitmap").join(met, "rid", "left").select("rid", "n", "bitmap", F.coalesce("met", F.array().cast("array<bigint>")).alias("met"), F.coalesce("m", F.lit(1)).alias("m"))
     about = stored(about, "join-about")
 
@@ -303,17 +311,17 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
         enough = F.col("c") + F.size(F.array_intersect("met_a", "met_b")) >= F.least("m_a", "m_b")
         return pairs.where(enough).where(_may_link(percent, F.col("n_a"), F.col("n_b"), "bitmap_a", "bitmap_b")).select("a", "b")
 
-    light = members.where(F.col("f") <= list_limit).select("token", "rid", "n")
+    light = members.where("not dear").select("token", "rid", "n")
     one, two = light.select("token", F.col("rid").alias("a"), F.col("n").alias("na")), light.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & _sized(percent, "na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    lists = members.where(F.col("f") > list_limit)
+    lists = members.where("dear")
     hubs = lists.where("full").groupBy("token").agg(F.max_by("rid", F.struct("costly", "rid")).alias("hub"), F.max_by("n", F.struct("costly", "rid")).alias("nh"))
     star = lists.join(stored(hubs, "join-hubs"), "token").where((F.col("rid") != F.col("hub")) & _sized(percent, "n", "nh"))
     star = star.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct().withColumn("c", F.lit(1 << 20))
     links = _Links(classes, docs, id, text, size, percent)
     links.add(passing(pairs).union(passing(star)))
-    inner = lists.join(hubs.select("token"), "token").join(about.select("rid", "bitmap"), "rid").withColumn("a", F.col("rid")).withColumn("b", F.col("rid"))
-    links.add(_compared(links.labelled(inner).select("token", "rid", "n", "full", F.col("la").alias("label"), "bitmap"), percent))
+    inner = lists.join(hubs.select("token"), "token").join(about.select("rid", "bitmap", F.slice("met", 1, 3).alias("lists")), "rid").withColumn("a", F.col("rid")).withColumn("b", F.col("rid"))
+    links.add(_compared(links.labelled(inner).select("token", "rid", "n", "full", F.col("la").alias("label"), "bitmap", "lists"), percent))
 
     known = links.labelled(classes.select("d1", "d2", "n", "least", F.col("rid").alias("a"), F.col("rid").alias("b"))).select("d1", "d2", "n", "least", F.col("la").alias("label"))
     known = stored(known, "join-known")
