@@ -87,7 +87,7 @@ def brute_groups(rows, size, percent):
     return sorted([(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)], key=str)
 
 
-@pytest.mark.parametrize("limit", [24, 2])
+@pytest.mark.parametrize("limit", [16, 2])
 def test_groups_are_those_of_brute_force(spark, odd, limit):
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(3000)]
