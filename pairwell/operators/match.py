@@ -117,7 +117,7 @@ def pair_blocks(cells: DataFrame, exact: list[str]) -> DataFrame:
 
 
 def match_nearest(
-    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass", max_rows: int | None = None
+    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass"
 ) -> DataFrame:
     """Pair every treated subject with the nearest unused untreated one of the same stratum; unmatched rows drop out.
 
@@ -133,11 +133,10 @@ def match_nearest(
     cells = rows.groupBy(*exact, F.col("_score").alias("score")).agg(
         F.count_if(on_arm == CASE).alias("n1"), F.count_if(on_arm == CONTROL).alias("n0")
     )
-    largest = cells.agg(F.max(F.greatest("n1", "n0"))).first()[0] or 0
     blocks = pair_blocks(cells, exact)
 
     keys = [*exact, arm, "_score"]
-    ranked = rank_within(rows, keys, [id], largest, "_rank", max_rows)
+    ranked = rank_within(rows, keys, [id], "_rank")
     ranked = ranked.withColumn("_bucket", F.floor((F.col("_rank") - 1) / RANK_BUCKET).cast("bigint"))
     # both ends of a block as one row each, copied to the rank buckets the block covers
     ends = blocks.select(

@@ -18,6 +18,16 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Steps of one fit, and rounds of the negative binomial; running out of them is reported.
+MAX_STEPS = 100
+MAX_ROUNDS = 200
+# Linear predictors are held to this range, in steps and in the reported means alike.
+LOG_MEAN = 30
+# Counts up to this are summed term by term.
+SERIES = 10_000
+# Rows of a frequency table that the negative binomial fit takes to the driver.
+MAX_CELLS = 1_000_000
+
 COEF_TYPE = "term string, estimate double, std_error double, z double, p double"
 
 
@@ -85,14 +95,19 @@ def _two_sided(z: float) -> float:
 def fit_poisson(
     cells: DataFrame, factors: list[str], interactions: bool = False, order: dict[str, tuple] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Poisson log-linear model: a coefficient table and a one-row fit table."""
+    """Poisson log-linear model: a coefficient table and a one-row fit table.
+
+    ``converged`` is false if the fit used all its iterations. A table that the caller has cached stays cached.
+    """
     spark = cells.sparkSession
-    cells = cells.persist()
+    own = not cells.is_cached
+    if own:
+        cells = cells.persist()
     terms = design_terms(cells, factors, interactions, order)
     features = cells.select("y", F.col("n").cast("double").alias("n"), *[t.column().alias(f"x{i}") for i, t in enumerate(terms)])
     train = VectorAssembler(inputCols=[f"x{i}" for i in range(len(terms))], outputCol="features").transform(features)
     model = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol="y", weightCol="n", maxIter=100, tol=1e-12
+        family="poisson", link="log", labelCol="y", weightCol="n", maxIter=MAX_STEPS, tol=1e-12
     ).fit(train)
     s = model.summary
     # the summary lists the intercept last
@@ -103,11 +118,20 @@ def fit_poisson(
         for name, v, se, z, p in zip(names, values, s.coefficientStandardErrors, s.tValues, s.pValues)
     ]
     n_rows = cells.agg(F.sum("n")).first()[0]
-    fit = [(int(n_rows), int(n_rows) - len(names), float(s.deviance), float(s.nullDeviance), float(s.aic))]
-    cells.unpersist()
+    steps = int(s.numIterations)
+    fit = [
+        (int(n_rows), int(n_rows) - len(names), float(s.deviance), float(s.nullDeviance), int(n_rows) - 1, float(s.aic))
+        + (steps, steps < MAX_STEPS)
+    ]
+    if own:
+        cells.unpersist()
     return (
         spark.createDataFrame(rows, COEF_TYPE),
-        spark.createDataFrame(fit, "n_rows long, df_residual long, deviance double, null_deviance double, aic double"),
+        spark.createDataFrame(
+            fit,
+            "n_rows long, df_residual long, deviance double, null_deviance double, df_null long, aic double, "
+            "iterations int, converged boolean",
+        ),
     )
 
 
@@ -117,77 +141,114 @@ def fit_negbin(
     """Negative binomial model with maximum-likelihood dispersion: a coefficient table and a one-row fit table.
 
     Spark reduces the subjects to the frequency table (levels x distinct day counts); weighted least squares for the
-    coefficients and Newton steps for theta alternate on that table.
+    coefficients and Newton steps for theta alternate on that table. A table of more than MAX_CELLS rows is refused: the
+    factors are then no categories. ``converged`` is false if the steps ran out or theta left its range (counts that
+    vary no more than Poisson counts do); the last values are reported then.
     """
     spark = cells.sparkSession
+    rows_in = cells.count()
+    if rows_in > MAX_CELLS:
+        raise ValueError(f"{rows_in} cells of levels and counts, more than {MAX_CELLS}: use coarser factors")
     terms = design_terms(cells, factors, interactions, order)
     table = cells.select(
         "y", F.col("n").cast("double").alias("n"), *[t.column().alias(f"x{i}") for i, t in enumerate(terms)]
     ).toPandas()
     y, n = table["y"].to_numpy(), table["n"].to_numpy()
     x = np.column_stack([np.ones(len(y)), *[table[f"x{i}"].to_numpy() for i in range(len(terms))]])
-    beta, theta, theta_se, loglik = _negbin(x, y, n)
-    mu = np.exp(x @ beta)
-    cov = np.linalg.inv((x * (n * mu / (1 + mu / theta))[:, None]).T @ x)
+    got = _negbin(x, y, n)
+    beta, theta = got.beta, got.theta
+    mu = np.exp(np.clip(x @ beta, -LOG_MEAN, LOG_MEAN))
+    cov = np.linalg.pinv((x * (n * mu / (1 + mu / theta))[:, None]).T @ x)
+    # the null model keeps this theta; its mean is the mean count
+    null = _deviance(y, n, np.full(len(y), max((n @ y) / n.sum(), 1e-300)), theta)
     names = ["(Intercept)"] + [t.name for t in terms]
     rows = []
     for name, b, v in zip(names, beta, np.diag(cov)):
         se = sqrt(v)
         rows.append((name, float(b), se, float(b) / se, _two_sided(b / se)))
-    dev = 2 * n * (np.where(y > 0, y * np.log(np.maximum(y, 1) / mu), 0.0) - (y + theta) * np.log((y + theta) / (mu + theta)))
+    total = int(n.sum())
     fit = [
-        (
-            int(n.sum()),
-            int(n.sum()) - len(names),
-            float(theta),
-            float(theta_se),
-            float(2 * loglik),
-            float(dev.sum()),
-            float(-2 * loglik + 2 * (len(names) + 1)),
-        )
+        (total, total - len(names), float(theta), float(got.theta_se), float(2 * got.loglik))
+        + (_deviance(y, n, mu, theta), null, total - 1, float(-2 * got.loglik + 2 * (len(names) + 1)))
+        + (got.steps, bool(got.converged))
     ]
     return (
         spark.createDataFrame(rows, COEF_TYPE),
         spark.createDataFrame(
             fit,
-            "n_rows long, df_residual long, theta double, theta_se double, twologlik double, deviance double, aic double",
+            "n_rows long, df_residual long, theta double, theta_se double, twologlik double, deviance double, "
+            "null_deviance double, df_null long, aic double, iterations int, converged boolean",
         ),
     )
 
 
-def _psi_gap(theta: float, y: np.ndarray, power: int) -> np.ndarray:
-    """sum over j < y of (theta + j)^-power: differences of the digamma (1) or trigamma (2) function."""
-    top = int(y.max()) if len(y) else 0
-    steps = np.concatenate(([0.0], np.cumsum((theta + np.arange(top)) ** -float(power))))
-    return steps[y.astype(int)]
+def _deviance(y: np.ndarray, n: np.ndarray, mu: np.ndarray, theta: float) -> float:
+    part = np.where(y > 0, y * np.log(np.maximum(y, 1) / mu), 0.0) - (y + theta) * np.log((y + theta) / (mu + theta))
+    return float((2 * n * part).sum())
 
 
-def _negbin(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+def _series(theta: float, y: np.ndarray, power: int) -> np.ndarray:
+    """sum over j < y of (theta + j)^-power, or of log(theta + j) for power 0.
+
+    Terms are added up to the last count below SERIES; from there on the sum is an integral with its first end
+    corrections (the next is below 1e-12 of a term), so a single wild count costs no memory.
+    """
+    top = int(min(y.max(), SERIES)) if len(y) else 0
+    at = theta + np.arange(top)
+    steps = np.concatenate(([0.0], np.cumsum(np.log(at) if power == 0 else at ** -float(power))))
+    head = steps[np.minimum(y, SERIES).astype(int)]
+    a, b = theta + min(SERIES, top), theta + np.maximum(y, SERIES)
+    if power == 0:
+        tail = b * np.log(b) - b - (a * np.log(a) - a) - (np.log(b) - np.log(a)) / 2 + (1 / b - 1 / a) / 12
+    elif power == 1:
+        tail = np.log(b / a) - (1 / b - 1 / a) / 2 - (1 / b**2 - 1 / a**2) / 12
+    else:
+        tail = 1 / a - 1 / b - (1 / b**2 - 1 / a**2) / 2 - (1 / b**3 - 1 / a**3) / 6
+    return head + np.where(y > SERIES, tail, 0.0)
+
+
+@dataclass(frozen=True)
+class _Fit:
+    beta: np.ndarray
+    theta: float
+    theta_se: float
+    loglik: float
+    steps: int
+    converged: bool
+
+
+def _negbin(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> _Fit:
     def coefficients(beta, theta):
-        for _ in range(100):
-            mu = np.exp(np.clip(x @ beta, -30, 30))
+        for _ in range(MAX_STEPS):
+            eta = np.clip(x @ beta, -LOG_MEAN, LOG_MEAN)
+            mu = np.exp(eta)
             w = n * mu / (1 + mu / theta)
-            z = x @ beta + (y - mu) / mu
-            new = np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ z)
+            # least squares, so that a level without any day (its mean runs to 0) leaves no singular system
+            root = np.sqrt(w)[:, None]
+            new = np.linalg.lstsq(x * root, (eta + (y - mu) / mu) * root[:, 0], rcond=None)[0]
             if np.max(np.abs(new - beta)) < 1e-12:
-                return new
+                return new, True
             beta = new
-        return beta
+        return beta, False
 
     def score_and_info(theta, mu):
-        score = n @ (_psi_gap(theta, y, 1) + np.log(theta) + 1 - np.log(theta + mu) - (y + theta) / (theta + mu))
-        info = n @ (_psi_gap(theta, y, 2) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2)
+        score = n @ (_series(theta, y, 1) + np.log(theta) + 1 - np.log(theta + mu) - (y + theta) / (theta + mu))
+        info = n @ (_series(theta, y, 2) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2)
         return score, info
 
+    def means(beta):
+        return np.exp(np.clip(x @ beta, -LOG_MEAN, LOG_MEAN))
+
     start = np.zeros(x.shape[1])
     start[0] = np.log(max((n @ y) / n.sum(), 1e-8))
-    beta = coefficients(start, 1e8)
-    mu = np.exp(x @ beta)
+    beta, settled = coefficients(start, 1e8)
+    mu = means(beta)
     excess = (n @ ((y - mu) ** 2 - mu)) / (n @ mu**2)
     theta = 1 / excess if excess > 1e-6 else 1e6
     info = 1.0
-    for _ in range(200):
-        mu = np.exp(x @ beta)
+    done = False
+    for step_number in range(1, MAX_ROUNDS + 1):
+        mu = means(beta)
         before = theta
         for _ in range(50):
             score, info = score_and_info(theta, mu)
@@ -198,14 +259,16 @@ def _negbin(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, fl
                 theta = theta_new
                 break
             theta = theta_new
-        new = coefficients(beta, theta)
+        new, settled = coefficients(beta, theta)
         moved = np.max(np.abs(new - beta))
         beta = new
-        if moved < 1e-11 and abs(theta - before) < 1e-10 * theta or theta >= 1e10:
+        done = bool(settled and moved < 1e-11 and abs(theta - before) < 1e-10 * theta)
+        if done or theta >= 1e10:
             break
-    mu = np.exp(x @ beta)
+    mu = means(beta)
     log_fact = np.array([lgamma(v + 1) for v in y])
-    ratio = np.concatenate(([0.0], np.cumsum(np.log(theta + np.arange(int(y.max()))))))[y.astype(int)]
+    ratio = _series(theta, y, 0)
     loglik = n @ (ratio - log_fact + theta * np.log(theta) + y * np.log(mu) - (theta + y) * np.log(theta + mu))
     _, info = score_and_info(theta, mu)
-    return beta, theta, 1 / sqrt(info) if info > 0 else float("nan"), float(loglik)
+    theta_se = 1 / sqrt(info) if info > 0 else float("nan")
+    return _Fit(beta, theta, theta_se, float(loglik), step_number, done and theta < 1e10)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: What of the repository workers may need.
+SHIPPED = ("pairwell", "suite", "corpus_pipeline.py")
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pairwell") -> SparkSession:
@@ -65,6 +69,29 @@ def discard_stored(*frames: DataFrame) -> None:
             discard(df.sparkSession, folder)
 
 
+def ship(spark: SparkSession, root: str) -> None:
+    """Send the Python sources below ``root`` to the workers, once for each application, unless they find them there."""
+    context = spark.sparkContext
+    if not needs_shipping(root) or getattr(context, "_pairwell_shipped", False):
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="pairwell-ship-"))  # the driver serves the file from here
+    path = os.path.join(folder, "pairwell_sources.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, names, files in os.walk(root):
+            names[:] = [n for n in names if n in SHIPPED or at != root]
+            for f in files:
+                if f.endswith(".py") and (at != root or f in SHIPPED):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), root))
+    context.addPyFile(path)
+    context._pairwell_shipped = True
+
+
+def needs_shipping(root: str) -> bool:
+    """Whether workers started like this process would not find modules at ``root``."""
+    given = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    return os.path.realpath(root) not in [*given, os.path.realpath(os.getcwd())]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder with ``checkpoint()`` and cut its lineage."""
     context = df.sparkSession.sparkContext

@@ -9,27 +9,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.session import checkpointed
+from pairwell.session import stored
 
-# At most this many keys are salted. Every other key holds less than 1/HEAVY_KEYS of the rows, whatever the data,
-# so the list has a fixed size, and leaving the others unsalted cannot make a hot task.
-HEAVY_KEYS = 1000
 # A key below this many rows is never worth salting.
 HEAVY_ROWS = 1_000_000
-# Upper bound of the salt range of one key (the right row of that key is copied this often at most).
-MAX_SALTS = 8192
-# A group larger than this is ranked over several range partitions.
-RANK_ROWS = 5_000_000
+# A key is hot from this part of an average shuffle partition on, so at most PARTS * partitions keys are hot, and the
+# salts of all of them add up to at most twice that: list and copies are bounded by arithmetic, whatever the data.
+PARTS = 4
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The keys worth salting: at most HEAVY_KEYS rows of key values and a salt count."""
+    """The keys worth salting, with a salt count each."""
 
     rows: tuple
 
@@ -38,22 +35,27 @@ class HotKeys:
         return spark.createDataFrame(list(self.rows), T.StructType([*named, T.StructField("_salts", T.IntegerType())]))
 
 
+def threshold(total: int, partitions: int) -> int:
+    """Rows from which a key is hot: the given part of an average partition, and never less than HEAVY_ROWS."""
+    return max(HEAVY_ROWS, ceil(total / (PARTS * partitions)))
+
+
 def hot_keys(df: DataFrame, keys: list[str], heavy_rows: int | None = None) -> HotKeys:
-    """Count rows per key and fetch the heaviest ones. One job that reads the key columns only.
+    """Count rows per key and fetch the hot ones. Two jobs: the number of rows, and one that reads the key columns only.
 
-    Take it once from the raw table and hand it to every join on that key: later filters only make keys lighter.
+    Take it once from the raw table and hand it to every join on that key: later filters only make keys lighter. A hot
+    key gets as many salts as it has times ``heavy_rows`` rows (by default the :func:`threshold` for this table).
     """
-    heavy_rows = heavy_rows or HEAVY_ROWS
-    top = (
+    if heavy_rows is None:
+        heavy_rows = threshold(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > heavy_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HEAVY_KEYS)
-        .withColumn("_salts", F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / heavy_rows)).cast("int"))
+        .withColumn("_salts", F.ceil(F.col("_n") / heavy_rows).cast("int"))
         .drop("_n")
     )
-    return HotKeys(tuple(tuple(r) for r in top.collect()))
+    return HotKeys(tuple(tuple(r) for r in hot.collect()))
 
 
 def _match(left: list[str], right: list[str], null_safe: bool) -> Column:
@@ -104,21 +106,16 @@ def attach(
     return left.join(side, on, how).select(*names, *[F.col(f"_x_{c}").alias(c) for c in extra])
 
 
-def rank_within(
-    df: DataFrame, keys: list[str], order: list[str], largest: int, out: str = "rank", max_rows: int | None = None
-) -> DataFrame:
-    """1-based row number inside each group of ``keys`` by ``order`` (unique inside a group).
+def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """1-based row number inside each group of ``keys`` by ``order``; rows equal in ``order`` get different numbers.
 
-    ``largest`` is the size of the largest group. Groups that fit a task are numbered by a window. Beyond ``max_rows``
-    the rows are range-partitioned by key and order, so a hot group spans several partitions; the place of a row is its
+    The rows are range-partitioned by key and order, so a hot group spans several partitions; the place of a row is its
     number inside its partition plus the sizes of the same group in earlier partitions. Range bounds are sampled, so
-    the partitioned rows are written to the checkpoint folder before they are read twice.
+    the partitioned rows are written to the shared folder before they are read twice.
     """
     by_order = [F.col(c) for c in order]
-    if largest <= (max_rows or RANK_ROWS):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order)).cast("bigint"))
     parts = df.repartitionByRange(*[F.col(c) for c in keys], *by_order).withColumn("_part", F.spark_partition_id())
-    parts = checkpointed(parts)
+    parts = stored(parts, "ranks")
     sizes = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +11,7 @@ from pairwell.operators import clean as C
 from pairwell.operators import groups as G
 from pairwell.operators import joins as J
 from pairwell.operators.quality import repeated_keys
+from pairwell.session import new_folder
 from pairwell.sources.delimited import read_delimited, write_csv
 from suite import views as V
 from suite.registry import query
@@ -21,14 +19,6 @@ from suite.registry import query
 t = V.table
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder for a round trip: under the shared checkpoint folder if the cluster names one, else local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='pairwell-')}/{name}"
-
-
 # sources and sinks
 
 
@@ -39,7 +29,7 @@ def _scratch(spark, name: str) -> str:
          CAST(o_orderdate AS DATE) AS o_day FROM orders""",
 )
 def scan_delimited(spark, sf):
-    path = _scratch(spark, "orders")
+    path = new_folder(spark, "orders")
     rows = t(spark, sf, "orders").select(
         "o_orderkey",
         F.expr("CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END").alias("o_custkey"),
@@ -55,7 +45,7 @@ def scan_delimited(spark, sf):
 
 @query("sink_roundtrip", "SELECT c_custkey, c_name, c_acctbal, NULLIF(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer")
 def sink_roundtrip(spark, sf):
-    path = _scratch(spark, "customer")
+    path = new_folder(spark, "customer")
     rows = t(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")
     )

@@ -45,7 +45,6 @@ def flag_duplicate_key(spark, sf):
           || (CASE WHEN birth_year IS NULL THEN ' no_birth' ELSE '' END) AS err FROM master""",
 )
 def flag_missing_required(spark, sf):
-    hot = V.hot_master(spark, sf)
     rows = Q.with_empty_tags(V.master(spark, sf).select(*_cols(_MASTER_COLS)))
     return Q.flag_missing_required(
         rows, {"subject_id": "no_id", "index_date": "no_index", "sex_code": "no_sex", "birth_year": "no_birth"}

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from suite import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def con_larger():
     return connect(SF_LARGER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, con_larger, name):
     def inspect(df):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -80,6 +81,6 @@ def test_query_with_every_key_salted_and_ranks_split(spark, con, name, monkeypat
     from pairwell import skew
 
     monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
-    monkeypatch.setattr(skew, "RANK_ROWS", 1)
+    monkeypatch.setattr(skew, "PARTS", 10**9)
     ok, message = compare(spark, con, name, SF)
     assert ok, message

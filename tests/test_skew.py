@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairwell import skew
 from pairwell.skew import attach, hot_keys, rank_within
 
 
@@ -48,9 +49,27 @@ def test_range_condition(events, side):
     assert rows(got) == sorted([(1, i, "a") for i in range(10)], key=str)
 
 
-def test_rank_over_several_partitions_equals_window(spark):
+def test_rank_over_several_partitions_is_the_row_number(spark):
     data = [("a" if i % 3 else "b", (i * 7919) % 1000) for i in range(1000)]
-    df = spark.createDataFrame(data, "g string, id int")
-    small = rank_within(df, ["g"], ["id"], largest=700)
-    split = rank_within(df, ["g"], ["id"], largest=700, max_rows=10)
-    assert rows(small) == rows(split)
+    got = rank_within(spark.createDataFrame(data, "g string, id int"), ["g"], ["id"])
+    want = [(g, x, k + 1) for g in "ab" for k, x in enumerate(sorted(v for h, v in data if h == g))]
+    assert rows(got) == sorted(want, key=str)
+    tied = rank_within(spark.createDataFrame([("a", 1)] * 50 + [("b", None)] * 7, "g string, id int"), ["g"], ["id"])
+    assert sorted((r["g"], r["rank"]) for r in tied.collect()) == [("a", k + 1) for k in range(50)] + [("b", k + 1) for k in range(7)]
+
+
+def test_every_hot_key_is_split_however_many(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(skew, "PARTS", 1000)
+    events = spark.range(60_000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("v"))
+    hot = hot_keys(events, ["k"])
+    limit = skew.threshold(60_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert len(hot.rows) == 2000 and {r[1] for r in hot.rows} == {-(-30 // limit)}
+    salted = attach(events, events.select("k", F.lit("x").alias("s")).distinct(), ["k"], hot=hot)
+    assert salted.count() == 60_000
+
+
+def test_threshold_bounds_the_list():
+    for total, partitions in ((10**12, 2000), (10**7, 8), (100, 4)):
+        limit = skew.threshold(total, partitions)
+        assert total / limit <= skew.PARTS * partitions and limit >= skew.HEAVY_ROWS

@@ -175,3 +175,29 @@ def test_empty_combinations_have_no_term(spark):
     coef, _ = table(fit_poisson(cells, ["arm", "band"], interactions=True))
     assert set(coef) == {"(Intercept)", "arm=1", "band=b"}
     assert coef["arm=1"]["estimate"] == pytest.approx(math.log(3), abs=1e-6)
+
+
+def test_negative_binomial_of_a_level_without_any_day(spark):
+    cells = spark.createDataFrame([("a", 0.0, 5), ("a", 3.0, 4), ("b", 0.0, 6), ("b", 0.0, 2)], "arm string, y double, n long")
+    rows, fits = fit_negbin(cells, ["arm"])
+    estimates, fit = {r["term"]: r["estimate"] for r in rows.collect()}, fits.first()
+    assert estimates["(Intercept)"] == pytest.approx(np.log(12 / 9), abs=1e-6) and estimates["arm=b"] < -20
+    assert fit["n_rows"] == 17 and fit["df_null"] == 16 and fit["null_deviance"] >= fit["deviance"]
+
+
+def test_a_cached_frame_stays_cached(spark):
+    cells = spark.createDataFrame([("a", 1.0, 5), ("a", 3.0, 4), ("b", 2.0, 6), ("b", 5.0, 2)], "arm string, y double, n long").persist()
+    _, fit = table(fit_poisson(cells, ["arm"]))
+    assert cells.is_cached and fit["converged"] and fit["df_null"] == 16
+    cells.unpersist()
+
+
+def test_sums_of_large_counts_need_no_list(monkeypatch):
+    from pairwell.operators import models
+
+    monkeypatch.setattr(models, "SERIES", 500)
+    y = np.array([0.0, 3, 500, 501, 4000])
+    for theta in (0.3, 40.0):
+        for power in (0, 1, 2):
+            exact = [sum(np.log(theta + j) if power == 0 else (theta + j) ** -power for j in range(int(v))) for v in y]
+            assert models._series(theta, y, power) == pytest.approx(exact, abs=1e-8)
