@@ -50,7 +50,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back: lineage is cut, and no executor's loss undoes it."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +69,14 @@ def discard_stored(*frames: DataFrame) -> None:
             discard(df.sparkSession, folder)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let executors remove the shuffle files of jobs that are over.
+
+    Spark removes them when the driver collects its garbage; a driver that holds little rarely does, and a job of many stored tables would keep all.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession, root: str) -> None:
     """Send the Python sources below ``root`` to the workers, once for each application, unless they find them there."""
     context = spark.sparkContext
