@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.lattice import _trimmed, words_of
 from pairwell.llm.pretokens import by_bytes, column_bytes
-from pairwell.session import discard_stored, stored
+from pairwell.session import discard_stored, free_shuffles, stored
 
 #: A list of keys of at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -199,6 +199,7 @@ class _Links:
                 links = links.union(f)
             self.labels = components(links)
         discard_stored(left, *([texts] if texts is not None else []))
+        free_shuffles(self.docs.sparkSession)
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked). Pairs are grouped by a and dealt in parts, so a text that many pairs share goes to as many tasks as it needs."""
@@ -285,25 +286,37 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
 
     N-grams are compared by 64-bit hashes, sets of a class by 128 bits. No cap bounds the members of a list or the partners of a text.
     """
+    spark = docs.sparkSession
     made = stored(sketches(docs, id, text, size, percent), "join-sketches")
     of_class = made.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("least"), F.max(F.struct("id", "text_hash")).alias("one"), F.first("window").alias("window"), F.first("bitmap").alias("bitmap"))
-    classes = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", F.monotonically_increasing_id().alias("rid")), "join-classes")
+    sets = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", F.monotonically_increasing_id().alias("rid")), "join-sets")
+    ids = stored(made.select("id", "n", "d1", "d2"), "join-ids")
+    discard_stored(made)
+    free_shuffles(spark)
 
     p = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    grams = classes.select("rid", "n", F.posexplode("window").alias("pos", "token"))
+    grams = sets.select("rid", "n", F.posexplode("window").alias("pos", "token"))
     shared = stored(grams.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "join-shared")
+    free_shuffles(spark)
     posts = stored(grams.join(shared, "token").select("token", "rid", "n", "pos", (F.col("f") > list_limit).alias("dear")), "join-posts")
+    classes = stored(sets.drop("window", "bitmap"), "join-classes")
+    bitmaps = stored(sets.select("rid", "n", "bitmap"), "join-bitmaps")
+    discard_stored(sets, shared)
+    free_shuffles(spark)
     costly = posts.where("dear").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("costly"))
     rows = posts.join(costly, "rid", "left").withColumn("costly", F.coalesce("costly", F.array().cast("array<struct<pos:int,token:bigint>>"))).withColumn("p", p)
     before = F.size(F.filter("costly", lambda x: x["pos"] < F.col("pos")))
     cheap = F.least("n", F.floor(3 * F.col("p") / 2) + 8) - F.size("costly")
     rows = rows.withColumn("full", cheap < F.col("p")).withColumn("member", F.when(F.col("full"), F.col("pos") < F.col("p")).otherwise(F.col("pos") - before < F.col("p")))
     members = stored(rows.where("member").select("token", "rid", "n", "dear", "full", F.size("costly").alias("costly")), "join-members")
+    discard_stored(posts)
     # What a class's own prefix asks for: m, and its costly n-grams in it.
     met = members.where("dear").groupBy("rid").agg(F.collect_list("token").alias("met"), F.first("full").alias("full"))
     met = met.select("rid", F.sort_array("met").alias("met"), F.when(F.col("full"), 1).otherwise(F.size("met") + 1).alias("m"))
-    about = classes.select("rid", "n", "bitmap").join(met, "rid", "left").select("rid", "n", "bitmap", F.coalesce("met", F.array().cast("array<bigint>")).alias("met"), F.coalesce("m", F.lit(1)).alias("m"))
+    about = bitmaps.join(met, "rid", "left").select("rid", "n", "bitmap", F.coalesce("met", F.array().cast("array<bigint>")).alias("met"), F.coalesce("m", F.lit(1)).alias("m"))
     about = stored(about, "join-about")
+    discard_stored(bitmaps)
+    free_shuffles(spark)
 
     def passing(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -327,6 +340,6 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     known = stored(known, "join-known")
     roots = stored(known.groupBy("label").agg(F.min("least").alias("component_id")), "join-roots")
     groups = stored(known.join(roots, "label").select("d1", "d2", "n", "component_id"), "join-groups")
-    discard_stored(classes, shared, posts, members, about, known, roots)
-    out = made.select("id", "n", "d1", "d2").join(groups, ["d1", "d2", "n"], "left")
+    discard_stored(classes, members, about, known, roots)
+    out = ids.join(groups, ["d1", "d2", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
