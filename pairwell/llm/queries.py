@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import bpe, digests, lattice, leaks, ngram_join, quality, shards, token_counts, topk, url_lists, warc
+from pairwell.llm import bpe, digests, lattice, leaks, ngram_join, packing, prefix_trie, quality, ranked_search, shards, token_counts, topk, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins, where SQL can express the operator; the other queries are tested against brute force.
@@ -126,3 +128,81 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return shards.kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of the conversation that its group of twenty begins with."""
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(turns, every=20, most=4))
+
+
+#: The CRC-32 of the decimal id is folded bit by bit: a step of -1 shifts, any other takes in a byte. A node's key is the digests of its turns in a row.
+ORACLE["op11_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS lender, count(*) AS n,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+           lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id),
+g AS (SELECT c.conv_id, c.lender, c.h, least(c.h, coalesce(l.n, 0)) AS got FROM c LEFT JOIN c l ON l.conv_id = c.lender),
+r AS (
+  SELECT g.conv_id, t.pos, t.digest, t.words FROM g JOIN t ON t.conv_id = g.lender AND t.pos < g.h
+  UNION ALL SELECT g.conv_id, t.pos - g.h + g.got, t.digest, t.words FROM g JOIN t ON t.conv_id = g.conv_id AND t.pos >= g.h),
+p AS (
+  SELECT conv_id, pos + 1 AS depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos) AS key, words FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM g),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM p GROUP BY depth, key),
+k AS (SELECT depth - 1 AS depth, left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, key)),
+u AS (
+  SELECT a.depth, a.key, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM m) b JOIN n a ON a.depth = b.above AND a.key = left(b.key, 32 * b.above) GROUP BY a.depth, a.key),
+l AS (SELECT conv_id, max(depth) AS depth, arg_max(key, depth) AS key FROM p GROUP BY conv_id),
+e AS (SELECT depth, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM l GROUP BY depth, key)
+SELECT m.conv_id, m.depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+       CAST(u.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN u USING (depth, key) LEFT JOIN e USING (depth, key) LEFT JOIN n o ON o.depth = m.depth - 1 AND o.key = left(m.key, 32 * (m.depth - 1))
+"""
+
+
+def _crc32(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 256 to 2,048 tokens, dealt to steps of 32,768 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), made={"ids_crc32": ("long", _crc32)})
+    steps = packing.step_groups(pieces).select("sequence_id", "step")
+    return pieces.join(steps, "sequence_id").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item, of all documents."""
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE["op13_ranked_search"] = """
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+a AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS terms FROM d),
+s AS (SELECT doc_id, 75 + (25 * count(*) * (SELECT docs FROM a)) // (SELECT terms FROM a) AS m FROM d GROUP BY doc_id),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM a) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY term),
+v AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN s USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM v WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
