@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwell.session import discard_stored, stored
@@ -38,13 +38,26 @@ def _coordinate(df: DataFrame, name: str, spread: dict) -> Column:
     return F.coalesce(F.floor(F.log1p(F.col(name).cast("double") - low) / math.log1p(high - low) * top), F.lit(0)).cast("long")
 
 
+def _table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A few rows of whole numbers for every task."""
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(f'({", ".join(f"{x}L" for x in r)})' for r in rows)} AS t({columns})"))
+
+
+def _key(dims: int) -> Column:
+    """The key of a point on the dimension that its node's row names: the coordinate, then the tie."""
+    return F.shiftleft(F.element_at(F.array(*[F.col(f"c{d}") for d in range(dims)]), (F.col("dim") + 1).cast("int")), COORD_BITS) + F.col("tie")
+
+
 def _cuts(atoms: DataFrame, nodes: dict[int, tuple[int, int]], dims: int, total: int, shards: int) -> dict[int, tuple[int, int]]:
     """node -> (dimension, last key of the left side), for every node of two shards or more.
 
-    ``nodes``: node -> (shards of its left side, all its shards).
+    ``nodes``: node -> (shards of its left side, all its shards). What a step asks of each node is a row of a small table that goes to all tasks, so the
+    plans do not grow with the nodes.
     """
+    spark = atoms.sparkSession
     spans = [F.max(f"c{d}") - F.min(f"c{d}") for d in range(dims)]
-    sums = atoms.where(F.col("node").isin([n for n, (_, k) in nodes.items() if k > 1])).groupBy("node").agg(F.sum("w").alias("w"), *[s.alias(f"s{d}") for d, s in enumerate(spans)]).collect()
+    wide = _table(spark, "node", [(n,) for n, (_, k) in nodes.items() if k > 1])
+    sums = atoms.join(wide, "node").groupBy("node").agg(F.sum("w").alias("w"), *[s.alias(f"s{d}") for d, s in enumerate(spans)]).collect()
     widest = {r["node"]: max(range(dims), key=lambda d: (r[f"s{d}"], -d)) for r in sums}
     goal = {r["node"]: r["w"] * nodes[r["node"]][0] // nodes[r["node"]][1] for r in sums}
     low = dict.fromkeys(widest, 0)  # the first key still in question, and the bytes below it
@@ -54,13 +67,11 @@ def _cuts(atoms: DataFrame, nodes: dict[int, tuple[int, int]], dims: int, total:
         open_nodes = [n for n in widest if n not in done]
         if not open_nodes:
             break
-        part = None
-        for n in open_nodes:
-            key = F.shiftleft(F.col(f"c{widest[n]}"), COORD_BITS) + F.col("tie")
-            inside = (F.col("node") == n) & key.between(low[n], low[n] + (1 << (shift + DIGIT_BITS)) - 1)
-            part = F.when(inside, F.shiftright(key - F.lit(low[n]), shift)) if part is None else part.when(inside, F.shiftright(key - F.lit(low[n]), shift))
+        asked = _table(spark, "node, dim, low", [(n, widest[n], low[n]) for n in open_nodes])
+        place = atoms.join(asked, "node").select("node", "w", (_key(dims) - F.col("low")).alias("place"))
+        inside = place.where(F.col("place").between(0, (1 << (shift + DIGIT_BITS)) - 1))
         bins: dict[int, list[tuple[int, int]]] = {n: [] for n in open_nodes}
-        for r in atoms.select("node", "w", part.alias("part")).where("part is not null").groupBy("node", "part").agg(F.sum("w").alias("w")).collect():
+        for r in inside.groupBy("node", F.shiftright("place", shift).alias("part")).agg(F.sum("w").alias("w")).collect():
             bins[r["node"]].append((r["part"], r["w"]))
         for n in open_nodes:
             at = below[n]
@@ -120,20 +131,21 @@ def kd_shards(
     groups = rows.groupBy("copy_of", "text_crc32").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
     large = F.broadcast(groups.where((F.col("w") * group_share * shards > total) & (F.col("n") > 1) | (F.col("n") * 4 * shards > n) & (F.col("n") > 1)).select("copy_of", "text_crc32", F.lit(True).alias("spread")))
     row_atom, text_atom = F.xxhash64("copy_of", "text_crc32", "rid"), F.xxhash64("copy_of", "text_crc32")
+    rows_read = rows
     rows = rows.join(large, ["copy_of", "text_crc32"], "left").select("doc_id", "size", "text_crc32", "rid", *coords, F.when(F.col("spread"), row_atom).otherwise(text_atom).alias("atom"))
     points = rows.groupBy("atom").agg(F.sum("size").alias("w"), F.min_by(F.struct(*coords), "rid").alias("at"))
     points = stored(points.select("atom", "w", "at.*", _tie(F.col("atom")).alias("tie")), "kd-points")
 
-    atoms, nodes = points.withColumn("node", F.lit(0)), {0: shards}
+    atoms, nodes = points.withColumn("node", F.lit(0).cast("long")), {0: shards}
     while any(k > 1 for k in nodes.values()) and total:
         cuts = _cuts(atoms, {a: (k // 2, k) for a, k in nodes.items()}, len(dims), total, shards)
         if not cuts:
             break
-        side = F.col("node")
-        for a, (d, last) in cuts.items():
-            above = F.shiftleft(F.col(f"c{d}"), COORD_BITS) + F.col("tie") > last
-            side = F.when((F.col("node") == a) & above, a + nodes[a] // 2).otherwise(side)
-        atoms = atoms.withColumn("node", side)
+        table = _table(docs.sparkSession, "node, dim, last, right", [(a, d, last, a + nodes[a] // 2) for a, (d, last) in cuts.items()])
+        side = F.when(_key(len(dims)) > F.col("last"), F.col("right")).otherwise(F.col("node"))
+        deeper = stored(atoms.join(table, "node", "left").select("atom", "w", *coords, "tie", side.alias("node")), "kd-points")
+        discard_stored(points)
+        points = atoms = deeper
         nodes = {x: y for a, k in nodes.items() for x, y in (((a, k // 2), (a + k // 2, k - k // 2)) if a in cuts else ((a, 1),))}
 
     placed = stored(rows.join(atoms.select("atom", F.col("node").alias("shard")), "atom").select("doc_id", "size", "text_crc32", "rid", "shard"), "kd-placed")
@@ -144,7 +156,7 @@ def kd_shards(
     starts = counts.select("shard", "part", before.alias("start"))
     place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("rid")) - 1
     numbered = placed.withColumn("part", part).withColumn("place", place).join(starts, ["shard", "part"])
-    discard_stored(points)
+    discard_stored(points, rows_read)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

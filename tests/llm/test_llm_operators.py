@@ -67,6 +67,36 @@ def test_shards_run_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_shards_plans_do_not_grow_with_the_levels(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"), F.lit("en").alias("lang"), (F.col("id") % 7).cast("string").alias("source"), (F.col("id") % 90).alias("n_chars"))
+    plans, kept = [], shards.stored
+
+    def watched(df, label):
+        plans.append((label, len(df._jdf.queryExecution().optimizedPlan().toString())))
+        return kept(df, label)
+
+    monkeypatch.setattr(shards, "stored", watched)
+    cuts, given = shards._cuts, []
+    monkeypatch.setattr(shards, "_cuts", lambda atoms, *a: given.append(len(atoms._jdf.queryExecution().optimizedPlan().toString())) or cuts(atoms, *a))
+    assert shards.kd_shards(docs, shards=32).select("shard").distinct().count() == 32
+    levels = [n for label, n in plans if label == "kd-points"][1:]
+    assert len(levels) == 5 and max(levels) < 1.3 * min(levels) + 200 and max(given) < 2 * min(given)
+
+
+def test_shards_cut_at_weighted_medians(spark):
+    # One dimension, sizes of all kinds: the first cut is the median of the bytes along it.
+    sizes = [(7 * i * i) % 311 + 1 for i in range(801)]
+    rows = [(i, "x" * n, "en", None, i) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = shards.kd_shards(docs, shards=2, dims=("n_chars",), group_share=1 << 20).collect()
+    left = sorted(r["doc_id"] for r in got if r["shard"] == 0)
+    total, at, cut = sum(n + 8 for n in sizes), 0, 0
+    while at + sizes[cut] + 8 <= total / 2:
+        at += sizes[cut] + 8
+        cut += 1
+    assert left == list(range(len(left))) and abs(len(left) - cut) <= 1
+
+
 def brute_groups(rows, size, percent):
     sets = [frozenset(zip(*[w[i:] for i in range(size)], strict=False)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset() for w in (words(t) for _, t in rows)]
     at = list(range(len(rows)))
