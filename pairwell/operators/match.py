@@ -7,117 +7,36 @@ inside their cell and told which slot of which pair block they fill.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairwell.operators.aggregate import CASE, CONTROL
-from pairwell.skew import rank_within
+from pairwell.operators.logit import Logit, fit_logit
+from pairwell.operators.pairing import pair_blocks
+from pairwell.session import stored
+from pairwell.skew import rank_within, running_totals
 
 # Ranks of one cell are joined to pair blocks in buckets of this many rows.
 RANK_BUCKET = 4096
 
 
-def propensity(df: DataFrame, arm: str, covariates: list[str], out: str = "distance") -> DataFrame:
-    """Add the fitted probability of being treated: logistic regression of the arm on whole-number covariates.
+def propensity(df: DataFrame, arm: str, covariates: list[str], out: str = "distance", fit: Logit | None = None) -> DataFrame:
+    """Add the fitted probability of being treated: logistic regression of the arm on the covariates.
 
-    The model is fitted by iteratively reweighted least squares on (covariates, arm) cells weighted by their counts,
-    which has the same maximum as a fit on the rows. Covariates are shifted and scaled by their mean and deviation.
+    ``fit`` is one made before by :func:`pairwell.operators.logit.fit_logit`. A fit that did not converge, because the
+    covariates separate the arms or the steps ran out, is used as it is, with a warning.
     """
-    cells = df.groupBy(*covariates, arm).agg(F.count(F.lit(1)).cast("double").alias("_w")).dropna().persist()
-    stats = cells.agg(
-        F.sum("_w").alias("w"),
-        *[F.sum(F.col(c) * F.col("_w")).alias(f"s{i}") for i, c in enumerate(covariates)],
-    ).first()
-    centre = [stats[f"s{i}"] / stats["w"] for i in range(len(covariates))]
-    spread = cells.agg(
-        *[F.sum((F.col(c) - m) ** 2 * F.col("_w")).alias(f"v{i}") for i, (c, m) in enumerate(zip(covariates, centre))]
-    ).first()
-    scale = [float(np.sqrt(spread[f"v{i}"] / stats["w"])) or 1.0 for i in range(len(covariates))]
-    scaled = [((F.col(c) - m) / s).alias(f"_z_{c}") for c, m, s in zip(covariates, centre, scale)]
-    assemble = VectorAssembler(inputCols=[f"_z_{c}" for c in covariates], outputCol="_f")
-    train = assemble.transform(
-        cells.select(F.when(F.col(arm) == CASE, 1.0).otherwise(0.0).alias("_y"), "_w", *scaled)
-    )
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_f", labelCol="_y", weightCol="_w", maxIter=100, tol=1e-12
-    ).fit(train)
-    cells.unpersist()
-    beta = [float(b) for b in model.coefficients]
-    linear = F.lit(float(model.intercept))
-    for b, c, m, s in zip(beta, covariates, centre, scale):
-        linear = linear + F.lit(b) * ((F.col(c) - m) / s)
-    return df.withColumn(out, 1 / (1 + F.exp(-linear)))
-
-
-def _pair_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy pairing of one stratum's score cells: treated from the highest score down, nearest control first.
-
-    Emits blocks: ``q`` treated of one cell, from its place ``t_from``, with ``q`` controls from place ``c_from``.
-    Equal distances go to the lower score.
-    """
-    treated = pdf[pdf["n1"] > 0].sort_values("score", ascending=False)
-    controls = pdf[pdf["n0"] > 0].sort_values("score")
-    score = controls["score"].to_numpy()
-    size = controls["n0"].to_numpy(dtype=np.int64)
-    used = np.zeros(len(score), dtype=np.int64)
-    # links to the next control cell with anything left; left[p] stands for cell p - 1, so 0 and len(score) mean none
-    left = list(range(len(score) + 1))
-    right = list(range(len(score) + 1))
-
-    def find(link: list, i: int) -> int:
-        root = i
-        while link[root] != root:
-            root = link[root]
-        while link[i] != root:
-            link[i], i = root, link[i]
-        return root
-
-    blocks = []
-    for s, m in zip(treated["score"].to_numpy(), treated["n1"].to_numpy(dtype=np.int64)):
-        done = 0
-        at = int(np.searchsorted(score, s, side="right"))
-        while done < m:
-            lo = find(left, at)
-            hi = find(right, at)
-            if lo == 0 and hi == len(score):
-                break
-            if hi == len(score) or (lo > 0 and s - score[lo - 1] <= score[hi] - s):
-                c = lo - 1
-            else:
-                c = hi
-            q = int(min(m - done, size[c] - used[c]))
-            blocks.append((s, float(score[c]), done, int(used[c]), q))
-            done += q
-            used[c] += q
-            if used[c] == size[c]:
-                left[c + 1] = c
-                right[c] = c + 1
-    keys = {c: pdf[c].iloc[0] for c in pdf.columns if c not in ("score", "n1", "n0")}
-    out = pd.DataFrame(blocks, columns=["t_score", "c_score", "t_from", "c_from", "q"])
-    for c, v in keys.items():
-        out[c] = v
-    return out
-
-
-def pair_blocks(cells: DataFrame, exact: list[str]) -> DataFrame:
-    """Greedy pairing per stratum on cells (``score``, ``n1`` treated, ``n0`` controls)."""
-    fields = [T.StructField(c, T.DoubleType()) for c in ("t_score", "c_score")]
-    fields += [T.StructField(c, T.LongType()) for c in ("t_from", "c_from", "q")]
-    fields += [cells.schema[c] for c in exact]
-    return cells.groupBy(*exact).applyInPandas(_pair_cells, T.StructType(fields)).select(
-        *exact, "t_score", "c_score", "t_from", "c_from", "q"
-    )
+    fit = fit or fit_logit(df, arm, covariates)
+    if not fit.converged:
+        warnings.warn(f"the score did not converge in {fit.steps} steps" + ", the covariates separate the arms" * fit.separated, stacklevel=2)
+    return df.withColumn(out, 1 / (1 + F.exp(-fit.linear())))
 
 
 def match_nearest(
-    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass"
+    df: DataFrame, arm: str, score: str, exact: list[str], id: str, out: str = "subclass", piece_cells: int | None = None
 ) -> DataFrame:
     """Pair every treated subject with the nearest unused untreated one of the same stratum; unmatched rows drop out.
 
@@ -125,7 +44,8 @@ def match_nearest(
     controls, so pairing them apart gives the same pairs as one pass over all. Inside a stratum equal scores are
     interchangeable but for the id, so the greedy walk runs on score cells with counts: its input is bounded by the
     number of distinct scores, not subjects. It yields blocks of pairs, and each subject finds its block by the rank of
-    its id in its cell. ``out`` names the pair.
+    its id in its cell. A stratum of more than ``piece_cells`` distinct scores (see :mod:`pairwell.operators.pairing`) is
+    cut into pieces. ``out`` names the pair.
     """
     on_arm = F.when(F.col(arm) == CASE, F.lit(CASE)).when(F.col(arm) == CONTROL, F.lit(CONTROL))
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*exact, score, id]])
@@ -133,7 +53,7 @@ def match_nearest(
     cells = rows.groupBy(*exact, F.col("_score").alias("score")).agg(
         F.count_if(on_arm == CASE).alias("n1"), F.count_if(on_arm == CONTROL).alias("n0")
     )
-    blocks = pair_blocks(cells, exact)
+    blocks = pair_blocks(cells, exact, piece_cells)
 
     keys = [*exact, arm, "_score"]
     ranked = rank_within(rows, keys, [id], "_rank")
@@ -249,3 +169,61 @@ def _balance_parts(df: DataFrame, arm: str, numeric: list[str], categorical: lis
         F.when(F.col("level") == "", mean).otherwise(share).alias("_mean"),
         spread.alias("_sd"),
     )
+
+
+def balance_summary(before: DataFrame, after: DataFrame, arm: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """The matching summary: per sample (``all``, ``matched``), covariate and level how far the arms are apart.
+
+    ``std_mean_diff`` is treated minus untreated over the treated deviation before matching (of a share p: the root of
+    p * (1 - p)), ``var_ratio`` the treated variance over the untreated, ``ecdf_mean`` and ``ecdf_max`` the mean over the
+    distinct values and the maximum of the distance between the arms' distribution functions. A level has a share per arm,
+    no variances, and the difference as both distances. A level that only one sample has is 0 in the other; a missing
+    value is left out of a number and is the level ``missing`` of a category.
+
+    Everything starts from counts per distinct value; distribution functions are running totals over ranges of values.
+    """
+    item = lambda variable, level, value: F.struct(F.lit(variable).alias("variable"), level.alias("level"), value.cast("double").alias("value"))
+    items = [item(c, F.lit(""), F.col(c)) for c in numeric] + [
+        item(c, F.coalesce(F.col(c).cast("string"), F.lit("missing")), F.lit(None)) for c in categorical
+    ]
+    both = [
+        df.filter(F.col(arm).isin(CASE, CONTROL)).select(F.lit(name).alias("sample"), F.col(arm).alias("_arm"), F.explode(F.array(*items)).alias("_i"))
+        for name, df in (("all", before), ("matched", after))
+    ]
+    rows = both[0].unionByName(both[1]).select("sample", "_arm", "_i.*").where("level <> '' or value is not null")
+    cells = rows.groupBy("sample", "variable", "level", "value").agg(
+        F.count_if(F.col("_arm") == CASE).alias("n1"), F.count_if(F.col("_arm") == CONTROL).alias("n0")
+    )
+    cells = stored(cells, "balance-cells")
+    keys, at = ["sample", "variable"], F.col("value")
+    sizes = cells.groupBy(*keys).agg(
+        F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.sum(F.col("n1") * at).alias("s1"), F.sum(F.col("n0") * at).alias("s0")
+    )
+    sizes = stored(sizes.select(*keys, "t1", "t0", F.try_divide("s1", "t1").alias("m1"), F.try_divide("s0", "t0").alias("m0")), "balance-sizes")
+
+    upto = running_totals(cells.where("level = ''").select(*keys, "value", "n1", "n0"), keys, ["value"], ["n1", "n0"])
+    gap = F.abs(F.try_divide("n1_upto", "t1") - F.try_divide("n0_upto", "t0"))
+    square = lambda n, m: F.sum(F.col(n) * (at - F.col(m)) ** 2)
+    numbers = upto.join(F.broadcast(sizes), keys).groupBy(*keys, "t1", "t0", "m1", "m0").agg(
+        F.try_divide(square("n1", "m1"), F.max("t1") - 1).alias("v1"),
+        F.try_divide(square("n0", "m0"), F.max("t0") - 1).alias("v0"),
+        F.avg(gap).alias("ecdf_mean"),
+        F.max(gap).alias("ecdf_max"),
+    )
+    numbers = numbers.select(*keys, F.lit("").alias("level"), "m1", "m0", F.sqrt("v1").alias("sd"), F.try_divide("v1", "v0").alias("var_ratio"), "ecdf_mean", "ecdf_max")
+
+    levels = cells.where("level <> ''")
+    each = F.explode(F.array(F.lit("all"), F.lit("matched"))).alias("sample")
+    counted = levels.select("variable", "level").distinct().select("variable", "level", each).join(levels, [*keys, "level"], "left")
+    share = lambda n, of: F.coalesce(F.try_divide(F.coalesce(n, F.lit(0)), of), F.lit(0.0))
+    shares = counted.join(F.broadcast(sizes), keys, "left").select(*keys, "level", share("n1", "t1").alias("m1"), share("n0", "t0").alias("m0"))
+    off = F.abs(F.col("m1") - F.col("m0"))
+    shares = shares.select(
+        *keys, "level", "m1", "m0", F.sqrt(F.col("m1") * (1 - F.col("m1"))).alias("sd"), F.lit(None).cast("double").alias("var_ratio"), off.alias("ecdf_mean"), off.alias("ecdf_max")
+    )
+    table = numbers.unionByName(shares)
+    scale = table.where("sample = 'all'").select("variable", "level", F.col("sd").alias("scale"))
+    return table.join(scale, ["variable", "level"], "left").select(
+        *keys, "level", F.col("m1").alias("mean_treated"), F.col("m0").alias("mean_control"),
+        F.try_divide(F.col("m1") - F.col("m0"), F.col("scale")).alias("std_mean_diff"), "var_ratio", "ecdf_mean", "ecdf_max",
+    )

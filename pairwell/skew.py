@@ -128,3 +128,26 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
     return local.join(offsets, on, "inner").select(
         *df.columns, (F.col("_rn") + F.col("_offset")).cast("bigint").alias(out)
     )
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """``df`` with ``<c>_upto`` for every ``c`` of ``sums``: its total over the group's rows up to this one by ``order``.
+
+    ``keys`` and ``order`` name a row. The rows are range-partitioned and written as in :func:`rank_within`: totals are
+    made inside a partition, and what the group has in earlier partitions is added.
+    """
+    parts = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    parts = stored(parts, "running")
+    ends = parts.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_all_{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(
+        F.col("_part").alias("_o_part"),
+        *[F.col(k).alias(f"_o_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in sums])
+    on = (F.col("_part") == F.col("_o_part")) & _match(keys, [f"_o_{k}" for k in keys], True)
+    return local.join(offsets, on, "inner").select(
+        *df.columns, *[(F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"{c}_upto") for c in sums]
+    )

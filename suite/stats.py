@@ -539,52 +539,99 @@ def _coefficients(pair, digits=6):
     return _rounded(pair[0], "estimate", "std_error", "z", "p", digits=digits)
 
 
-# a main-effects Poisson model of categories is fitted by scaling the margins in turn
-_SCALED = (
-    """cell_totals AS (SELECT arm, age_group, sex, SUM(n) AS n, SUM(n * y) AS tot FROM cells GROUP BY ALL)""",
-    """scaled(k, arm, age_group, sex, n, tot, mu) AS (
-         SELECT 0, arm, age_group, sex, CAST(n AS DOUBLE), CAST(tot AS DOUBLE), CAST(n AS DOUBLE) FROM cell_totals
-         UNION ALL
-         SELECT k + 1, arm, age_group, sex, n, tot,
-           mu * SUM(tot) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN arm WHEN 1 THEN age_group ELSE sex END)
-              / SUM(mu) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN arm WHEN 1 THEN age_group ELSE sex END)
-         FROM scaled WHERE k < 300)""",
-    """rates AS (SELECT arm, age_group, sex, ln(mu / n) AS r FROM scaled WHERE k = 300)""",
-)
+def _glm_ctes(name: str, cells: str, factors: list[str], negbin: bool) -> tuple:
+    """A main-effects model as SQL. The effects of one factor after the other are moved by Newton steps, theta along with them; the
+    covariances are the inverse of the information matrix, by elimination."""
+    m, every = len(factors), ", ".join(factors)
+    damp = "(1 + exp(r) / th)" if negbin else "1"
+    by = "CASE k % {m} " + " ".join(f"WHEN {i} THEN {{f{i}}}" for i in range(m)) + " END"
+    part = by.format(m=m, **{f"f{i}": f for i, f in enumerate(factors)})
+    moved = f"SUM((y - n * exp(r)) / {damp}) OVER w / SUM(n * exp(r) / {damp}) OVER w"
+    theta = (
+        """greatest(th / 4, least(th * 4, th + CASE WHEN info > 0 THEN score / info ELSE sign(score) * th / 2 END))"""
+        if negbin
+        else "th"
+    )
+    effects = ", ".join(f"e{i} + CASE WHEN k % {m} = {i} THEN d ELSE 0 END AS e{i}" for i in range(m))
+    start, names = ", ".join(f"CAST(0 AS DOUBLE) AS e{i}" for i in range(m)), ", ".join(f"e{i}" for i in range(m))
+    has = " UNION ALL ".join(
+        [f"SELECT id, 1 AS t FROM {name}_end"]
+        + [f"SELECT id, l.t FROM {name}_end e JOIN {name}_terms l ON l.i = {i} AND l.v = e.{f}" for i, f in enumerate(factors)]
+    )
+    effect = " UNION ALL ".join(f"SELECT {i} AS i, {f} AS v, MIN(e{i}) AS e, MIN(r0) AS r0 FROM {name}_end GROUP BY {f}" for i, f in enumerate(factors))
+    levels = " UNION ALL ".join(f"SELECT DISTINCT {i} AS i, '{f}' AS f, {f} AS v FROM {cells}" for i, f in enumerate(factors))
+    return (
+        f"""{name}_p AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY {every}) AS id, * FROM (
+          SELECT {every}, CAST(SUM(n) AS DOUBLE) AS n, SUM(n * y) AS y FROM {cells} GROUP BY {every}) q)""",
+        f"""{name}_h AS MATERIALIZED (SELECT list(c ORDER BY j) AS cs FROM (SELECT j, CAST(SUM(n) AS DOUBLE) AS c
+          FROM (SELECT n, unnest(range(0, CAST(y AS BIGINT))) AS j FROM {cells} WHERE y > 0) u GROUP BY j) v)""",
+        f"""{name}_it AS (
+          SELECT 0 AS k, id, {every}, n, y, ln(SUM(y) OVER () / SUM(n) OVER ()) AS r0, ln(SUM(y) OVER () / SUM(n) OVER ()) AS r, CAST(1 AS DOUBLE) AS th, {start}
+          FROM {name}_p
+          UNION ALL
+          SELECT k + 1, id, {every}, n, y, r0, r + d, {theta}, {effects}
+          FROM (SELECT i.*, {moved} AS d,
+                  SUM(n * (ln(th) + 1 - ln(th + exp(r))) - (y + n * th) / (th + exp(r))) OVER ()
+                    + list_sum(list_transform(cs, lambda c, j: c / (th + j - 1))) AS score,
+                  SUM(2 * n / (th + exp(r)) - n / th - (y + n * th) / ((th + exp(r)) * (th + exp(r)))) OVER ()
+                    + list_sum(list_transform(cs, lambda c, j: c / ((th + j - 1) * (th + j - 1)))) AS info
+                FROM {name}_it i, {name}_h WHERE k < {100 * m} WINDOW w AS (PARTITION BY {part})) x)""",
+        f"{name}_end AS MATERIALIZED (SELECT id, {every}, n, y, r0, r, exp(r) AS mu, th, n * exp(r) / {damp} AS w, {names} FROM {name}_it WHERE k = {100 * m})",
+        f"""{name}_levels AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY v) AS place FROM ({levels}) l)""",
+        f"""{name}_terms AS MATERIALIZED (SELECT *, 1 + ROW_NUMBER() OVER (ORDER BY i, v) AS t FROM {name}_levels WHERE place > 1)""",
+        f"""{name}_est AS (SELECT e.*, f, place FROM ({effect}) e JOIN {name}_levels l ON l.i = e.i AND l.v = e.v)""",
+        f"""{name}_has AS ({has})""",
+        f"""{name}_rows AS (SELECT a.t AS i, list(COALESCE(g, 0) ORDER BY b.t) || list(CASE WHEN a.t = b.t THEN 1.0 ELSE 0.0 END ORDER BY b.t) AS row, COUNT(*) AS p
+          FROM (SELECT DISTINCT t FROM {name}_has) a CROSS JOIN (SELECT DISTINCT t FROM {name}_has) b
+          LEFT JOIN (SELECT x.t AS t, z.t AS u, SUM(w) AS g FROM {name}_has x JOIN {name}_has z ON z.id = x.id JOIN {name}_end e ON e.id = x.id GROUP BY x.t, z.t) s
+            ON s.t = a.t AND s.u = b.t GROUP BY a.t)""",
+        f"""{name}_gj AS (
+          SELECT 0 AS k, i, row, p FROM {name}_rows
+          UNION ALL
+          SELECT k + 1, i, CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[CAST(k + 1 AS BIGINT)])
+                             ELSE list_transform(row, lambda v, c: v - row[CAST(k + 1 AS BIGINT)] * lead_row[c] / lead_row[CAST(k + 1 AS BIGINT)]) END, p
+          FROM (SELECT *, max(CASE WHEN i = k + 1 THEN row END) OVER () AS lead_row FROM {name}_gj WHERE k < p) x)""",
+        f"""{name}_coef AS (
+          SELECT term, estimate, sqrt(row[CAST(p + i AS BIGINT)]) AS std_error FROM (
+            SELECT 1 AS t, '(Intercept)' AS term, MIN(r0) + SUM(e) AS estimate FROM {name}_est WHERE place = 1
+            UNION ALL
+            SELECT o.t, o.f || '=' || o.v, x.e - b.e FROM {name}_terms o JOIN {name}_est x ON x.i = o.i AND x.v = o.v JOIN {name}_est b ON b.i = o.i AND b.place = 1) c
+          JOIN {name}_gj g ON g.k = g.p AND g.i = c.t)""",
+    )
 
 
-def _additive_sql() -> str:
-    at = lambda a, b, c: f"(SELECT r FROM rates WHERE arm = '{a}' AND age_group = '{b}' AND sex = '{c}')"
-    base = at("0", "12-54", "female")
-    others = {
-        "arm=1": at("1", "12-54", "female"),
-        "age_group=55-64": at("0", "55-64", "female"),
-        "age_group=65+": at("0", "65+", "female"),
-        "sex=male": at("0", "12-54", "male"),
-    }
-    parts = [f"SELECT '(Intercept)' AS term, round({base}, 6) AS estimate"]
-    parts += [f"SELECT '{name}', round({cell} - {base}, 6)" for name, cell in others.items()]
-    return " UNION ALL ".join(parts)
+def _coef_sql(frame: str) -> str:
+    return (
+        "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(z, 6) AS z, "
+        f"round({_TAIL.format(x='z * z')}, 6) AS p FROM (SELECT *, estimate / std_error AS z FROM {frame}) f"
+    )
 
 
-@query("poisson_additive", _additive_sql(), (_CELLS, *_SCALED))
+_PA = _glm_ctes("pa", "cells", _FACTORS, False)
+
+
+@query("poisson_additive", _coef_sql("pa_coef"), (_CELLS, *_PA))
 def poisson_additive(spark, sf):
-    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS)).select("term", "estimate")
+    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS))
 
 
 @query(
     "poisson_fit",
-    """SELECT CAST(SUM(c.n) AS BIGINT) AS n_rows,
-         round(2 * SUM(c.n * (CASE WHEN y > 0 THEN y * (ln(y) - r) ELSE 0 END - (y - exp(r)))), 5) AS deviance
-       FROM cells c JOIN rates q ON q.arm = c.arm AND q.age_group = c.age_group AND q.sex = c.sex""",
-    (_CELLS, *_SCALED),
+    """SELECT CAST(SUM(c.n) AS BIGINT) AS n_rows, CAST(SUM(c.n) AS BIGINT) - MAX(p) AS df_residual,
+         round(2 * SUM(c.n * (CASE WHEN c.y > 0 THEN c.y * (ln(c.y) - r) ELSE 0 END - (c.y - mu))), 5) AS deviance,
+         round(2 * SUM(c.n * (CASE WHEN c.y > 0 THEN c.y * (ln(c.y) - r0) ELSE 0 END - (c.y - exp(r0)))), 5) AS null_deviance,
+         CAST(SUM(c.n) AS BIGINT) - 1 AS df_null, round(2 * MAX(p) - 2 * SUM(c.n * (c.y * r - mu - lgamma(c.y + 1))), 5) AS aic
+       FROM cells c JOIN pa_end q ON q.arm = c.arm AND q.age_group = c.age_group AND q.sex = c.sex
+       CROSS JOIN (SELECT COUNT(*) AS p FROM pa_coef) z""",
+    (_CELLS, *_PA),
 )
 def poisson_fit(spark, sf):
-    return _rounded(fit_poisson(_cells(spark, sf), _FACTORS)[1], "deviance", digits=5).select("n_rows", "deviance")
+    fit = fit_poisson(_cells(spark, sf), _FACTORS)[1].where("converged")
+    return _rounded(fit, "deviance", "null_deviance", "aic", digits=5).drop("iterations", "converged")
 
 
-def _saturated_sql() -> str:
-    """With all interactions the fitted means are the cell means, so the estimates are signed sums of their logs."""
+def _saturated_sql(variance: str) -> str:
+    """With all interactions the fitted means are the cell means, so the estimates are signed sums of their logs, whatever the dispersion."""
     levels = {"arm": ("0", "1"), "age_group": ("12-54", "55-64", "65+"), "sex": ("female", "male")}
     parts = []
     for a in levels["arm"]:
@@ -601,32 +648,88 @@ def _saturated_sql() -> str:
                     sign = "+" if (len(chosen) - bin(mask).count("1")) % 2 == 0 else "-"
                     where = " AND ".join(f"{f} = '{v}'" for f, v in point.items())
                     est.append(f"{sign} (SELECT ln(SUM(n * y) / SUM(n)) FROM cells WHERE {where})")
-                    var.append(f"+ (SELECT 1 / SUM(n * y) FROM cells WHERE {where})")
+                    var.append(f"+ (SELECT {variance} FROM cells WHERE {where})")
                 parts.append(f"SELECT '{name}' AS term, {' '.join(est)} AS estimate, sqrt({' '.join(var)}) AS std_error")
-    return "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM (" + " UNION ALL ".join(parts) + ") p"
+    return _coef_sql("(" + " UNION ALL ".join(parts) + ")")
 
 
-@query("poisson_interaction", _saturated_sql(), (_CELLS,))
+@query("poisson_interaction", _saturated_sql("1 / SUM(n * y)"), (_CELLS,))
 def poisson_interaction(spark, sf):
-    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS, interactions=True)).select("term", "estimate", "std_error")
+    return _coefficients(fit_poisson(_cells(spark, sf), _FACTORS, interactions=True))
 
 
-@query("negbin_additive")
+_CELLS_WIDE = """cells_w AS (SELECT arm, age_group, sex, ind_death, first_state, CAST(duration_hospitalization AS DOUBLE) AS y, COUNT(*) AS n FROM study
+  WHERE duration_hospitalization IS NOT NULL GROUP BY ALL)"""
+_NA, _NW = _glm_ctes("na", "cells", _FACTORS, True), _glm_ctes("nw", "cells_w", _WIDE, True)
+# with all interactions only theta is searched: the means are the cell means
+_NI = (
+    """ni_p AS MATERIALIZED (SELECT arm, age_group, sex, CAST(SUM(n) AS DOUBLE) AS n, SUM(n * y) AS y, SUM(n * y) / SUM(n) AS mu FROM cells GROUP BY arm, age_group, sex)""",
+    """ni_it AS (
+         SELECT 0 AS k, CAST(1 AS DOUBLE) AS th
+         UNION ALL
+         SELECT k + 1, greatest(th / 4, least(th * 4, th + CASE WHEN info > 0 THEN score / info ELSE sign(score) * th / 2 END))
+         FROM (SELECT k, th, SUM(n * (ln(th) + 1 - ln(th + mu)) - (y + n * th) / (th + mu)) + MAX(list_sum(list_transform(cs, lambda c, j: c / (th + j - 1)))) AS score,
+                 SUM(2 * n / (th + mu) - n / th - (y + n * th) / ((th + mu) * (th + mu)))
+                   + MAX(list_sum(list_transform(cs, lambda c, j: c / ((th + j - 1) * (th + j - 1))))) AS info
+               FROM ni_it, ni_p, na_h WHERE k < 100 GROUP BY k, th) x)""",
+    """ni_end AS MATERIALIZED (SELECT p.*, ln(mu) AS r, ln(SUM(y) OVER () / SUM(n) OVER ()) AS r0, th FROM ni_p p, ni_it WHERE k = 100)""",
+)
+
+
+@query("negbin_additive", _coef_sql("na_coef"), (_CELLS, *_NA))
 def negbin_additive(spark, sf):
     return _coefficients(fit_negbin(_cells(spark, sf), _FACTORS))
 
 
-@query("negbin_interaction")
+@query(
+    "negbin_interaction",
+    _saturated_sql("1 / SUM(n * y) + 1 / (SUM(n) * (SELECT MAX(th) FROM ni_end))"),
+    (_CELLS, _NA[1], *_NI),
+)
 def negbin_interaction(spark, sf):
     return _coefficients(fit_negbin(_cells(spark, sf), _FACTORS, interactions=True))
 
 
-@query("negbin_adjusted")
+@query("negbin_adjusted", _coef_sql("nw_coef"), (_CELLS_WIDE, *_NW))
 def negbin_adjusted(spark, sf):
     cells = model_cells(V.study(spark, sf), _Y, _WIDE, exclude_dead=False)
     return _coefficients(fit_negbin(cells, _WIDE))
 
 
+def _negbin_fit_sql(model: str, cells: str, ends: str, factors: list[str], terms: str) -> str:
+    """The fit from the counts themselves, by the gamma function and its series."""
+    on = " AND ".join(f"e.{f} = c.{f}" for f in factors)
+    deviance = "2 * SUM(c.n * (CASE WHEN c.y > 0 THEN c.y * (ln(c.y) - {r}) ELSE 0 END - (c.y + th) * (ln(c.y + th) - ln(exp({r}) + th))))"
+    return f"""SELECT '{model}' AS model, n_rows, n_rows - p AS df_residual, round(th, 5) AS theta,
+        round(1 / sqrt(series + info), 5) AS theta_se, round(2 * loglik, 4) AS twologlik, round(dev, 4) AS deviance, round(null_dev, 4) AS null_deviance,
+        n_rows - 1 AS df_null, round(2 * (p + 1) - 2 * loglik, 4) AS aic
+      FROM (SELECT CAST(SUM(c.n) AS BIGINT) AS n_rows, MAX(th) AS th, {deviance.format(r="r")} AS dev, {deviance.format(r="r0")} AS null_dev,
+              SUM(c.n * (lgamma(th + c.y) - lgamma(th) - lgamma(c.y + 1) + th * ln(th) + c.y * r - (th + c.y) * ln(th + mu))) AS loglik,
+              SUM(c.n * (2 / (th + mu) - 1 / th - (c.y + th) / ((th + mu) * (th + mu)))) AS info,
+              SUM(c.n * COALESCE(list_sum(list_transform(range(0, CAST(c.y AS BIGINT)), lambda j: 1 / ((th + j) * (th + j)))), 0)) AS series
+            FROM {cells} c JOIN {ends} e ON {on}) f CROSS JOIN (SELECT {terms} AS p) t"""
+
+
+@query(
+    "negbin_fit",
+    " UNION ALL ".join(
+        [
+            _negbin_fit_sql("additive", "cells", "na_end", _FACTORS, "(SELECT COUNT(*) FROM na_coef)"),
+            _negbin_fit_sql("interaction", "cells", "ni_end", _FACTORS, "(SELECT COUNT(*) FROM ni_end)"),
+            _negbin_fit_sql("adjusted", "cells_w", "nw_end", _WIDE, "(SELECT COUNT(*) FROM nw_coef)"),
+        ]
+    ),
+    (_CELLS, _CELLS_WIDE, *_NA, *_NI, *_NW),
+)
+def negbin_fit(spark, sf):
+    """The fit rows of the three negative binomial models that converged."""
+    wide = model_cells(V.study(spark, sf), _Y, _WIDE, exclude_dead=False)
+    fits = [fit_negbin(_cells(spark, sf), _FACTORS), fit_negbin(_cells(spark, sf), _FACTORS, interactions=True), fit_negbin(wide, _WIDE)]
+    rows = [f.where("converged").withColumn("model", F.lit(m)) for m, (_, f) in zip(("additive", "interaction", "adjusted"), fits)]
+    out = _rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), "theta", "theta_se", digits=5)
+    return _rounded(out, "twologlik", "deviance", "null_deviance", "aic", digits=4).drop("iterations", "converged")
+
+
 # report tables
 
 

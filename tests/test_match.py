@@ -52,12 +52,54 @@ def test_more_treated_than_controls(spark):
     assert matched(spark, rows) == greedy(rows)
 
 
-def test_hot_cells_are_ranked_over_partitions_and_buckets(spark, monkeypatch):
+@pytest.fixture
+def split_ranges(spark):
+    """Ranges stay as small as they are made, so that ranks and running totals go over several partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_hot_cells_are_ranked_over_partitions_and_buckets(spark, monkeypatch, split_ranges):
     from pairwell.operators import match
 
     monkeypatch.setattr(match, "RANK_BUCKET", 7)
     rows = [(i, "1" if i % 3 == 0 else "0", "s", float(i % 2)) for i in range(120)]
-    assert matched(spark, rows, max_rows=10) == greedy(rows)
+    parts = []
+    ranked = match.rank_within
+    monkeypatch.setattr(match, "rank_within", lambda df, *a: parts.append(df.repartitionByRange("stratum", "arm", "_score", "id").rdd.getNumPartitions()) or ranked(df, *a))
+    assert matched(spark, rows) == greedy(rows) and parts[0] > 1
+
+
+@pytest.mark.parametrize("seed,arms,values,strata", [(1, "10", 60, "a"), (2, "1000", 90, "ab"), (3, "1110", 70, "a"), (4, "100", 4000, "abc"), (5, "10", 25, "a")])
+def test_pieces_of_five_cells_equal_brute_force(spark, split_ranges, seed, arms, values, strata):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(arms), rng.choice(strata), float(rng.randrange(values))) for i in range(80)]
+    assert matched(spark, rows, piece_cells=5) == greedy(rows)
+
+
+def test_cells_drawn_together_equal_brute_force(spark, split_ranges):
+    # all treated above all controls, then the reverse: no cut divides the stratum
+    for sign in (1, -1):
+        rows = [(i, "1", "s", sign * (100.0 + i % 9)) for i in range(14)] + [(100 + i, "0", "s", sign * float(i % 13)) for i in range(15)]
+        assert matched(spark, rows, piece_cells=4) == greedy(rows)
+
+
+def test_no_piece_is_larger_than_stated_and_no_pair_leaves_it(spark, split_ranges):
+    from pyspark.sql import functions as F
+
+    from pairwell.operators import pairing
+
+    rng = random.Random(7)
+    rows = [("s", float(i), *rng.choice([(1, 0), (0, 1), (0, 3), (0, 2), (2, 1)])) for i in range(400)]
+    cells = spark.createDataFrame(rows, "stratum string, score double, n1 long, n0 long")
+    split = pairing.cut(cells, ["stratum"], 20)
+    pieces = split.groupBy("_piece").agg(F.count(F.lit(1)).alias("n"), F.max("_cells").alias("part")).collect()
+    assert split.count() == 400 and len(pieces) > 5 and all(r["n"] < 20 + r["part"] for r in pieces)
+    part = {r["score"]: r["_part_of"] for r in split.collect()}
+    blocks = pairing.pair_blocks(cells, ["stratum"]).collect()
+    assert blocks and all(part[b["t_score"]] == part[b["c_score"]] for b in blocks)
 
 
 def test_rows_without_stratum_or_score_are_left_out(spark):
@@ -82,3 +124,69 @@ def test_balance_of_equal_arms_is_zero_and_hand_case(spark):
     got = {(r["variable"], r["level"]): r["diff_before"] for r in balance(other, df, "arm", ["x"], ["sex"]).collect()}
     assert got[("x", "")] == pytest.approx((2 - 7) / 2**0.5)
     assert got[("sex", "m")] == pytest.approx(0.5) and got[("sex", "f")] == pytest.approx(-0.5)
+
+
+def test_score_fit_equals_newton_and_tells_separation(spark):
+    from pairwell.operators.logit import fit_logit
+
+    rng = random.Random(3)
+    rows = [("1" if rng.random() < 1 / (1 + 2.718 ** (-0.5 + x / 10 - z)) else "0", x, z) for x in range(20) for z in (0, 1, 2) for _ in range(4)]
+    df = spark.createDataFrame(rows, "arm string, x int, z int")
+    fit = fit_logit(df, "arm", ["x", "z"])
+    coef, one = ([r.asDict() for r in t.collect()] for t in fit.tables(spark))
+    assert one[0]["converged"] and not one[0]["separated"] and one[0]["max_score"] < 1e-8 and one[0]["n_rows"] == len(rows)
+    import numpy as np
+
+    x = np.array([(1, a, b) for _, a, b in rows], float)
+    y = np.array([float(r[0]) for r in rows])
+    p = 1 / (1 + np.exp(-x @ [r["estimate"] for r in coef]))
+    assert np.abs(x.T @ (y - p)).max() < 1e-6
+    cov = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+    assert [r["std_error"] for r in coef] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), rel=1e-6)
+    assert one[0]["deviance"] == pytest.approx(-2 * (y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+    # complete, then with one shared value
+    for shared in ([], [("1", 5), ("0", 5)]):
+        apart = spark.createDataFrame([("1", 6 + i) for i in range(5)] + [("0", 4 - i) for i in range(5)] + shared, "arm string, x int")
+        fit = fit_logit(apart, "arm", ["x"])
+        assert fit.separated and not fit.converged
+        with pytest.warns(UserWarning, match="separate"):
+            scores = propensity(apart, "arm", ["x"], fit=fit).collect()
+        assert min(r["distance"] for r in scores if r["x"] > 5) > max(r["distance"] for r in scores if r["x"] < 5)
+
+
+def test_score_fit_with_a_repeated_or_constant_covariate_and_without_rows(spark):
+    from pairwell.operators.logit import fit_logit
+
+    df = spark.createDataFrame([(str(int(i % 3 == 0 or i > 25)), i, 2 * i + 1, 4) for i in range(40)], "arm string, x int, twice int, same int")
+    one, all_ = fit_logit(df, "arm", ["x"]), fit_logit(df, "arm", ["x", "twice", "same"])
+    assert [r["estimate"] for r in all_.tables(spark)[0].collect()] == pytest.approx([*one.beta, None, None])
+    assert all_.deviance == pytest.approx(one.deviance) and all_.converged
+    assert fit_logit(df.where("false"), "arm", ["x"]).rows == 0
+
+
+def test_balance_summary_by_hand(spark, split_ranges):
+    from pairwell.operators.match import balance_summary
+
+    rng = random.Random(2)
+    rows = [(rng.choice("10"), float(rng.randrange(12)) if rng.random() > 0.05 else None, rng.choice(["m", "f", None])) for _ in range(300)]
+    some = [r for r in rows if r[2] != "f"][:120]
+    frames = [spark.createDataFrame(r, "arm string, x double, sex string") for r in (rows, some)]
+    got = {(r["sample"], r["variable"], r["level"]): r for r in balance_summary(*frames, "arm", ["x"], ["sex"]).collect()}
+    assert len(got) == 2 * (1 + 3)
+    import statistics as st
+
+    arm = lambda data, a: [x for b, x, _ in data if b == a and x is not None]
+    sd = st.stdev(arm(rows, "1"))
+    for sample, data in (("all", rows), ("matched", some)):
+        one, two = arm(data, "1"), arm(data, "0")
+        r = got[sample, "x", ""]
+        assert r["mean_treated"] == pytest.approx(st.mean(one)) and r["std_mean_diff"] == pytest.approx((st.mean(one) - st.mean(two)) / sd)
+        assert r["var_ratio"] == pytest.approx(st.variance(one) / st.variance(two))
+        gaps = [abs(sum(v <= x for v in one) / len(one) - sum(v <= x for v in two) / len(two)) for x in sorted({*one, *two})]
+        assert r["ecdf_mean"] == pytest.approx(st.mean(gaps)) and r["ecdf_max"] == pytest.approx(max(gaps))
+        for level in ("m", "f", "missing"):
+            share = [st.mean([(s or "missing") == level for b, _, s in data if b == a]) for a in "10"]
+            p = st.mean([(s or "missing") == level for b, _, s in rows if b == "1"])
+            r = got[sample, "sex", level]
+            assert (r["mean_treated"], r["mean_control"]) == pytest.approx(tuple(share)) and r["ecdf_max"] == pytest.approx(abs(share[0] - share[1]))
+            assert r["std_mean_diff"] == pytest.approx((share[0] - share[1]) / (p * (1 - p)) ** 0.5) and r["var_ratio"] is None

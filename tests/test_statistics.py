@@ -169,11 +169,12 @@ def test_negative_binomial_tends_to_poisson(spark):
         assert nb[term]["estimate"] == pytest.approx(po[term]["estimate"], abs=5e-3)
 
 
-def test_empty_combinations_have_no_term(spark):
+def test_empty_combinations_have_no_estimate(spark):
     rows = [("0", "a", 1.0, 2), ("0", "b", 2.0, 3), ("1", "a", 3.0, 4)]
     cells = spark.createDataFrame(rows, "arm string, band string, y double, n long")
-    coef, _ = table(fit_poisson(cells, ["arm", "band"], interactions=True))
-    assert set(coef) == {"(Intercept)", "arm=1", "band=b"}
+    coef, fit = table(fit_poisson(cells, ["arm", "band"], interactions=True))
+    assert set(coef) == {"(Intercept)", "arm=1", "band=b", "arm=1:band=b"} and fit["df_residual"] == 6
+    assert [coef["arm=1:band=b"][c] for c in ("estimate", "std_error", "z", "p")] == [None] * 4
     assert coef["arm=1"]["estimate"] == pytest.approx(math.log(3), abs=1e-6)
 
 
@@ -192,12 +193,39 @@ def test_a_cached_frame_stays_cached(spark):
     cells.unpersist()
 
 
-def test_sums_of_large_counts_need_no_list(monkeypatch):
+@pytest.mark.parametrize("series", [10_000, 3])
+def test_counts_above_j_equal_the_gamma_function(spark, monkeypatch, series):
     from pairwell.operators import models
 
-    monkeypatch.setattr(models, "SERIES", 500)
-    y = np.array([0.0, 3, 500, 501, 4000])
-    for theta in (0.3, 40.0):
-        for power in (0, 1, 2):
-            exact = [sum(np.log(theta + j) if power == 0 else (theta + j) ** -power for j in range(int(v))) for v in y]
-            assert models._series(theta, y, power) == pytest.approx(exact, abs=1e-8)
+    monkeypatch.setattr(models, "SERIES", series)
+    rows = [(0.0, 5.0), (1.0, 3.0), (4.0, 2.0), (900.0, 1.0)]
+    above = models._above(spark.createDataFrame(rows, "y double, n double"))
+    if series == 3:
+        assert {(r["j"], r["y"], r["c"]) for r in above.collect()} == {(0, None, 6.0), (1, None, 3.0), (2, None, 3.0), (None, 4.0, 2.0), (None, 900.0, 1.0)}
+    for theta in (0.7, 30.0):
+        got = models._sums(None, above.selectExpr(models._given(models._scalars({0: models._log_sum(), 1: models._power_sum(1), 2: models._power_sum(2)}), theta) + " AS s"))
+        exact = [sum(n * math.log(theta + j) for y, n in rows for j in range(int(y)))] + [sum(n / (theta + j) ** k for y, n in rows for j in range(int(y))) for k in (1, 2)]
+        assert [got[-1, k] for k in range(3)] == pytest.approx(exact, rel=1e-9 if series > 3 else 2e-4)
+
+
+def test_terms_that_repeat_others_are_found(spark):
+    rows = [(str(i % 2), "xy"[i % 2], "abc"[i % 3], float(i % 5), 1 + i % 4) for i in range(60)]
+    cells = spark.createDataFrame(rows, "arm string, twin string, band string, y double, n long")
+    for fit in (fit_poisson, fit_negbin):
+        coef, one = table(fit(cells, ["arm", "twin", "band"]))
+        plain, other = table(fit(cells, ["arm", "band"]))
+        assert coef["twin=y"]["estimate"] is None and one["df_residual"] == other["df_residual"]
+        for term in plain:
+            assert coef[term]["estimate"] == pytest.approx(plain[term]["estimate"], abs=1e-8)
+            assert coef[term]["std_error"] == pytest.approx(plain[term]["std_error"], abs=1e-8)
+
+
+def test_too_many_terms_are_refused(spark, monkeypatch):
+    from pairwell.operators import models
+
+    monkeypatch.setattr(models, "MAX_TERMS", 8)
+    cells = spark.createDataFrame([(str(i), str(i % 3), 1.0, 1) for i in range(9)], "arm string, band string, y double, n long")
+    with pytest.raises(ValueError, match="coarser"):
+        fit_poisson(cells, ["arm"])
+    with pytest.raises(ValueError, match="coarser"):
+        fit_poisson(cells.where("arm < 4"), ["arm", "band"], interactions=True)
