@@ -6,13 +6,13 @@ classes have) adds a place, and one more shared n-gram is asked for. With m - 1
 costly ones need not be gone through. A class that does not get p cheap n-grams in its window keeps its plain prefix and is compared over the costly
 lists as well: with one hub of each list first, then, where it is not yet in the hub's group, in blocks.
 
-Candidates pass a parity bitmap: bits that differ are n-grams that differ, so nothing similar is lost. The rest is verified on the texts. Of the
-candidate links between two groups only as many are verified as it takes to join the groups or to refute all of them.
+Candidates pass a parity bitmap: bits that differ are n-grams that differ, so nothing similar is lost, and with two bits an n-gram or more little else
+gets through. The rest is verified on the texts in three rounds, each of which looks at pairs between two groups only: one pair of each class (to the hub
+of a costly list, or to its first cheap neighbour), then the most promising pair of each two groups, then all that is left, which are near misses.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,6 +29,8 @@ from pairwell.session import discard_stored, free_shuffles, stored
 #: A list of keys of at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 BLOCK = 1024
+#: Bits of a bitmap. A set of more than half as many n-grams lets more pairs through to verification.
+MAX_BITS = 1 << 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,9 +67,9 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _bitmaps(grams: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Of each set, the parity of its hashes' low bits, as bytes: a power of two of bits, 64 at least and half as many as hashes."""
+    """Of each set, the parity of its hashes' low bits, as bytes: a power of two of bits, twice as many as hashes at least, MAX_BITS at most."""
     n = np.diff(ends)
-    bits = 64 << np.ceil(np.log2(np.maximum(n / 128, 1))).astype(np.int64)
+    bits = np.minimum(64 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64), MAX_BITS)
     start = np.cumsum(bits) - bits
     at = np.repeat(start, n) + (grams & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
     parity = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -84,9 +86,9 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame, id: str, text: str, size: int, percent: int, batch_bytes: int = 4 << 20) -> DataFrame:
-    """Per row: id, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, percent: int, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Per row: id, row, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,28 +101,43 @@ def sketches(docs: DataFrame, id: str, text: str, size: int, percent: int, batch
                 window = grams[rank < np.repeat(short, n)]
                 digests = [pa.array(_sums(_mixed(grams ^ np.uint64(k)), ends)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *cells], ["id", "text_hash", "n", "d1", "d2", "window", "bitmap"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 3, 2)], *cells], ["id", "row", "text_hash", "n", "d1", "d2", "window", "bitmap"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary")
+    return rows.mapInArrow(run, f"id {kind}, row long, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary")
 
 
-def folded(a: bytes, b: bytes) -> int:
-    """Bits that differ between two bitmaps, the longer one folded to the size of the shorter."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) != len(y):
-        x, y = (x, y) if len(x) > len(y) else (y, x)
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all 64-bit words of a column of bitmaps, offsets of its rows in them)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.ascontiguousarray(data).view(np.uint64), (offsets - offsets[0]) // 8
 
 
-def _may_link(percent: int, na: Column, nb: Column, a: str, b: str) -> Column:
-    """Whether two bitmaps allow the similarity: of (na + nb) n-grams at most (100 - percent) / (100 + percent) may differ."""
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Row by row, the bits in which two bitmaps differ, the longer one folded to the size of the shorter."""
+    (x, xs), (y, ys) = _words(a), _words(b)
+    wx, wy = np.diff(xs), np.diff(ys)
+    out = np.zeros(len(wx), np.int64)
+    for one, two in sorted(set(zip(wx.tolist(), wy.tolist(), strict=True))):
+        rows = np.flatnonzero((wx == one) & (wy == two))
+        least = min(one, two)
+        for at in range(0, len(rows), max(1, (1 << 20) // max(one, two))):
+            k = rows[at : at + max(1, (1 << 20) // max(one, two))]
+            p, q = x[xs[k][:, None] + np.arange(one)], y[ys[k][:, None] + np.arange(two)]
+            p, q = (np.bitwise_xor.reduce(m.reshape(len(k), -1, least), axis=1) for m in (p, q))
+            out[k] = np.bitwise_count(p ^ q).sum(axis=1)
+    return out
+
+
+def _apart(a: str, b: str) -> Column:
+    """The bits in which the bitmaps of two columns differ: at most the n-grams in which the sets do."""
 
     def differ(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([folded(i, k) for i, k in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int64())
+        return pa.array(differing(x, y), pa.int64())
 
-    return F.arrow_udf(differ, "long")(F.col(a), F.col(b)) * (100 + percent) <= (na + nb) * (100 - percent)
+    return F.arrow_udf(differ, "long")(F.col(a), F.col(b))
 
 
 def _sized(percent: int, a: str, b: str) -> Column:
@@ -152,7 +169,6 @@ class _Links:
 
     def __init__(self, classes: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int):
         self.classes, self.docs, self.id, self.text, self.size, self.percent = classes, docs, id, text, size, percent
-        self.found: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
     def labelled(self, pairs: DataFrame) -> DataFrame:
@@ -171,35 +187,30 @@ class _Links:
         side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
         rows = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text"))
         found = rows.join(side, rows["id"].eqNullSafe(side["rep"]) & (F.xxhash64("text") == side["text_hash"])).select("v", "text")
-        return stored(found.groupBy("v").agg(F.min("text").alias("text")), "join-texts")
-
-    def add(self, candidates: DataFrame) -> None:
-        """Verify candidate pairs (a, b) as far as groups may be joined by them.
-
-        The first round takes one pair for each class, to its neighbour in the group with the smallest label; then all that still run between two
-        groups are verified: near misses, mostly.
-        """
-        texts, left = None, stored(candidates.distinct(), "join-candidates")
-        for number in itertools.count():
-            cross = self.labelled(left).where("la <> lb")
-            ends = cross.select(F.col("a").alias("v"), "a", "b", F.col("lb").alias("other")).union(cross.select(F.col("b").alias("v"), "a", "b", F.col("la").alias("other")))
-            star = ends.groupBy("v").agg(F.min(F.struct("other", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-            picked = stored(star if not number else cross.select("a", "b"), "join-picked")
-            if not picked.limit(1).count():
-                break
-            if texts is None:
-                texts = self.texts(left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct())
-            tested = stored(self.verified(picked, texts), "join-tested")
-            self.found.append(tested.where("linked").select("a", "b"))
-            rest = stored(left.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-candidates")
-            discard_stored(left, picked)
-            left = rest
-            links = self.found[0]
-            for f in self.found[1:]:
-                links = links.union(f)
+        texts = stored(found.groupBy("v").agg(F.min("text").alias("text")), "join-texts")
+        discard_stored(keys)
+        return texts
+
+    def add(self, picked: DataFrame) -> DataFrame:
+        """Verify all of ``picked`` (a, b), and join the groups of those that are linked. Returns the pairs, stored."""
+        picked = stored(picked.select("a", "b").distinct(), "join-picked")
+        if not picked.limit(1).count():
+            return picked
+        texts = self.texts(picked.select(F.col("a").alias("v")).union(picked.select(F.col("b").alias("v"))).distinct())
+        tested = stored(self.verified(picked, texts), "join-tested")
+        links = tested.where("linked").select("a", "b")
+        # Groups known before are joined as they are: a link between two classes is one between their groups.
+        if self.labels is None:
             self.labels = components(links)
-        discard_stored(left, *([texts] if texts is not None else []))
+        else:
+            edges = stored(self.labelled(links).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), "edges")
+            roots = components(edges).select(F.col("v").alias("root"), F.col("label").alias("to"))
+            known = self.labels.union(edges.select(F.col("a"), F.col("a")).union(edges.select(F.col("b"), F.col("b")))).groupBy("v").agg(F.min("label").alias("label"))
+            before, self.labels = self.labels, stored(known.join(roots, F.col("label") == F.col("root"), "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+            discard_stored(before, roots, edges)
+        discard_stored(texts, tested)
         free_shuffles(self.docs.sparkSession)
+        return picked
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked). Pairs are grouped by a and dealt in parts, so a text that many pairs share goes to as many tasks as it needs."""
@@ -226,14 +237,15 @@ class _Links:
         return left.groupBy("bucket").cogroup(right.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(run, "a long, b long, linked boolean")
 
 
-def _compared(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
+def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b, apart) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
 
-    ``members``: token, rid, n, full, label, bitmap, lists (the first three lists that the member is in). Pairs of one group are left out. Two members
-    may meet in many lists; if they have one of their first three in common, only the first such list returns them.
+    ``members``: token, rid, n, full, label, bitmap, lists (the first three lists that the member is in). Pairs of one group are left out; ``apart`` is
+    the number of bits that differ. With ``best`` a block returns only the pair of the fewest such bits of each two groups. Two members may meet in many
+    lists; if they have one of their first three in common, only the first such list returns them.
     """
     counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("full"), 1)).alias("q"), F.countDistinct("label").alias("groups")).where("q > 0 and groups > 1")
-    cut = counts.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("q") / BLOCK).cast("int").alias("rows"))
+    cut = stored(counts.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("q") / BLOCK).cast("int").alias("rows")), "join-cut")
     rows = members.join(cut, "token")
     block = F.xxhash64("rid")
     col = rows.withColumn("j", F.pmod(block, F.col("cols")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
@@ -250,7 +262,7 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
 
         (ra, na, la, ma, wa, fa, ka), (rb, nb, lb, mb, wb, fb, kb) = side(left), side(right)
         here = left.column("token")[0].as_py() if len(ra) else 0
-        a_out, b_out = [], []
+        a_out, b_out, d_out, g_out = [], [], [], []
         for w in np.unique(wb).tolist() if len(wb) else []:
             mine = np.flatnonzero(wb == w)
             table = np.stack([mb[k] for k in mine])
@@ -263,34 +275,49 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
                     x = np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)
                 elif wa[i] < w:
                     y = np.bitwise_xor.reduce(y.reshape(len(y), -1, wa[i]), axis=1)
-                hit = at[np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na[i] + nb[at]) * (100 - percent)]
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + percent) <= (na[i] + nb[at]) * (100 - percent)
+                hit, apart = at[near], apart[near]
                 common = (fa[i][None, :, None] == fb[hit][:, None, :]) & ka[i][None, :, None] & kb[hit][:, None, :]
                 least = np.where(common.any(axis=2), fa[i][None, :], np.iinfo(np.int64).max).min(axis=1)
-                hit = hit[~common.any(axis=(1, 2)) | (least == here)]
+                first = ~common.any(axis=(1, 2)) | (least == here)
+                hit, apart = hit[first], apart[first]
+                if best and len(hit):
+                    order = np.lexsort((rb[hit], apart, lb[hit]))
+                    order = order[np.concatenate([[True], np.diff(lb[hit][order]) != 0])]
+                    hit, apart = hit[order], apart[order]
                 a_out.append(np.minimum(ra[i], rb[hit]))
                 b_out.append(np.maximum(ra[i], rb[hit]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a_out) if a_out else empty, "b": np.concatenate(b_out) if b_out else empty})
+                d_out.append(apart)
+                g_out.append(np.stack([np.minimum(la[i], lb[hit]), np.maximum(la[i], lb[hit])], axis=1))
+        a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out, d_out))
+        if best and len(a):
+            groups = np.concatenate(g_out)
+            order = np.lexsort((b, a, d, groups[:, 1], groups[:, 0]))
+            order = order[np.concatenate([[True], (np.diff(groups[order], axis=0) != 0).any(axis=1)])]
+            a, b, d = a[order], b[order], d[order]
+        return pa.table({"a": a, "b": b, "apart": d})
 
     row = row.select(*[F.col(c).alias(c) for c in keep])  # other columns than those of the right side
-    return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "a long, b long").where("a < b")
+    return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "a long, b long, apart long").where("a < b")
 
 
-def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", list_limit: int = 16) -> DataFrame:
+def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", row: str | None = None, list_limit: int = 16) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Words are runs of characters other than ASCII white space, A-Z lowered; a text's set is its distinct ``size``-word n-grams, or its whole word
     sequence if that is shorter. Two texts link when 100 * |intersection| >= ``percent`` * |union|. A null or empty text, or one without words, has an
     empty set and links with nothing. Rows with equal sets are linked, repeated rows too. A null id is ignored as a smallest id: a row without id gets
-    the component's smallest known id, or null. An empty table gives no rows. Other columns are not read.
+    the component's smallest known id, or null. An empty table gives no rows. Other columns are not read. With ``row``, the name of a column that
+    numbers the rows, ``row`` and ``group`` are returned too: the number, and one of the component, null for an empty set.
 
     N-grams are compared by 64-bit hashes, sets of a class by 128 bits. No cap bounds the members of a list or the partners of a text.
     """
     spark = docs.sparkSession
-    made = stored(sketches(docs, id, text, size, percent), "join-sketches")
+    made = stored(sketches(docs, id, text, row, size, percent), "join-sketches")
     of_class = made.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("least"), F.max(F.struct("id", "text_hash")).alias("one"), F.first("window").alias("window"), F.first("bitmap").alias("bitmap"))
     sets = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", F.monotonically_increasing_id().alias("rid")), "join-sets")
-    ids = stored(made.select("id", "n", "d1", "d2"), "join-ids")
+    ids = stored(made.select("id", "row", "n", "d1", "d2"), "join-ids")
     discard_stored(made)
     free_shuffles(spark)
 
@@ -322,24 +349,42 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
         for side in ("a", "b"):
             pairs = pairs.join(about.select(*[F.col(c).alias(f"{c}_{side}") for c in about.columns]), F.col(side) == F.col(f"rid_{side}"))
         enough = F.col("c") + F.size(F.array_intersect("met_a", "met_b")) >= F.least("m_a", "m_b")
-        return pairs.where(enough).where(_may_link(percent, F.col("n_a"), F.col("n_b"), "bitmap_a", "bitmap_b")).select("a", "b")
+        near = pairs.where(enough).withColumn("apart", _apart("bitmap_a", "bitmap_b"))
+        return near.where(F.col("apart") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("v", "a", "b", "apart")
 
     light = members.where("not dear").select("token", "rid", "n")
     one, two = light.select("token", F.col("rid").alias("a"), F.col("n").alias("na")), light.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & _sized(percent, "na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & _sized(percent, "na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("v", F.col("a"))
     lists = members.where("dear")
-    hubs = lists.where("full").groupBy("token").agg(F.max_by("rid", F.struct("costly", "rid")).alias("hub"), F.max_by("n", F.struct("costly", "rid")).alias("nh"))
-    star = lists.join(stored(hubs, "join-hubs"), "token").where((F.col("rid") != F.col("hub")) & _sized(percent, "n", "nh"))
-    star = star.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct().withColumn("c", F.lit(1 << 20))
+    hubs = stored(lists.where("full").groupBy("token").agg(F.max_by("rid", F.struct("costly", "rid")).alias("hub"), F.max_by("n", F.struct("costly", "rid")).alias("nh")), "join-hubs")
+    star = lists.join(hubs, "token").where((F.col("rid") != F.col("hub")) & _sized(percent, "n", "nh"))
+    star = star.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"), F.col("rid").alias("v")).distinct().withColumn("c", F.lit(1 << 20))
+    cheap = stored(passing(pairs).drop("v"), "join-cheap")
+    free_shuffles(spark)
     links = _Links(classes, docs, id, text, size, percent)
-    links.add(passing(pairs).union(passing(star)))
-    inner = lists.join(hubs.select("token"), "token").join(about.select("rid", "bitmap", F.slice("met", 1, 3).alias("lists")), "rid").withColumn("a", F.col("rid")).withColumn("b", F.col("rid"))
-    links.add(_compared(links.labelled(inner).select("token", "rid", "n", "full", F.col("la").alias("label"), "bitmap", "lists"), percent))
+    # Of each class, the smallest of its neighbours over cheap n-grams, and the nearest hub.
+    ends = cheap.select(F.col("a").alias("v"), F.col("b").alias("other")).union(cheap.select(F.col("b").alias("v"), F.col("a").alias("other")))
+    first = ends.groupBy("v").agg(F.min("other").alias("other")).select(F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b"))
+    nearest = passing(star).groupBy("v").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+    tested = [links.add(first.union(nearest))]
+    inner = lists.join(hubs.select("token"), "token").join(about.select("rid", "bitmap", F.slice("met", 1, 3).alias("lists")), "rid")
+    inner = stored(inner.select("token", F.col("rid").alias("a"), F.col("rid").alias("b"), "n", "full", "bitmap", "lists"), "join-inner")
+    discard_stored(hubs)
+    for best in (True, False):
+        now = links.labelled(inner).select("token", F.col("a").alias("rid"), "n", "full", F.col("la").alias("label"), "bitmap", "lists")
+        cross = links.labelled(cheap.union(_compared(now, percent, best))).where("la <> lb")
+        if best:
+            cross = cross.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        left = cross.select("a", "b").distinct()
+        for t in tested:
+            left = left.join(t, ["a", "b"], "left_anti")
+        tested.append(links.add(left))
+    discard_stored(cheap, inner, *tested)
 
     known = links.labelled(classes.select("d1", "d2", "n", "least", F.col("rid").alias("a"), F.col("rid").alias("b"))).select("d1", "d2", "n", "least", F.col("la").alias("label"))
     known = stored(known, "join-known")
     roots = stored(known.groupBy("label").agg(F.min("least").alias("component_id")), "join-roots")
-    groups = stored(known.join(roots, "label").select("d1", "d2", "n", "component_id"), "join-groups")
+    groups = stored(known.join(roots, "label").select("d1", "d2", "n", "component_id", F.col("label").alias("group")), "join-groups")
     discard_stored(classes, members, about, known, roots)
     out = ids.join(groups, ["d1", "d2", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *(["row", "group"] if row else []))

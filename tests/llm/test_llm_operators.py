@@ -136,6 +136,28 @@ def test_groups_are_those_of_brute_force(spark, odd, limit):
     assert got == brute_groups(rows, 3, 90)
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (None, text), (2, text.upper()), (7, "other words here"), (None, "lonely text"), (7, text), (3, ""), (None, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, SF)
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted([(1, text), (7, "other words here"), (None, "lonely text"), (3, ""), (None, None), (3, "")], key=str)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_bitmaps_never_differ_in_more_bits_than_the_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ngram_join, "MAX_BITS", 1 << 12)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 40, 41, 700, 9000)]
+    sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for s in sets]
+    maps = ngram_join._bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    pairs = [(i, k) for i in range(len(sets)) for k in range(len(sets))]
+    got = ngram_join.differing(maps.take([i for i, _ in pairs]), maps.take([k for _, k in pairs]))
+    real = [len(np.setxor1d(sets[i], sets[k])) for i, k in pairs]
+    assert all(g <= r and (g - r) % 2 == 0 for g, r in zip(got.tolist(), real, strict=True))
+    assert all(g == r for g, r, (i, k) in zip(got.tolist(), real, pairs, strict=True) if r < 10 and len(sets[i]) < 2000)
+
+
 def test_groups_of_nothing(none):
     assert ngram_join.linked_groups(none).collect() == []
 
