@@ -22,13 +22,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles.
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the row with the smallest id, a null one last.
 
-    Documents without words are linked with nothing and all stay, and so do rows without id, which stand for no group.
+    Repeated rows and rows without id that copy a kept text go like other copies; of rows that share an id with different texts each group keeps its own.
+    Documents without words are linked with nothing and all stay.
     """
-    groups = ngram_join.linked_groups(docs, size=5, percent=80)
-    kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    numbered = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    groups = ngram_join.linked_groups(numbered, size=5, percent=80, row="row")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
+    kept = first.where("group is not null").select("first.row").union(groups.where("group is null").select("row"))
+    return numbered.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
