@@ -86,7 +86,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, percent: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, percent: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """Per row: id, row, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"))
 
@@ -102,6 +102,7 @@ def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, pe
                 digests = [pa.array(_sums(_mixed(grams ^ np.uint64(k)), ends)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 3, 2)], *cells], ["id", "row", "text_hash", "n", "d1", "d2", "window", "bitmap"])
+        pa.default_memory_pool().release_unused()  # the worker stays while later stages need the memory
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, row long, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary")
