@@ -158,27 +158,49 @@ def prose(rng, words):
     return " ".join("".join(rng.choice(["th", "er", "on", "an", "in", "re", "ti", "es", "st"]) for _ in range(rng.randrange(1, 4))) for _ in range(words))
 
 
-def test_leaks_recall_by_edit_rate():
+def recall(items, hosts, rate=0.2):
+    """(share of hosts in which the item of the same place is found, all that is found), after the distances are checked."""
+    ready = leaks.prepared(items, rate)
+    got = leaks.found(ready, *column_bytes(pa.array(hosts)), rate)
+    plain = [bytes(leaks.normal(d, o[1:])[0]) for d, o in (column_bytes(pa.array([h])) for h in hosts)]
+    assert all(leaks.distance(ready.texts[k], plain[t], len(ready.texts[k])) <= d <= int(rate * len(ready.texts[k])) for t, x in got.items() for k, d in x.items())
+    true = [i for i, t in enumerate(ready.texts) if leaks.distance(t, plain[i], len(t)) <= int(rate * len(t))]
+    return sum(i in got.get(i, {}) for i in true) / len(true), got
+
+
+@pytest.mark.parametrize("size", [40, 45, 60, 100, 200, 400])
+def test_leaks_are_found_at_every_edit_rate(size):
+    rng = random.Random(size)
+    items = [(i, prose(rng, 120)[:size].strip()) for i in range(120)]
+
+    def host(text, rate):
+        raw = text.encode()
+        return f"{prose(rng, 30)} {leaks.edited(rng, raw, int(rate * len(raw))).decode('utf-8', 'ignore').upper()}\n {prose(rng, 30)}"
+
+    for rate, least in ((0, 1.0), (0.05, 0.98), (0.1, 0.97), (0.15, 0.93), (0.2, 0.9)):
+        assert recall(items, [host(x, rate) for _, x in items])[0] >= least, rate
+
+
+def test_leaks_in_unspaced_text_and_glued_to_signs():
+    rng = random.Random(2)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    run = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    items = [(i, run(27)) for i in range(60)]
+    assert recall(items, [run(50) + x + run(50) for _, x in items])[0] == 1
+    latin = [(i, prose(rng, 8)[:45].strip()) for i in range(100)]
+    for a, b in (('"', '"'), ("(", ")"), ("\u2014", "."), ("x", "x")):
+        assert recall(latin, [f"{prose(rng, 20)} {a}{x}{b} {prose(rng, 20)}" for _, x in latin])[0] == 1
+
+
+def test_leaks_of_short_items_and_none_in_clean_text():
     rng = random.Random(7)
     items = [(i, prose(rng, rng.randrange(12, 60))) for i in range(150)]
-    ready = leaks.prepared(items)
-
-    def edited(text, rate):
-        out = list(text)
-        for _ in range(int(rate * len(out))):
-            i = rng.randrange(len(out))
-            out[i : i + rng.randrange(2)] = rng.choice(["x", "", "ab"])
-        return "".join(out)
-
-    for rate, least in ((0, 1.0), (0.05, 0.98), (0.1, 0.93)):
-        hosts = [f"{prose(rng, 30)} {edited(x.upper(), rate)}\n {prose(rng, 30)}" for _, x in items]
-        got = leaks.found(ready, *column_bytes(pa.array(hosts)), 0.2)
-        plain = [bytes(leaks.normal(d, o[1:])[0]) for d, o in (column_bytes(pa.array([h])) for h in hosts)]
-        true = [i for i, t in enumerate(ready.texts) if leaks.distance(t, plain[i], len(t)) <= int(0.2 * len(t))]
-        assert sum(i in got.get(i, {}) for i in true) >= least * len(true)
-        assert all(d == leaks.distance(ready.texts[k], plain[t], len(ready.texts[k])) for t, x in got.items() for k, d in x.items() if k == t)
     clean = [prose(rng, 200) for _ in range(50)] + [""]
+    ready = leaks.prepared([*items, (900, "Zq 7"), (901, "zq  7"), (902, "")])
     assert leaks.found(ready, *column_bytes(pa.array(clean)), 0.2) == {}
+    got = leaks.found(ready, *column_bytes(pa.array(["a zq\n7", "", "zq 7 zq 7", "zq7"])), 0.2)
+    assert got == {0: {150: 0, 151: 0}, 2: {150: 0, 151: 0}}
+    assert leaks.found(leaks.prepared([]), *column_bytes(pa.array(clean)), 0.2) == {}
 
 
 def test_classifier_learns_words_parts_and_stammer():

@@ -231,7 +231,9 @@ def test_leaks(spark, odd, none):
     items = spark.createDataFrame([(5, item, 1), (6, item, 1), (7, "short", 1), (8, None, 1), (None, item, 1), (9, "", 1)], "item_id long, text string, leaks int")
     extra = [(900, f"before {item.upper()} after"), (901, item.replace("fox", "cat")), (902, "a quick thing"), (None, item), (901, item.replace("fox", "cat"))]
     docs = odd.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    docs = docs.withColumn("leaks_found", F.lit("kept"))
     got = leaks.find(docs, items)
+    assert got.where("leaks_found = 'kept'").count() == docs.count()
     assert got.columns == [c for c in docs.columns if c != "leaks"] + ["leaks"] and got.count() == docs.count()
     hits = sorted([(r["doc_id"], r["item"], r["distance"]) for r in got.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*").collect()], key=str)
     assert hits == sorted([(d, i, n) for d, n in ((900, 0), (901, 3), (901, 3), (None, 0)) for i in (5, 6)], key=str)
@@ -240,6 +242,20 @@ def test_leaks(spark, odd, none):
     assert leaks.find(none, items).collect() == [] and leaks.find(docs, items.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_are_those_of_all_distances(spark):
+    # Every pair of a text and an item is compared: what is returned is exact, and of what is there at least nine in ten are returned.
+    rng = random.Random(12)
+    pool = [f"w{i}{chr(97 + i % 26)}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(12, 40)))) for i in range(25)]
+    texts = [" ".join(rng.choice(pool) for _ in range(60)) for _ in range(40)]
+    texts += [f"{texts[i]} {leaks.edited(rng, x.encode(), int(rng.uniform(0, 0.2) * len(x))).decode()} {texts[i + 1]}" for i, x in items]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["x"]["item"]): r["x"]["distance"] for r in leaks.find(docs, bench).select("doc_id", F.explode("leaks").alias("x")).collect()}
+    flat = [" ".join(t.split()).encode() for t in texts]
+    true = {(d, i): n for d, t in enumerate(flat) for i, x in items for n in [leaks.distance(x.encode(), t, int(0.2 * len(x)))] if n <= int(0.2 * len(x))}
+    assert len(true) >= 25 and set(got) <= set(true) and all(true[k] <= n for k, n in got.items()) and len(got) >= 0.9 * len(true)
+
+
 def test_warc_round_trip_and_lookup(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv", None), (4, "http://b", ""), (5, "http://c", "é" * 3000), (5, "http://c", "é" * 3000), (None, "http://n", "<p>x</p>"), (7, "http://d", "z" * 200_000)]
     pages = spark.createDataFrame([(*r, "s", 0) for r in rows], "page_id long, url string, html string, sha1 string, frame int").repartition(3)
