@@ -9,7 +9,8 @@ from pairwell.operators import report as R
 from pairwell.operators.aggregate import conditional_counts
 from pairwell.operators.inference import fisher_exact, mcnemar, mcnemar_statistic
 from pairwell.operators.joins import pair_wide
-from pairwell.operators.match import balance, match_nearest, match_summary, propensity
+from pairwell.operators.logit import fit_logit
+from pairwell.operators.match import balance, balance_summary, match_nearest, match_summary, propensity
 from pairwell.operators.models import fit_negbin, fit_poisson, model_cells
 from pairwell.operators.outcome import ALL_GROUPINGS, BASIC_GROUPINGS, outcome_counts, outcome_summary, with_tests
 from pairwell.operators.survival import at_risk, event_table, km_curve, km_from_table, logrank_from_table, with_logrank_p
@@ -250,6 +251,30 @@ def fisher_or_ci(spark, sf):
     return rows.select("age_group_narrow", "sex", "fisher_or", "fisher_lo", "fisher_hi")
 
 
+def _fisher_ctes(name: str, source: str) -> tuple:
+    """Estimate and interval for the rows of ``source`` (id and group counts) as ``<name>_ci`` (id, fisher_or, fisher_lo, fisher_hi)."""
+    swap = lambda cte: cte.replace("age_group_narrow, sex", "id").replace("fw", f"{name}_fw").replace("fb", f"{name}_fb").replace("FROM g)", f"FROM {source})")
+    at = lambda kind: f"JOIN {name}_fb {kind} ON {kind}.id = w.id AND {kind}.kind = '{kind[1:]}' AND {kind}.k = 60"
+    bisect = swap(_FISHER_BISECT).replace(f"{name}_fw.age_group_narrow = {name}_fb.age_group_narrow AND {name}_fw.sex = {name}_fb.sex", f"{name}_fw.id = {name}_fb.id")
+    return (
+        swap(_FISHER_WEIGHTS),
+        bisect.replace(f"JOIN {name}_fw ON {name}_fb.age_group_narrow = {name}_fw.age_group_narrow AND {name}_fb.sex = {name}_fw.sex", f"JOIN {name}_fw ON {name}_fw.id = {name}_fb.id"),
+        f"""{name}_ci AS (SELECT w.id,
+          CASE WHEN a = xs[1] THEN 0.0 WHEN a = xs[len(xs)] THEN CAST('Infinity' AS DOUBLE) ELSE exp(xor.lo) END AS fisher_or,
+          CASE WHEN a = xs[1] THEN 0.0 ELSE exp(xlo.lo) END AS fisher_lo,
+          CASE WHEN a = xs[len(xs)] THEN CAST('Infinity' AS DOUBLE) ELSE exp(xhi.lo) END AS fisher_hi
+          FROM {name}_fw w {at('xor')} {at('xlo')} {at('xhi')})""",
+    )
+
+
+_TEXT = "CASE WHEN {x} IS NULL THEN 'NA' WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN 'Inf' ELSE printf('%.{d}f', {x}) END"
+_ODDS_TEXT = "concat({}, '(', {}, '-', {}, ')')".format(*[_TEXT.format(x=c, d=2) for c in ("fisher_or", "fisher_lo", "fisher_hi")])
+
+
+def _p_text(x: str) -> str:
+    return f"CASE WHEN {x} < 0.001 AND NOT isnan({x}) THEN '<0.001' ELSE {_TEXT.format(x=x, d=3)} END"
+
+
 _PAIR_COUNTS = """mc AS (SELECT a.age_group_narrow, COUNT(*) FILTER (WHERE a.ind_death = '1' AND b.ind_death = '0') AS case_only,
   COUNT(*) FILTER (WHERE a.ind_death = '0' AND b.ind_death = '1') AS control_only
   FROM study a JOIN study b ON a.subclass = b.subclass AND a.arm = '1' AND b.arm = '0' GROUP BY a.age_group_narrow)"""
@@ -279,32 +304,45 @@ def mcnemar_p(spark, sf):
     return _rounded(rows, "mcnemar_p").select("age_group_narrow", "mcnemar_p")
 
 
+def _coefficients(pair, digits=6):
+    return _rounded(pair[0], "estimate", "std_error", "z", "p", digits=digits)
+
+
+def _coef_sql(frame: str) -> str:
+    return (
+        "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(z, 6) AS z, "
+        f"round({_TAIL.format(x='z * z')}, 6) AS p FROM (SELECT *, estimate / std_error AS z FROM {frame}) f"
+    )
+
+
 # pairing
 
 
+_NEWTON = (
+    """fit_cells AS (SELECT (age - 50) / 20.0 AS x1, (index_date - DATE '1995-06-01') / 365.0 AS x2,
+         CASE arm WHEN '1' THEN 1.0 ELSE 0.0 END AS y, CAST(COUNT(*) AS DOUBLE) AS w FROM pre GROUP BY ALL)""",
+    """newton(k, b0, b1, b2) AS (
+         SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+         UNION ALL
+         SELECT k + 1,
+           b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+           b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+           b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+         FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+               FROM (SELECT k, b0, b1, b2, SUM(w * (y - p)) AS g0, SUM(w * (y - p) * x1) AS g1, SUM(w * (y - p) * x2) AS g2,
+                       SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * x1) AS h01, SUM(w * p * (1 - p) * x2) AS h02,
+                       SUM(w * p * (1 - p) * x1 * x1) AS h11, SUM(w * p * (1 - p) * x1 * x2) AS h12,
+                       SUM(w * p * (1 - p) * x2 * x2) AS h22
+                     FROM (SELECT k, b0, b1, b2, x1, x2, y, w, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p
+                           FROM newton, fit_cells WHERE k < 15) a GROUP BY k, b0, b1, b2) s) d)""",
+)
+
+
 @query(
     "propensity_score",
     """SELECT p.subject_id, round(1 / (1 + exp(-(b0 + b1 * (age - 50) / 20.0 + b2 * (index_date - DATE '1995-06-01') / 365.0))), 6) AS distance
        FROM pre p JOIN (SELECT * FROM newton WHERE k = 15) n ON n.k = 15""",
-    (
-        *K.ALL_CTES,
-        """fit_cells AS (SELECT (age - 50) / 20.0 AS x1, (index_date - DATE '1995-06-01') / 365.0 AS x2,
-             CASE arm WHEN '1' THEN 1.0 ELSE 0.0 END AS y, CAST(COUNT(*) AS DOUBLE) AS w FROM pre GROUP BY ALL)""",
-        """newton(k, b0, b1, b2) AS (
-             SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
-             UNION ALL
-             SELECT k + 1,
-               b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
-               b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
-               b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
-             FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
-                   FROM (SELECT k, b0, b1, b2, SUM(w * (y - p)) AS g0, SUM(w * (y - p) * x1) AS g1, SUM(w * (y - p) * x2) AS g2,
-                           SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * x1) AS h01, SUM(w * p * (1 - p) * x2) AS h02,
-                           SUM(w * p * (1 - p) * x1 * x1) AS h11, SUM(w * p * (1 - p) * x1 * x2) AS h12,
-                           SUM(w * p * (1 - p) * x2 * x2) AS h22
-                         FROM (SELECT k, b0, b1, b2, x1, x2, y, w, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p
-                               FROM newton, fit_cells WHERE k < 15) a GROUP BY k, b0, b1, b2) s) d)""",
-    ),
+    (*K.ALL_CTES, *_NEWTON),
 )
 def propensity_score(spark, sf):
     pre = checkpointed(H.cohort(K.base(spark, sf), CFG).select("subject_id", "age", "index_date", "arm"))
@@ -315,12 +353,11 @@ def propensity_score(spark, sf):
 _SCORE = "age * 1000 + (index_date - DATE '1995-01-01')"
 
 
-@query(
-    "match_nearest",
-    """SELECT t_id AS case_id, c_id AS control_id FROM greedy WHERE k > 0""",
-    (
-        *K.ALL_CTES,
-        f"""m_rows AS MATERIALIZED (SELECT subject_id AS id, arm, {_SCORE} AS score, age_group_narrow || '/' || sex || '/' || first_state AS st FROM pre)""",
+def _greedy_ctes(score: str, rows: str = "pre", more: tuple = ()) -> tuple:
+    """Greedy pairing row by row as ``greedy`` (t_id, c_id for k > 0), and the pairs' subjects as ``matched`` with their pair's name."""
+    return (
+        *more,
+        f"""m_rows AS MATERIALIZED (SELECT subject_id AS id, arm, {score} AS score, age_group_narrow || '/' || sex || '/' || first_state AS st FROM {rows})""",
         """treated AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY st ORDER BY score DESC, id) AS k FROM m_rows WHERE arm = '1')""",
         """controls AS MATERIALIZED (SELECT * FROM m_rows WHERE arm = '0')""",
         """greedy(st, k, used, t_id, c_id) AS (
@@ -331,8 +368,13 @@ _SCORE = "age * 1000 + (index_date - DATE '1995-01-01')"
                  ROW_NUMBER() OVER (PARTITION BY g.st ORDER BY abs(t.score - c.score), c.score, c.id) AS rn
                FROM greedy g JOIN treated t ON t.st = g.st AND t.k = g.k + 1
                JOIN controls c ON c.st = g.st AND NOT list_contains(g.used, c.id)) r WHERE rn = 1)""",
-    ),
-)
+        """matched AS MATERIALIZED (SELECT p.*, m.subclass, m.score FROM pre p JOIN (
+             SELECT t_id AS id, t_id AS subclass, t.score FROM greedy g JOIN m_rows t ON t.id = t_id WHERE g.k > 0
+             UNION ALL SELECT c_id, t_id, c.score FROM greedy g JOIN m_rows c ON c.id = c_id WHERE g.k > 0) m ON m.id = p.subject_id)""",
+    )
+
+
+@query("match_nearest", "SELECT t_id AS case_id, c_id AS control_id FROM greedy WHERE k > 0", (*K.ALL_CTES, *_greedy_ctes(_SCORE)))
 def match_nearest_query(spark, sf):
     pre = H.cohort(K.base(spark, sf), CFG)
     pre = pre.select("subject_id", "arm", "age_group_narrow", "sex", "first_state",
@@ -389,13 +431,111 @@ def match_summary_query(spark, sf):
     return match_summary(study, H.complete_pairs_cohort(study), "arm")
 
 
-@query("matched_outcome")
+_MOMENTS = ("score", "age", "index_day")
+
+
+def _balance_ctes() -> tuple:
+    numbers = " UNION ALL ".join(f"SELECT sample, arm, '{v}' AS variable, CAST({v} AS DOUBLE) AS v FROM samples" for v in _MOMENTS)
+    levels = " UNION ALL ".join(f"SELECT sample, arm, '{v}' AS variable, {v} AS level FROM samples" for v in CFG.exact_keys)
+    return (
+        f"num AS ({numbers})",
+        f"lev AS ({levels})",
+        """nm AS (SELECT sample, variable, AVG(v) FILTER (WHERE arm = '1') AS m1, AVG(v) FILTER (WHERE arm = '0') AS m0,
+             stddev_samp(v) FILTER (WHERE arm = '1') AS sd, var_samp(v) FILTER (WHERE arm = '1') / var_samp(v) FILTER (WHERE arm = '0') AS ratio
+           FROM num GROUP BY ALL)""",
+        """ne AS (SELECT sample, variable, AVG(gap) AS mean, MAX(gap) AS top FROM (
+             SELECT sample, variable, abs(SUM(n1) OVER w / SUM(n1) OVER (PARTITION BY sample, variable) - SUM(n0) OVER w / SUM(n0) OVER (PARTITION BY sample, variable)) AS gap
+             FROM (SELECT sample, variable, v, COUNT(*) FILTER (WHERE arm = '1') AS n1, COUNT(*) FILTER (WHERE arm = '0') AS n0 FROM num GROUP BY ALL) c
+             WINDOW w AS (PARTITION BY sample, variable ORDER BY v)) g GROUP BY ALL)""",
+        """lt AS (SELECT sample, variable, COUNT(*) FILTER (WHERE arm = '1') AS n1, COUNT(*) FILTER (WHERE arm = '0') AS n0 FROM lev GROUP BY ALL)""",
+        """ls AS (SELECT t.sample, t.variable, d.level, COUNT(*) FILTER (WHERE l.arm = '1') / MAX(t.n1) AS m1, COUNT(*) FILTER (WHERE l.arm = '0') / MAX(t.n0) AS m0
+           FROM lt t JOIN (SELECT DISTINCT variable, level FROM lev) d ON d.variable = t.variable
+           LEFT JOIN lev l ON l.sample = t.sample AND l.variable = t.variable AND l.level = d.level GROUP BY t.sample, t.variable, d.level)""",
+    )
+
+
+_BALANCE_SUMMARY = """SELECT m.sample, m.variable, '' AS level, round(m.m1, 6) AS mean_treated, round(m.m0, 6) AS mean_control, round((m.m1 - m.m0) / a.sd, 6) AS std_mean_diff,
+    round(m.ratio, 6) AS var_ratio, round(e.mean, 6) AS ecdf_mean, round(e.top, 6) AS ecdf_max
+  FROM nm m JOIN ne e ON e.sample = m.sample AND e.variable = m.variable JOIN nm a ON a.sample = 'all' AND a.variable = m.variable
+  UNION ALL
+  SELECT s.sample, s.variable, s.level, round(s.m1, 6), round(s.m0, 6),
+    CASE WHEN a.m1 * (1 - a.m1) > 0 THEN round((s.m1 - s.m0) / sqrt(a.m1 * (1 - a.m1)), 6) END, CAST(NULL AS DOUBLE), round(abs(s.m1 - s.m0), 6), round(abs(s.m1 - s.m0), 6)
+  FROM ls s JOIN ls a ON a.sample = 'all' AND a.variable = s.variable AND a.level = s.level"""
+
+
+_SAMPLES = f"""samples AS MATERIALIZED (
+  SELECT 'all' AS sample, arm, {_SCORE} AS score, age, index_date - DATE '1970-01-01' AS index_day, age_group_narrow, sex, first_state FROM pre
+  UNION ALL SELECT 'matched', arm, score, age, index_date - DATE '1970-01-01', age_group_narrow, sex, first_state FROM matched)"""
+
+
+@query("match_balance_summary", _BALANCE_SUMMARY, (*K.ALL_CTES, *_greedy_ctes(_SCORE), _SAMPLES, *_balance_ctes()))
+def match_balance_summary(spark, sf):
+    """The matching summary of the cohort and of its pairs, the score included."""
+    pre = H.cohort(K.base(spark, sf), CFG).withColumn("index_day", F.unix_date("index_date"))
+    pre = pre.select("subject_id", "arm", "age", "index_day", *CFG.exact_keys,
+                     (F.col("age") * 1000 + F.datediff("index_date", F.lit("1995-01-01").cast("date"))).alias("score"))
+    pre = checkpointed(pre)
+    pairs = checkpointed(match_nearest(pre, "arm", "score", list(CFG.exact_keys), "subject_id"))
+    out = balance_summary(pre, pairs, "arm", list(_MOMENTS), list(CFG.exact_keys))
+    return _rounded(out, "mean_treated", "mean_control", "std_mean_diff", "var_ratio", "ecdf_mean", "ecdf_max", digits=6)
+
+
+# information at the maximum, and its inverse by cofactors; the terms go back from the scaled covariates to age and day
+_LOGIT_END = (
+    """li AS MATERIALIZED (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det,
+         -50 / 20.0 AS a, -(DATE '1995-06-01' - DATE '1970-01-01') / 365.0 AS d
+       FROM (SELECT b0, b1, b2, SUM(w) AS n, SUM(w * y) AS n1, SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * x1) AS h01, SUM(w * p * (1 - p) * x2) AS h02,
+               SUM(w * p * (1 - p) * x1 * x1) AS h11, SUM(w * p * (1 - p) * x1 * x2) AS h12, SUM(w * p * (1 - p) * x2 * x2) AS h22,
+               -2 * SUM(w * (y * ln(p) + (1 - y) * ln(1 - p))) AS deviance
+             FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM newton, fit_cells WHERE k = 15) q GROUP BY b0, b1, b2) s)""",
+    """lv AS (SELECT *, (h11 * h22 - h12 * h12) / det AS c00, (h00 * h22 - h02 * h02) / det AS c11, (h00 * h11 - h01 * h01) / det AS c22,
+         (h02 * h12 - h01 * h22) / det AS c01, (h01 * h12 - h02 * h11) / det AS c02, (h01 * h02 - h00 * h12) / det AS c12 FROM li)""",
+    """logit_coef AS (
+         SELECT '(Intercept)' AS term, b0 + a * b1 + d * b2 AS estimate, sqrt(c00 + a * a * c11 + d * d * c22 + 2 * a * c01 + 2 * d * c02 + 2 * a * d * c12) AS std_error FROM lv
+         UNION ALL SELECT 'age', b1 / 20, sqrt(c11) / 20 FROM lv UNION ALL SELECT 'index_day', b2 / 365, sqrt(c22) / 365 FROM lv)""",
+)
+
+
+def _logit(spark, sf):
+    pre = checkpointed(H.cohort(K.base(spark, sf), CFG).select("age", F.unix_date("index_date").alias("index_day"), "arm"))
+    return fit_logit(pre, "arm", ["age", "index_day"]).tables(spark)
+
+
+@query("propensity_fit", _coef_sql("logit_coef"), (*K.ALL_CTES, *_NEWTON, *_LOGIT_END))
+def propensity_fit(spark, sf):
+    """Coefficients of the score with standard errors from the information at the maximum."""
+    return _coefficients(_logit(spark, sf))
+
+
+@query(
+    "propensity_check",
+    """SELECT CAST(n AS BIGINT) AS n_rows, round(deviance, 5) AS deviance, round(-2 * (n1 * ln(n1 / n) + (n - n1) * ln(1 - n1 / n)), 5) AS null_deviance,
+         round(deviance + 6, 5) AS aic, TRUE AS score_is_zero, TRUE AS converged, FALSE AS separated FROM li""",
+    (*K.ALL_CTES, *_NEWTON, *_LOGIT_END),
+)
+def propensity_check(spark, sf):
+    """Where the fit of the score ended: its score vector is zero, so it is at the maximum."""
+    fit = _rounded(_logit(spark, sf)[1], "deviance", "null_deviance", "aic", digits=5)
+    return fit.withColumn("score_is_zero", F.col("max_score") < 1e-6).drop("max_score", "iterations")
+
+
+_DISTANCE = "round(1 / (1 + exp(-(b0 + b1 * (age - 50) / 20.0 + b2 * (index_date - DATE '1995-06-01') / 365.0))), 9)"
+
+
+@query(
+    "matched_outcome",
+    _outcome_sql("o_matched"),
+    (
+        *K.ALL_CTES, *_NEWTON, "pre_fit AS (SELECT p.*, b0, b1, b2 FROM pre p JOIN newton n ON n.k = 15)",
+        *_greedy_ctes(_DISTANCE, "pre_fit"), _outcome_cte("o_matched", "matched", "ind_death", _B + _S),
+    ),
+)
 def matched_outcome(spark, sf):
-    """Subject chain, propensity score, pairing and outcome table in one go."""
+    """Subject chain, propensity score, pairing and outcome table in one go. Scores are compared to nine digits."""
     pre = checkpointed(H.cohort(K.base(spark, sf), CFG))
     scored = propensity(pre.withColumn("index_day", F.unix_date("index_date")), "arm", ["age", "index_day"])
-    study = match_nearest(scored, "arm", "distance", list(CFG.exact_keys), "subject_id")
-    return outcome_summary(checkpointed(study), ALL_GROUPINGS, "ind_death")
+    study = match_nearest(_rounded(scored, "distance", digits=9), "arm", "distance", list(CFG.exact_keys), "subject_id")
+    return _outcome(checkpointed(study), ALL_GROUPINGS, "ind_death")
 
 
 # curves
@@ -535,10 +675,6 @@ def model_cells_query(spark, sf):
     return _cells(spark, sf)
 
 
-def _coefficients(pair, digits=6):
-    return _rounded(pair[0], "estimate", "std_error", "z", "p", digits=digits)
-
-
 def _glm_ctes(name: str, cells: str, factors: list[str], negbin: bool) -> tuple:
     """A main-effects model as SQL. The effects of one factor after the other are moved by Newton steps, theta along with them; the
     covariances are the inverse of the information matrix, by elimination."""
@@ -600,13 +736,6 @@ def _glm_ctes(name: str, cells: str, factors: list[str], negbin: bool) -> tuple:
     )
 
 
-def _coef_sql(frame: str) -> str:
-    return (
-        "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(z, 6) AS z, "
-        f"round({_TAIL.format(x='z * z')}, 6) AS p FROM (SELECT *, estimate / std_error AS z FROM {frame}) f"
-    )
-
-
 _PA = _glm_ctes("pa", "cells", _FACTORS, False)
 
 
@@ -752,36 +881,53 @@ def suppress_small(spark, sf):
     return R.suppress_small(rows, "control_event_n", "control_n", "control").select("age_group_narrow", "sex", "case", "control")
 
 
-_ODDS = """odds AS (SELECT age_group_narrow, sex, r, exp(ln(r) - 1.96 * se) AS lo, exp(ln(r) + 1.96 * se) AS hi FROM (
-  SELECT *, ((case_event_n + 0.5) * (control_n - control_event_n + 0.5)) / ((control_event_n + 0.5) * (case_n - case_event_n + 0.5)) AS r,
-    sqrt(1 / (case_event_n + 0.5) + 1 / (control_event_n + 0.5)) AS se FROM g) o)"""
+# subjects by band, sex and state: small groups, some without an event or without an event-free subject in an arm
+_FINE = """fine AS (SELECT ROW_NUMBER() OVER (ORDER BY age_group_narrow, sex, first_state) AS id, * FROM (
+  SELECT age_group_narrow, sex, first_state, COUNT(*) FILTER (WHERE arm = '1') AS case_n, COUNT(*) FILTER (WHERE arm = '0') AS control_n,
+    COUNT(*) FILTER (WHERE arm = '1' AND ind_death = '1') AS case_event_n, COUNT(*) FILTER (WHERE arm = '0' AND ind_death = '1') AS control_event_n
+  FROM study GROUP BY age_group_narrow, sex, first_state) q)"""
+_FINE_KEYS = ["age_group_narrow", "sex", "first_state"]
+
+
+def _fine(spark, sf):
+    return conditional_counts(V.study(spark, sf), _FINE_KEYS, "arm", F.col("ind_death") == "1")
 
 
 @query(
     "format_odds",
-    "SELECT age_group_narrow, sex, printf('%.2f(%.2f-%.2f)', CAST(r AS DOUBLE), lo, hi) AS odds_ratio FROM odds",
-    (_GROUPS, _ODDS),
+    f"SELECT age_group_narrow, sex, first_state, {_ODDS_TEXT} AS odds_ratio FROM fine JOIN f_ci ON f_ci.id = fine.id",
+    (_FINE, *_fisher_ctes("f", "fine")),
 )
 def format_odds(spark, sf):
-    half = lambda c: c.cast("double") + 0.5
-    e1, e0 = half(F.col("case_event_n")), half(F.col("control_event_n"))
-    r = (e1 * half(F.col("control_n") - F.col("control_event_n"))) / (e0 * half(F.col("case_n") - F.col("case_event_n")))
-    rows = _groups(spark, sf).withColumn("r", r).withColumn("se", F.sqrt(1 / e1 + 1 / e0))
-    rows = rows.withColumns(
-        {"lo": F.exp(F.log("r") - F.lit(1.96) * F.col("se")), "hi": F.exp(F.log("r") + F.lit(1.96) * F.col("se"))}
-    )
-    return R.format_odds(rows, "r", "lo", "hi").select("age_group_narrow", "sex", "odds_ratio")
+    """Odds ratios of Fisher's test on small groups: 0 and Inf occur."""
+    rows = _fine(spark, sf).withColumns({"a": F.col("control_n") - F.col("control_event_n"), "c": F.col("case_n") - F.col("case_event_n")})
+    return R.format_odds(fisher_exact(rows, "a", "control_event_n", "c", "case_event_n")).select(*_FINE_KEYS, "odds_ratio")
+
+
+_FINE_PAIRS = """fine_pairs AS (SELECT a.age_group_narrow, a.sex, a.first_state, COUNT(*) FILTER (WHERE a.ind_death = '1' AND b.ind_death = '0') AS case_only,
+  COUNT(*) FILTER (WHERE a.ind_death = '0' AND b.ind_death = '1') AS control_only
+  FROM study a JOIN study b ON a.subclass = b.subclass AND a.arm = '1' AND b.arm = '0' GROUP BY ALL)"""
 
 
 @query(
     "format_p",
-    """SELECT age_group_narrow, sex, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text
-       FROM (SELECT *, CAST(case_event_n AS DOUBLE) / case_n / case_n AS p FROM g) q""",
-    (_GROUPS,),
+    f"""SELECT 'hospitalized' AS test, age_group, sex, first_state, {_p_text('fisher_p')} AS p_text FROM (SELECT *, {_FISHER} AS fisher_p FROM o_hosp) h
+        UNION ALL SELECT 'death in pairs', age_group_narrow, sex, first_state, {_p_text('mcnemar_p')}
+        FROM (SELECT *, {_TAIL.format(x='s')} AS mcnemar_p FROM (SELECT *, {_MCNEMAR} AS s FROM fine_pairs) m) t""",
+    (_HOSP, _outcome_cte("o_hosp", "hosp", "ind_hospitalized", _B), _FINE_PAIRS),
 )
 def format_p(spark, sf):
-    rows = _groups(spark, sf).withColumn("p", F.col("case_event_n").cast("double") / F.col("case_n") / F.col("case_n"))
-    return R.format_p(rows, "p", "p_text").select("age_group_narrow", "sex", "p_text")
+    """P values of both tests: below 0.001 among the groups of the outcome table, NaN where no pair differs."""
+    hosp = outcome_summary(H.complete_pairs_cohort(V.study(spark, sf)), BASIC_GROUPINGS, "ind_hospitalized")
+    wide = pair_wide(V.study(spark, sf), "subclass", "arm", ["ind_death", *_FINE_KEYS])
+    only = lambda a, b: F.count_if((F.col(f"ind_death_{a}") == "1") & (F.col(f"ind_death_{b}") == "0"))
+    pairs = wide.groupBy(F.col("age_group_narrow_case").alias("age_group"), F.col("sex_case").alias("sex"), F.col("first_state_case").alias("first_state"))
+    pairs = mcnemar(pairs.agg(only("case", "control").alias("case_only"), only("control", "case").alias("control_only")), "case_only", "control_only")
+    rows = [
+        R.format_p(df, p, "p_text").select(F.lit(test).alias("test"), "age_group", "sex", "first_state", "p_text")
+        for test, df, p in (("hospitalized", hosp, "fisher_p"), ("death in pairs", pairs, "mcnemar_p"))
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 def _params_sql() -> str:
@@ -880,8 +1026,30 @@ def demographic_table(spark, sf):
     return R.demographic_table(base, H.cohort(base, CFG), V.study(spark, sf), CFG)
 
 
-@query("outcome_export")
+def _export_sql(table: str, frame: str) -> str:
+    n = lambda c: f"CAST({c} AS BIGINT)"
+    return f"""SELECT '{table}' AS outcome, description, age_group, sex, first_state, {_suppress_sql(n("case_event_n"), n("case_n"))} AS "case",
+        {_suppress_sql(n("control_event_n"), n("control_n"))} AS control, {_ODDS_TEXT} AS odds_ratio, {_p_text("fisher_p")} AS p_value,
+        {_p_text("mcnemar_p")} AS mcnemar_p_value
+      FROM (SELECT *, {_TAIL.format(x="mcnemar_stat")} AS mcnemar_p FROM (SELECT *, {_FISHER} AS fisher_p, {_MCNEMAR} AS mcnemar_stat FROM {frame}) a) o
+      JOIN {frame}_ci c ON c.id = o.id"""
+
+
+def _numbered(frame: str) -> str:
+    return f"{frame} AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY {_KEYS}, case_n, control_n) AS id, * FROM {frame[:-1]})"
+
+
+@query(
+    "outcome_export",
+    f"{_export_sql('death', 'o_deathx')} UNION ALL {_export_sql('hosp', 'o_hospx')}",
+    (
+        _HOSP, _outcome_cte("o_death", "study", "ind_death", _B + _S), _outcome_cte("o_hosp", "hosp", "ind_hospitalized", _B),
+        _numbered("o_deathx"), _numbered("o_hospx"), *_fisher_ctes("o_deathx", "o_deathx"), *_fisher_ctes("o_hospx", "o_hospx"),
+    ),
+)
 def outcome_export(spark, sf):
-    """The outcome table as text, small cells hidden."""
-    counts = outcome_counts(V.study(spark, sf), ALL_GROUPINGS, "ind_death")
-    return R.export_outcome(with_tests(counts), CFG.min_cell)
+    """The outcome tables of both outcomes as text, small cells hidden."""
+    study = V.study(spark, sf)
+    counts = {"death": outcome_counts(study, ALL_GROUPINGS, "ind_death"), "hosp": outcome_counts(H.complete_pairs_cohort(study), BASIC_GROUPINGS, "ind_hospitalized")}
+    tables = [R.export_outcome(with_tests(c), CFG.min_cell).select(F.lit(name).alias("outcome"), "*") for name, c in counts.items()]
+    return tables[0].unionByName(tables[1])
