@@ -6,9 +6,10 @@ classes have) adds a place, and one more shared n-gram is asked for. With m - 1
 costly ones need not be gone through. A class that does not get p cheap n-grams in its window keeps its plain prefix and is compared over the costly
 lists as well: with one hub of each list first, then, where it is not yet in the hub's group, in blocks.
 
-Candidates pass a parity bitmap: bits that differ are n-grams that differ, so nothing similar is lost, and with two bits an n-gram or more little else
-gets through. The rest is verified on the texts in three rounds, each of which looks at pairs between two groups only: one pair of each class (to the hub
-of a costly list, or to its first cheap neighbour), then the most promising pair of each two groups, then all that is left, which are near misses.
+Candidates pass a parity bitmap: bits that differ are n-grams that differ, so nothing similar is lost. Pairs over cheap n-grams meet a narrow bitmap first;
+what is left between two groups, and all pairs of a costly list, a wide one of two bits an n-gram or more, which lets little else through. The rest is
+verified on the texts in three rounds, each of which looks at pairs between two groups only: one pair of each class (to the hub of a costly list, or to
+its first cheap neighbour), then the most promising pair of each two groups, then, where that failed, all that is left, which are near misses.
 """
 
 from __future__ import annotations
@@ -66,10 +67,10 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _bitmaps(grams: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Of each set, the parity of its hashes' low bits, as bytes: a power of two of bits, twice as many as hashes at least, MAX_BITS at most."""
+def _bitmaps(grams: np.ndarray, ends: np.ndarray, share: float) -> pa.Array:
+    """Of each set, the parity of its hashes' low bits, as bytes: a power of two of bits, ``share`` times as many as hashes at least, MAX_BITS at most."""
     n = np.diff(ends)
-    bits = np.minimum(64 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64), MAX_BITS)
+    bits = np.minimum(64 << np.ceil(np.log2(np.maximum(n * share / 64, 1))).astype(np.int64), MAX_BITS)
     start = np.cumsum(bits) - bits
     at = np.repeat(start, n) + (grams & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
     parity = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -87,7 +88,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, percent: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Per row: id, row, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap."""
+    """Per row: id, row, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap, wide (a bitmap of more bits)."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +101,12 @@ def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, pe
                 rank = np.arange(len(grams)) - np.repeat(ends[:-1], n)
                 window = grams[rank < np.repeat(short, n)]
                 digests = [pa.array(_sums(_mixed(grams ^ np.uint64(k)), ends)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-                cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 3, 2)], *cells], ["id", "row", "text_hash", "n", "d1", "d2", "window", "bitmap"])
+                cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends, 0.5), _bitmaps(grams, ends, 2)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 3, 2)], *cells], ["id", "row", "text_hash", "n", "d1", "d2", "window", "bitmap", "wide"])
         pa.default_memory_pool().release_unused()  # the worker stays while later stages need the memory
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, row long, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary")
+    return rows.mapInArrow(run, f"id {kind}, row long, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary, wide binary")
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +240,7 @@ class _Links:
 
 
 def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b, apart) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
+    """Candidate pairs (token, a, b, apart) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
 
     ``members``: token, rid, n, full, label, bitmap, lists (the first three lists that the member is in). Pairs of one group are left out; ``apart`` is
     the number of bits that differ. With ``best`` a block returns only the pair of the fewest such bits of each two groups. Two members may meet in many
@@ -297,10 +298,10 @@ def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
             order = np.lexsort((b, a, d, groups[:, 1], groups[:, 0]))
             order = order[np.concatenate([[True], (np.diff(groups[order], axis=0) != 0).any(axis=1)])]
             a, b, d = a[order], b[order], d[order]
-        return pa.table({"a": a, "b": b, "apart": d})
+        return pa.table({"token": np.full(len(a), here, np.int64), "a": a, "b": b, "apart": d})
 
     row = row.select(*[F.col(c).alias(c) for c in keep])  # other columns than those of the right side
-    return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "a long, b long, apart long").where("a < b")
+    return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "token long, a long, b long, apart long").where("a < b")
 
 
 def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", row: str | None = None, list_limit: int = 16) -> DataFrame:
@@ -316,8 +317,8 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     """
     spark = docs.sparkSession
     made = stored(sketches(docs, id, text, row, size, percent), "join-sketches")
-    of_class = made.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("least"), F.max(F.struct("id", "text_hash")).alias("one"), F.first("window").alias("window"), F.first("bitmap").alias("bitmap"))
-    sets = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", F.monotonically_increasing_id().alias("rid")), "join-sets")
+    of_class = made.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("least"), F.max(F.struct("id", "text_hash")).alias("one"), F.first("window").alias("window"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    sets = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", "wide", F.monotonically_increasing_id().alias("rid")), "join-sets")
     ids = stored(made.select("id", "row", "n", "d1", "d2"), "join-ids")
     discard_stored(made)
     free_shuffles(spark)
@@ -327,8 +328,8 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     shared = stored(grams.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "join-shared")
     free_shuffles(spark)
     posts = stored(grams.join(shared, "token").select("token", "rid", "n", "pos", (F.col("f") > list_limit).alias("dear")), "join-posts")
-    classes = stored(sets.drop("window", "bitmap"), "join-classes")
-    bitmaps = stored(sets.select("rid", "n", "bitmap"), "join-bitmaps")
+    classes = stored(sets.drop("window", "bitmap", "wide"), "join-classes")
+    bitmaps, wides = stored(sets.select("rid", "n", "bitmap"), "join-bitmaps"), stored(sets.select("rid", "n", "wide"), "join-wides")
     discard_stored(sets, shared)
     free_shuffles(spark)
     costly = posts.where("dear").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("costly"))
@@ -350,8 +351,18 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
         for side in ("a", "b"):
             pairs = pairs.join(about.select(*[F.col(c).alias(f"{c}_{side}") for c in about.columns]), F.col(side) == F.col(f"rid_{side}"))
         enough = F.col("c") + F.size(F.array_intersect("met_a", "met_b")) >= F.least("m_a", "m_b")
-        near = pairs.where(enough).withColumn("apart", _apart("bitmap_a", "bitmap_b"))
-        return near.where(F.col("apart") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("v", "a", "b", "apart")
+        return close(pairs.where(enough), "bitmap").select("v", "a", "b", "apart")
+
+    def close(pairs: DataFrame, bitmap: str) -> DataFrame:
+        near = pairs.withColumn("apart", _apart(f"{bitmap}_a", f"{bitmap}_b"))
+        return near.where(F.col("apart") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a, b), those between two groups that pass the wide bitmap."""
+        pairs = links.labelled(pairs.select("a", "b")).where("la <> lb").select("a", "b")
+        for side in ("a", "b"):
+            pairs = pairs.join(wides.select(*[F.col(c).alias(f"{c}_{side}") for c in wides.columns]), F.col(side) == F.col(f"rid_{side}"))
+        return close(pairs, "wide").select("a", "b", "apart")
 
     light = members.where("not dear").select("token", "rid", "n")
     one, two = light.select("token", F.col("rid").alias("a"), F.col("n").alias("na")), light.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
@@ -368,19 +379,25 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     first = ends.groupBy("v").agg(F.min("other").alias("other")).select(F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b"))
     nearest = passing(star).groupBy("v").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     tested = [links.add(first.union(nearest))]
-    inner = lists.join(hubs.select("token"), "token").join(about.select("rid", "bitmap", F.slice("met", 1, 3).alias("lists")), "rid")
+    inner = lists.join(hubs.select("token"), "token").join(wides.select("rid", F.col("wide").alias("bitmap")), "rid").join(about.select("rid", F.slice("met", 1, 3).alias("lists")), "rid")
     inner = stored(inner.select("token", F.col("rid").alias("a"), F.col("rid").alias("b"), "n", "full", "bitmap", "lists"), "join-inner")
-    discard_stored(hubs)
+    left = stored(between(cheap), "join-cheap")
+    discard_stored(hubs, cheap, wides)
+    dear = None
     for best in (True, False):
-        now = links.labelled(inner).select("token", F.col("a").alias("rid"), "n", "full", F.col("la").alias("label"), "bitmap", "lists")
-        cross = links.labelled(cheap.union(_compared(now, percent, best))).where("la <> lb")
+        now = links.labelled(inner if best else inner.join(links.labelled(dear).where("la <> lb").select("token").distinct(), "token"))
+        now = now.select("token", F.col("a").alias("rid"), "n", "full", F.col("la").alias("label"), "bitmap", "lists")
+        found = stored(_compared(now, percent, best), "join-dear")
+        cross = links.labelled(left.select("a", "b", "apart").union(found.select("a", "b", "apart"))).where("la <> lb")
         if best:
+            dear = found
             cross = cross.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        left = cross.select("a", "b").distinct()
+        cross = cross.select("a", "b").distinct()
         for t in tested:
-            left = left.join(t, ["a", "b"], "left_anti")
-        tested.append(links.add(left))
-    discard_stored(cheap, inner, *tested)
+            cross = cross.join(t, ["a", "b"], "left_anti")
+        tested.append(links.add(cross))
+        free_shuffles(spark)
+    discard_stored(left, dear, found, inner, *tested)
 
     known = links.labelled(classes.select("d1", "d2", "n", "least", F.col("rid").alias("a"), F.col("rid").alias("b"))).select("d1", "d2", "n", "least", F.col("la").alias("label"))
     known = stored(known, "join-known")

@@ -150,7 +150,7 @@ def test_bitmaps_never_differ_in_more_bits_than_the_sets(monkeypatch):
     monkeypatch.setattr(ngram_join, "MAX_BITS", 1 << 12)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 40, 41, 700, 9000)]
     sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for s in sets]
-    maps = ngram_join._bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    maps = ngram_join._bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 2)
     pairs = [(i, k) for i in range(len(sets)) for k in range(len(sets))]
     got = ngram_join.differing(maps.take([i for i, _ in pairs]), maps.take([k for _, k in pairs]))
     real = [len(np.setxor1d(sets[i], sets[k])) for i, k in pairs]
