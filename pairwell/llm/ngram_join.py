@@ -239,22 +239,25 @@ class _Links:
         return left.groupBy("bucket").cogroup(right.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(run, "a long, b long, linked boolean")
 
 
-def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
+def _compared(members: DataFrame, extra: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (token, a, b, apart) of each costly list: members that are ``full`` against all, in blocks of bounded size, by bitmap.
 
-    ``members``: token, rid, n, full, label, bitmap, lists (the first three lists that the member is in). Pairs of one group are left out; ``apart`` is
-    the number of bits that differ. With ``best`` a block returns only the pair of the fewest such bits of each two groups. Two members may meet in many
-    lists; if they have one of their first three in common, only the first such list returns them.
+    ``members``: token, rid, n, full, label; ``extra``: rid, bitmap, lists (the first three lists that the class is in), which the members get last, when
+    they are dealt to blocks. Pairs of one group are left out; ``apart`` is the number of bits that differ. With ``best`` a block returns only the pair
+    of the fewest such bits of each two groups. Two members may meet in many lists; if they have one of their first three in common, only the first such
+    list returns them.
     """
-    counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("full"), 1)).alias("q"), F.countDistinct("label").alias("groups")).where("q > 0 and groups > 1")
+    counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("full"), 1)).alias("q"), (F.min("label") < F.max("label")).alias("several")).where("q > 0 and several")
     cut = stored(counts.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("q") / BLOCK).cast("int").alias("rows")), "join-cut")
-    rows = members.join(cut, "token")
-    block = F.xxhash64("rid")
-    col = rows.withColumn("j", F.pmod(block, F.col("cols")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    row = rows.where("full").withColumn("i", F.pmod(block, F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-    keep = ["token", "i", "j", "rid", "n", "label", "bitmap", "lists"]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows, block = members.join(cut, "token"), F.xxhash64("rid")
+    col, row = F.pmod(block, F.col("cols")).cast("int"), F.pmod(block, F.col("rows")).cast("int")
+    place = lambda i, j, row, col: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(row).alias("is_row"), F.lit(col).alias("is_col"))
+    # A member is a column in every block row, and a full one a row in every block column; where the two meet, one copy is both.
+    across = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"), (F.col("full") & (i == row)).alias("is_row"), F.lit(True).alias("is_col")))
+    down = F.when(F.col("full"), F.filter(F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: place(row, j, True, False)), lambda x: x["j"] != col))
+    dealt = rows.select("token", "rid", "n", "label", F.explode(F.concat(across, F.coalesce(down, F.array()))).alias("at")).select("token", "at.*", "rid", "n", "label")
+
+    def run(table: pa.Table) -> pa.Table:
         def side(t: pa.Table) -> tuple:
             maps = [np.frombuffer(x, np.uint64) for x in t.column("bitmap").to_pylist()]
             first = np.array([[*x, *[None] * 3][:3] for x in t.column("lists").to_pylist()], object).reshape(len(maps), 3)
@@ -262,17 +265,17 @@ def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
             lists = np.where(known, first, 0).astype(np.int64)
             return t.column("rid").to_numpy(), t.column("n").to_numpy(), t.column("label").to_numpy(), maps, np.array([len(m) for m in maps], np.int64), lists, known
 
-        (ra, na, la, ma, wa, fa, ka), (rb, nb, lb, mb, wb, fb, kb) = side(left), side(right)
-        here = left.column("token")[0].as_py() if len(ra) else 0
+        here = table.column("token")[0].as_py()
+        (ra, na, la, ma, wa, fa, ka), (rb, nb, lb, mb, wb, fb, kb) = side(table.filter(table.column("is_row"))), side(table.filter(table.column("is_col")))
         a_out, b_out, d_out, g_out = [], [], [], []
         for w in np.unique(wb).tolist() if len(wb) else []:
             mine = np.flatnonzero(wb == w)
-            table = np.stack([mb[k] for k in mine])
+            stack = np.stack([mb[k] for k in mine])
             for i in range(len(ra)):
                 at = mine[(la[i] != lb[mine]) & (np.minimum(na[i], nb[mine]) * 100 >= np.maximum(na[i], nb[mine]) * percent)]
                 if not len(at):
                     continue
-                x, y = ma[i], table[np.searchsorted(mine, at)]
+                x, y = ma[i], stack[np.searchsorted(mine, at)]
                 if wa[i] > w:
                     x = np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)
                 elif wa[i] < w:
@@ -300,8 +303,8 @@ def _compared(members: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b, d = a[order], b[order], d[order]
         return pa.table({"token": np.full(len(a), here, np.int64), "a": a, "b": b, "apart": d})
 
-    row = row.select(*[F.col(c).alias(c) for c in keep])  # other columns than those of the right side
-    return row.groupBy("token", "i", "j").cogroup(col.select(*keep).groupBy("token", "i", "j")).applyInArrow(run, "token long, a long, b long, apart long").where("a < b")
+    whole = dealt.join(extra, "rid").select("token", "i", "j", "is_row", "is_col", "rid", "n", "label", "bitmap", "lists")
+    return whole.groupBy("token", "i", "j").applyInArrow(run, "token long, a long, b long, apart long").where("a < b")
 
 
 def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", row: str | None = None, list_limit: int = 16) -> DataFrame:
@@ -351,7 +354,7 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
         for side in ("a", "b"):
             pairs = pairs.join(about.select(*[F.col(c).alias(f"{c}_{side}") for c in about.columns]), F.col(side) == F.col(f"rid_{side}"))
         enough = F.col("c") + F.size(F.array_intersect("met_a", "met_b")) >= F.least("m_a", "m_b")
-        return close(pairs.where(enough), "bitmap").select("v", "a", "b", "apart")
+        return close(pairs.where(enough), "bitmap").select("a", "b", "apart")
 
     def close(pairs: DataFrame, bitmap: str) -> DataFrame:
         near = pairs.withColumn("apart", _apart(f"{bitmap}_a", f"{bitmap}_b"))
@@ -366,28 +369,29 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
 
     light = members.where("not dear").select("token", "rid", "n")
     one, two = light.select("token", F.col("rid").alias("a"), F.col("n").alias("na")), light.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & _sized(percent, "na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("v", F.col("a"))
+    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & _sized(percent, "na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     lists = members.where("dear")
     hubs = stored(lists.where("full").groupBy("token").agg(F.max_by("rid", F.struct("costly", "rid")).alias("hub"), F.max_by("n", F.struct("costly", "rid")).alias("nh")), "join-hubs")
-    star = lists.join(hubs, "token").where((F.col("rid") != F.col("hub")) & _sized(percent, "n", "nh"))
-    star = star.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"), F.col("rid").alias("v")).distinct().withColumn("c", F.lit(1 << 20))
-    cheap = stored(passing(pairs).drop("v"), "join-cheap")
+    # Of each class, the hub with which it shares the most costly lists.
+    star = lists.join(hubs, "token").where((F.col("rid") != F.col("hub")) & _sized(percent, "n", "nh")).groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("f"))
+    star = star.groupBy("rid").agg(F.max_by("hub", F.struct("f", "hub")).alias("hub"))
+    star = star.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct().withColumn("c", F.lit(1 << 20))
+    cheap = stored(passing(pairs), "join-cheap")
     free_shuffles(spark)
     links = _Links(classes, docs, id, text, size, percent)
-    # Of each class, the smallest of its neighbours over cheap n-grams, and the nearest hub.
+    # Of each class, the smallest of its neighbours over cheap n-grams, and its hub.
     ends = cheap.select(F.col("a").alias("v"), F.col("b").alias("other")).union(cheap.select(F.col("b").alias("v"), F.col("a").alias("other")))
     first = ends.groupBy("v").agg(F.min("other").alias("other")).select(F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b"))
-    nearest = passing(star).groupBy("v").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-    tested = [links.add(first.union(nearest))]
-    inner = lists.join(hubs.select("token"), "token").join(wides.select("rid", F.col("wide").alias("bitmap")), "rid").join(about.select("rid", F.slice("met", 1, 3).alias("lists")), "rid")
-    inner = stored(inner.select("token", F.col("rid").alias("a"), F.col("rid").alias("b"), "n", "full", "bitmap", "lists"), "join-inner")
+    tested = [links.add(first.union(passing(star).select("a", "b")))]
+    inner = stored(lists.join(hubs.select("token"), "token").select("token", F.col("rid").alias("a"), F.col("rid").alias("b"), "n", "full"), "join-inner")
+    extra = stored(wides.select("rid", F.col("wide").alias("bitmap")).join(about.select("rid", F.slice("met", 1, 3).alias("lists")), "rid"), "join-extra")
     left = stored(between(cheap), "join-cheap")
     discard_stored(hubs, cheap, wides)
     dear = None
     for best in (True, False):
         now = links.labelled(inner if best else inner.join(links.labelled(dear).where("la <> lb").select("token").distinct(), "token"))
-        now = now.select("token", F.col("a").alias("rid"), "n", "full", F.col("la").alias("label"), "bitmap", "lists")
-        found = stored(_compared(now, percent, best), "join-dear")
+        now = now.select("token", F.col("a").alias("rid"), "n", "full", F.col("la").alias("label"))
+        found = stored(_compared(now, extra, percent, best), "join-dear")
         cross = links.labelled(left.select("a", "b", "apart").union(found.select("a", "b", "apart"))).where("la <> lb")
         if best:
             dear = found
@@ -397,7 +401,7 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
             cross = cross.join(t, ["a", "b"], "left_anti")
         tested.append(links.add(cross))
         free_shuffles(spark)
-    discard_stored(left, dear, found, inner, *tested)
+    discard_stored(left, dear, found, inner, extra, *tested)
 
     known = links.labelled(classes.select("d1", "d2", "n", "least", F.col("rid").alias("a"), F.col("rid").alias("b"))).select("d1", "d2", "n", "least", F.col("la").alias("label"))
     known = stored(known, "join-known")
