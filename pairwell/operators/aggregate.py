@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CASE, CONTROL = "1", "0"
@@ -88,6 +88,33 @@ def quantiles_by(df: DataFrame, col: str, arm: str, probs=(0.25, 0.5, 0.75)) ->
     )
 
 
+def value_sketches(df: DataFrame, col: str, keys: list[str], k: int = 400) -> DataFrame:
+    """A quantile sketch per group: keys, n, sketch. Its size follows from ``k``, not from the rows or distinct values.
+
+    Sketches are made in the map tasks and merged; kept as a column, those of parts (days, files) can be merged later by
+    :func:`merged_sketches` into the sketch of the whole.
+    """
+    value = F.col(col).cast("double")
+    rows = df.filter(value.isNotNull() & ~F.isnan(value))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of finer groups merged to those of ``keys``."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def rank_error(k: int = 400) -> float:
+    """The stated error of a sketch: a quantile's rank is off by at most this share of the rows, in 99 of 100 cases."""
+    return 2.446 / k**0.9433
+
+
+def sketched_quantiles(sketches: DataFrame, keys: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Long table keys, n, prob, value: for values so many that :func:`quantiles_by`, which counts each, is no longer small."""
+    at = [F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return sketches.select(*keys, "n", F.inline(F.array(*at)))
+
+
 def shares_by(cells: DataFrame, key: str, arm: str, n: str = "n") -> DataFrame:
     """Count and share per level of ``key``, overall and inside each arm, from a cell table with counts ``n``."""
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0)).cast("bigint")
@@ -96,8 +123,9 @@ def shares_by(cells: DataFrame, key: str, arm: str, n: str = "n") -> DataFrame:
         count(F.col(arm) == CASE).alias("case_n"),
         count(F.col(arm) == CONTROL).alias("control_n"),
     )
-    # the window runs over the levels of one category
-    share = lambda c: F.try_divide(c, F.sum(c).over(Window.partitionBy(F.lit(1))))
+    # the totals are one row of their own, which Spark fetches as a scalar
+    totals = levels.select(F.struct(*[F.sum(c).alias(c) for c in ("general_n", "case_n", "control_n")])).scalar()
+    share = lambda c: F.try_divide(c, totals[c])
     return levels.select(
         key,
         "general_n",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.config import StudyConfig
@@ -34,19 +34,39 @@ def cohort(base: DataFrame, cfg: StudyConfig) -> DataFrame:
     return base
 
 
-def attrition(base: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """How many subjects, and how many per arm, are left after each rule; one pass over the data."""
-    passed, rows = F.lit(True), [("all", F.lit(True))]
+def attrition_steps(cfg: StudyConfig) -> list[tuple[str, Column]]:
+    """All subjects, and those left after each rule: (name, condition)."""
+    passed, steps = F.lit(True), [("all", F.lit(True))]
     for name, cond in cohort_steps(cfg):
         passed = passed & F.coalesce(cond, F.lit(False))
-        rows.append((name, passed))
+        steps.append((name, passed))
+    return steps
+
+
+def attrition_counts(cfg: StudyConfig) -> list[Column]:
+    """The numbers behind the attrition table, as aggregates: for a pass of their own, or to be observed while the
+    subject table is written."""
     counts = []
-    for i, (_, cond) in enumerate(rows):
+    for i, (_, cond) in enumerate(attrition_steps(cfg)):
         counts += [
             F.count_if(cond).alias(f"n{i}"),
             F.count_if(cond & (F.col("arm") == "1")).alias(f"c{i}"),
             F.count_if(cond & (F.col("arm") == "0")).alias(f"k{i}"),
         ]
+    return counts
+
+
+ATTRITION_TYPE = "step int, description string, n bigint, case_n bigint, control_n bigint"
+
+
+def attrition_table(spark: SparkSession, counts: dict[str, int], cfg: StudyConfig) -> DataFrame:
+    """How many subjects, and how many per arm, are left after each rule, from counts observed before."""
+    names = [name for name, _ in attrition_steps(cfg)]
+    return spark.createDataFrame([(i, d, *(counts[f"{x}{i}"] for x in "nck")) for i, d in enumerate(names)], ATTRITION_TYPE)
+
+
+def attrition(base: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """How many subjects, and how many per arm, are left after each rule; one pass over the data."""
     lines = F.array(
         *[
             F.struct(
@@ -56,10 +76,10 @@ def attrition(base: DataFrame, cfg: StudyConfig) -> DataFrame:
                 F.col(f"c{i}").alias("case_n"),
                 F.col(f"k{i}").alias("control_n"),
             )
-            for i, (name, _) in enumerate(rows)
+            for i, (name, _) in enumerate(attrition_steps(cfg))
         ]
     )
-    return base.agg(*counts).select(F.inline(lines))
+    return base.agg(*attrition_counts(cfg)).select(F.inline(lines))
 
 
 def subcohort_with_partners(study: DataFrame, lo: int, hi: int, gap: str = "days_dose_to_index") -> DataFrame:

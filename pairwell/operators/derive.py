@@ -10,7 +10,7 @@ base     one row per subject, grown step by step by ``subject_table``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairwell import config as C
@@ -269,7 +269,8 @@ def subject_table(
     """The whole chain from tagged master and stays to one row per subject with all study columns.
 
     ``repeated_prior``: ``error`` stops the run when a subject has two prior stays, ``latest`` keeps the latest. The
-    per-subject table before the states is written to the checkpoint folder, since two joins read it.
+    per-subject table before the states is written to the checkpoint folder, since two joins read it; the number of
+    prior stays is observed on the way.
     """
     base = index_rows(master, cfg.clean_first)
     base = base.join(stay_features(stays, base, cfg, hot_stays), ID, "left").withColumns(
@@ -278,10 +279,9 @@ def subject_table(
             "ind_hospitalized": F.coalesce("ind_hospitalized", F.lit("0")),
         }
     )
-    base = checkpointed(base)
-    if repeated_prior == "error":
-        bad = base.filter("prior_n > 1").select(ID, "prior_n").limit(1).collect()
-        if bad:
-            raise ValueError(f"subject {bad[0][0]!r} has {bad[0][1]} prior stays")
+    most = Observation()
+    base = checkpointed(base.observe(most, F.max("prior_n").alias("n"), F.max_by(ID, "prior_n").alias("id")))
+    if repeated_prior == "error" and (most.get["n"] or 0) > 1:
+        raise ValueError(f"subject {most.get['id']!r} has {most.get['n']} prior stays")
     base = base.drop("prior_n").join(states_during(updates, base, hot_updates), ID, "left")
     return study_columns(with_state_defaults(base), cfg)

@@ -17,10 +17,11 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
-def complete_groups(df: DataFrame, key: str, n: int, hot: HotKeys | None = None) -> DataFrame:
+def complete_groups(df: DataFrame, key: str, n: int, hot: HotKeys = HotKeys(())) -> DataFrame:
     """Rows whose group has exactly ``n`` members.
 
-    The group sizes are aggregated first and joined back, so that a group that is far too large is never gathered.
+    The group sizes are aggregated first and joined back, so that a group that is far too large is never gathered. No
+    key is counted to find hot groups: hand ``hot`` over where some group may hold a large share of the rows.
     """
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return attach(df, sizes.filter(F.col("_n") == n).select(key), [key], "inner", hot=hot)

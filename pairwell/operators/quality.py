@@ -126,12 +126,26 @@ def error_counts(df: DataFrame) -> DataFrame:
 
 def error_combined(counts: DataFrame) -> DataFrame:
     """Counts per tag combination (untagged left out) plus one row with err NULL for the total."""
-    tagged = counts.filter(F.col(ERR) != "")
-    total = tagged.agg(F.sum("value").alias("value")).select(F.lit(None).cast("string").alias(ERR), "value")
-    return tagged.select(ERR, "value").unionByName(total)
+    kinds = error_kinds(counts)
+    total = F.col("kind") == "total"
+    return kinds.filter("kind <> 'separate'").select(F.when(~total, F.col(ERR)).alias(ERR), "value")
 
 
 def error_separate(counts: DataFrame) -> DataFrame:
     """Counts per single tag."""
-    tags = counts.select(F.explode(F.split(F.col(ERR), " ")).alias(ERR), "value").filter(F.col(ERR) != "")
-    return tags.groupBy(ERR).agg(F.sum("value").alias("value"))
+    return error_kinds(counts).filter("kind = 'separate'").select(ERR, "value")
+
+
+def error_kinds(counts: DataFrame) -> DataFrame:
+    """(kind, err, value) from :func:`error_counts`: per combination, in total and per single tag, in one aggregate.
+
+    There is always a row for the total; without a tagged row its value is NULL. A combination is copied to the groups it counts in.
+    """
+    tagged = F.col(ERR) != ""
+    line = lambda kind, err: F.struct(F.lit(kind).alias("kind"), err.alias(ERR), F.when(tagged, F.col("value")).alias("value"))
+    tags = F.transform(F.filter(F.split(F.col(ERR), " "), lambda t: t != ""), lambda t: line("separate", t))
+    own = F.when(tagged, F.array(line("combined", F.col(ERR)))).otherwise(F.array().cast("array<struct<kind:string,err:string,value:bigint>>"))
+    # an untagged row of its own, so that there is a total of nothing
+    counts = counts.select(ERR, "value").unionByName(counts.sparkSession.sql(f"SELECT '' AS {ERR}, CAST(0 AS BIGINT) AS value"))
+    rows = counts.select(F.inline(F.concat(own, F.array(line("total", F.lit(""))), tags)))
+    return rows.groupBy("kind", ERR).agg(F.sum("value").alias("value"))

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.config import StudyConfig
 from pairwell.functions.text import fixed, percent_of
 from pairwell.operators.aggregate import CASE, CONTROL, quantiles_by
-from pairwell.operators.quality import ERR, error_combined, error_counts, error_separate
+from pairwell.operators.quality import ERR, error_counts, error_kinds
 
 
 def suppressed(n: Column, total: Column, min_n: int = 5, strict: bool = False) -> Column:
@@ -83,19 +83,13 @@ def _as_lines(df: DataFrame, lines: list[tuple[str, Column]]) -> DataFrame:
 
 
 def error_lines(tagged: DataFrame, name: str) -> DataFrame:
-    """Error counts of one tagged table, per combination with a total and per single tag."""
-    counts = error_counts(tagged)
-    combined = error_combined(counts).select(
-        F.when(F.col(ERR).isNull(), F.lit(f"Error in {name} combined total"))
-        .otherwise(F.concat(F.lit(f"Error in {name} combined: "), F.col(ERR)))
-        .alias("description"),
-        F.coalesce("value", F.lit(0)).cast("string").alias("value"),
+    """Error counts of one tagged table, per combination with a total and per single tag, from one pass."""
+    kind = F.col("kind")
+    head = F.when(kind == "total", F.lit(f"Error in {name} combined total")).otherwise(
+        F.concat(F.lit(f"Error in {name} "), kind, F.lit(": "), F.col(ERR))
     )
-    separate = error_separate(counts).select(
-        F.concat(F.lit(f"Error in {name} separate: "), F.col(ERR)).alias("description"),
-        F.col("value").cast("string").alias("value"),
-    )
-    return combined.unionByName(separate)
+    value = F.coalesce("value", F.lit(0)).cast("string")
+    return error_kinds(error_counts(tagged)).select(head.alias("description"), value.alias("value"))
 
 
 def params_table(
@@ -119,20 +113,13 @@ def params_table(
             ("Study minimum age", cfg.min_age),
         ],
     )
-    removed = F.col("n_rows") - F.col("unique_rows")
-    master = _as_lines(
-        row_counts(sources["master"], "master"),
-        [
-            ("Rows in master source", F.col("n_rows")),
-            ("Rows in master without duplicate complete rows", F.col("unique_rows")),
-            ("Duplicated conplete rows rmoved from master", removed),
-        ],
-    )
-    out = limits.unionByName(master)
-    for name in ("hospitalizations", "monitoring", "quarantine"):
+    lines = {"master": [("Rows in master source", "n_rows"), ("Rows in master without duplicate complete rows", "unique_rows")]}
+    out = limits
+    for name in ("master", "hospitalizations", "monitoring", "quarantine"):
         if name in sources:
-            line = (f"Duplicated conplete rows rmoved from {name}", removed)
-            out = out.unionByName(_as_lines(row_counts(sources[name], name), [line]))
+            told = [(d, F.col(c)) for d, c in lines.get(name, [])]
+            told.append((f"Duplicated conplete rows rmoved from {name}", F.col("n_rows") - F.col("unique_rows")))
+            out = out.unionByName(_as_lines(row_counts(sources[name], name), told))
     pairs = tagged_master.groupBy("subject_id", "index_date").agg(
         F.count_if(F.col(ERR) == "").alias("_clean")
     )
@@ -160,23 +147,11 @@ def _arm_counts(df: DataFrame, conds: dict[str, Column]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _shares_lines(cells: DataFrame, key: str, prefix: str) -> DataFrame:
-    arm = lambda a: F.sum(F.when(F.col("arm") == a, F.col("n")).otherwise(F.lit(0)))
-    levels = cells.groupBy(key).agg(F.sum("n").alias("g"), arm(CASE).alias("c"), arm(CONTROL).alias("k"))
-    every = Window.partitionBy(F.lit(1))
-    total = lambda c: F.sum(c).over(every)
-    return levels.select(
-        F.concat(F.lit(prefix), F.col(key)).alias("description"),
-        percent_of(F.col("g"), total("g")).alias("general"),
-        percent_of(F.col("c"), total("c")).alias("case"),
-        percent_of(F.col("k"), total("k")).alias("control"),
-    )
-
-
 def demographic_table(base: DataFrame, pre: DataFrame, study: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Subjects per period, before and after matching, age quartiles, and shares of bands and sex.
 
-    One aggregate over ``base``, one over ``pre``, and one cell table over ``study``.
+    One aggregate over ``base``, one over ``pre``, and one over ``study`` by grouping sets (each band, sex, and all),
+    besides the quartiles. Lines are put together as numbers; only the finished few rows are turned into text.
     """
     last = cfg.wave_cutoff - timedelta(days=1)
     periods = [(cfg.study_start, last), (cfg.wave_cutoff, cfg.study_end), (cfg.study_start, cfg.study_end)]
@@ -185,38 +160,41 @@ def demographic_table(base: DataFrame, pre: DataFrame, study: DataFrame, cfg: St
         f"p{i}": F.coalesce(F.col("index_date").between(F.lit(a), F.lit(b)), F.lit(False)) & old_enough
         for i, (a, b) in enumerate(periods)
     }
-    text = lambda d, g, c, k: F.struct(
-        F.lit(d).alias("description"), g.alias("general"), c.alias("case"), k.alias("control")
-    )
-    line = lambda n, d: text(
-        d,
-        F.col(f"{n}_g").cast("string"),
-        percent_of(F.col(f"{n}_1"), F.col(f"{n}_g")),
-        percent_of(F.col(f"{n}_0"), F.col(f"{n}_g")),
+    # numbers of a line and what they are shares of; no total means the number alone
+    parts = ("g", "c", "k")
+    line = lambda d, numbers, totals: F.struct(
+        d.alias("d"), *[n.cast("bigint").alias(x) for x, n in zip(parts, numbers)], *[t.cast("bigint").alias(f"t{x}") for x, t in zip(parts, totals)]
     )
+    none = F.lit(None)
+    counted = lambda n, d: line(F.lit(d), [F.col(f"{n}_{x}") for x in ("g", "1", "0")], [none, F.col(f"{n}_g"), F.col(f"{n}_g")])
     # The descriptions, spelled as the demographic table prints them.
     head = f"Complete non-confilicted cases aged {cfg.min_age}+ during"
     names = [f"{head} {a} - {b}" for a, b in periods]
-    rows = _arm_counts(base, inside).select(F.inline(F.array(*[line(f"p{i}", d) for i, d in enumerate(names)])))
+    groups = {"age_group": "Study age group ", "age_group_narrow": "Study age group ", "sex": "Study sex "}
+    first = _arm_counts(base, inside).select(F.inline(F.array(*[counted(f"p{i}", d) for i, d in enumerate(names)])))
 
-    before = _arm_counts(pre, {"b": F.lit(True)})
-    rows = rows.unionByName(before.select(F.inline(F.array(line("b", "In the study group brfore match")))))
-
-    bands = ["age_group", "age_group_narrow", "sex"]
-    cells = study.groupBy(*bands, "arm").agg(F.count(F.lit(1)).alias("n"))
-    arm = lambda a: F.coalesce(F.sum(F.when(F.col("arm") == a, F.col("n"))), F.lit(0))
-    after = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("a_g"), arm(CASE).alias("a_1"), arm(CONTROL).alias("a_0")
+    arm = lambda a: F.count_if(F.col("arm") == a)
+    sets = study.groupingSets([*[[F.col(c)] for c in groups], []], *[F.col(c) for c in groups]).agg(
+        *[F.grouping(c).alias(f"_{c}") for c in groups], F.count(F.lit(1)).alias("g"), arm(CASE).alias("c"), arm(CONTROL).alias("k")
+    )
+    label = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.concat(F.lit(d), F.coalesce(F.col(c).cast("string"), F.lit("missing")))) for c, d in groups.items()])
+    whole = label.isNull()
+    after = sets.agg(
+        F.collect_list(F.when(~whole, F.struct(label.alias("d"), *parts))).alias("_lines"),
+        *[F.coalesce(F.max(F.when(whole, F.col(x))), F.lit(0)).alias(f"a_{y}") for x, y in zip(parts, ("g", "1", "0"))],
     )
-    both = after.unionByName(before, allowMissingColumns=True)
-    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    matched = text(
-        "In the study group after match (% of the same group before match)",
-        F.col("a_g").cast("string"),
-        percent_of(F.col("a_1"), F.col("b_1")),
-        percent_of(F.col("a_0"), F.col("b_0")),
+    both = after.unionByName(_arm_counts(pre, {"b": F.lit(True)}), allowMissingColumns=True)
+    both = both.agg(F.max("_lines").alias("_lines"), *[F.max(c).alias(c) for c in both.columns if c != "_lines"])
+    matched = line(
+        F.lit("In the study group after match (% of the same group before match)"),
+        [F.col("a_g"), F.col("a_1"), F.col("a_0")], [none, F.col("b_1"), F.col("b_0")],
+    )
+    shares = F.transform("_lines", lambda x: line(x["d"], [x[p] for p in parts], [F.col("a_g"), F.col("a_1"), F.col("a_0")]))
+    second = both.select(F.inline(F.concat(F.array(counted("b", "In the study group brfore match"), matched), shares)))
+    number = lambda x: F.when(F.col(f"t{x}").isNull(), F.col(x).cast("string")).otherwise(percent_of(F.col(x), F.col(f"t{x}")))
+    rows = first.unionByName(second).select(
+        F.col("d").alias("description"), number("g").alias("general"), number("c").alias("case"), number("k").alias("control")
     )
-    rows = rows.unionByName(both.select(F.inline(F.array(matched))))
 
     q = quantiles_by(study, "age", "arm")
     middle = F.when(F.col("q50") == F.floor("q50"), fixed(F.col("q50"), 0)).otherwise(fixed(F.col("q50"), 1))
@@ -228,7 +206,4 @@ def demographic_table(base: DataFrame, pre: DataFrame, study: DataFrame, cfg: St
         pick(CASE).alias("case"),
         pick(CONTROL).alias("control"),
     )
-    rows = rows.unionByName(ages)
-    for key, prefix in zip(bands, ("Study age group ", "Study age group ", "Study sex ")):
-        rows = rows.unionByName(_shares_lines(cells, key, prefix))
-    return rows
+    return rows.unionByName(ages)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.config import STATUS_LEVELS, StudyConfig
 from pairwell.operators.clean import dedupe_rows
-from pairwell.operators.cohort import attrition, censor_at, cohort, complete_pairs_cohort, subcohort_with_partners
+from pairwell.operators.cohort import attrition_counts, attrition_table, censor_at, cohort, complete_pairs_cohort, subcohort_with_partners
 from pairwell.operators.derive import ID, subject_table, tag_master, tag_stays
-from pairwell.operators.match import balance, match_nearest, match_summary, propensity
+from pairwell.operators.logit import Logit, fit_logit
+from pairwell.operators.match import balance, balance_summary, match_nearest, match_summary, propensity
 from pairwell.operators.models import fit_negbin, fit_poisson, model_cells
 from pairwell.operators.outcome import ALL_GROUPINGS, BASIC_GROUPINGS, outcome_summary
 from pairwell.operators.quality import without_tags
@@ -34,7 +35,11 @@ MODEL_FACTORS = ["arm", "age_group", "sex"]
 
 @dataclass
 class Study:
-    """Frames of one run. ``base``, ``pre`` and ``study`` are materialised, everything else is lazy."""
+    """Frames of one run. ``base``, ``pre`` and ``study`` are materialised, everything else is lazy.
+
+    ``pre`` and ``study`` carry the score as ``distance``; ``left`` are the subjects left after each rule, counted while
+    ``base`` was written; ``hot`` are the hot subjects of each source.
+    """
 
     cfg: StudyConfig
     sources: dict
@@ -43,6 +48,10 @@ class Study:
     base: DataFrame
     pre: DataFrame
     study: DataFrame
+    quarantine: DataFrame
+    score: Logit
+    left: dict[str, int]
+    hot: dict[str, HotKeys]
 
     def tables(self) -> dict[str, DataFrame]:
         """Every report table by name."""
@@ -51,6 +60,7 @@ class Study:
         early = subcohort_with_partners(study, 0, 1)
         later = subcohort_with_partners(study, 2, 5)
         death, age = "ind_death", cfg.older_age
+        samples = (self.pre, study, "arm", ["distance", "age", "index_day"], list(cfg.exact_keys))
         out = {
             "death": export_outcome(outcome_summary(study, ALL_GROUPINGS, death, age), cfg.min_cell),
             "death2d": export_outcome(outcome_summary(early, BASIC_GROUPINGS, death, age), cfg.min_cell),
@@ -58,17 +68,13 @@ class Study:
             "hosp": export_outcome(outcome_summary(hosp, BASIC_GROUPINGS, "ind_hospitalized", age), cfg.min_cell),
             "params": params_table(cfg, self.sources, self.master, self.stays),
             "demographic": demographic_table(self.base, self.pre, study, cfg),
-            "attrition": attrition(self.base, cfg),
+            "attrition": attrition_table(self.base.sparkSession, self.left, cfg),
             "match_summary": match_summary(self.pre, study, "arm"),
-            "balance": balance(
-                self.pre.withColumn("index_day", F.unix_date("index_date")),
-                study.withColumn("index_day", F.unix_date("index_date")),
-                "arm",
-                ["age", "index_day"],
-                list(cfg.exact_keys),
-            ),
+            "match_balance_summary": balance_summary(*samples),
+            "balance": balance(*samples),
+            "isolation_days": isolation_days(self.quarantine),
             "histogram_month": month_histogram(self.base),
-            "histogram_days": days_histogram(self.stays, self.base),
+            "histogram_days": days_histogram(self.stays, self.base, hot=self.hot["hospitalizations"]),
             "histogram_days_study": study_days_histogram(study),
         }
         for name, table in survival_tables(study, hosp, cfg).items():
@@ -76,12 +82,13 @@ class Study:
         return out
 
     def models(self) -> dict[str, tuple[DataFrame, DataFrame]]:
-        """The five count models of days in hospital: (coefficients, fit) by name."""
+        """The model of the score and the five count models of days in hospital: (coefficients, fit) by name."""
         y = "duration_hospitalization"
         cells = model_cells(self.study, y, MODEL_FACTORS).persist()
         wide = [*MODEL_FACTORS, "ind_death", "first_state"]
         all_cells = model_cells(self.study, y, wide, exclude_dead=False)
         out = {
+            "propensity": self.score.tables(self.study.sparkSession),
             "poisson": fit_poisson(cells, MODEL_FACTORS),
             "poisson_all": fit_poisson(cells, MODEL_FACTORS, interactions=True),
             "negbin": fit_negbin(cells, MODEL_FACTORS),
@@ -97,6 +104,11 @@ def month_histogram(base: DataFrame) -> DataFrame:
     return base.filter(F.col("arm").isNotNull()).groupBy("index_month", "arm").agg(F.count(F.lit(1)).alias("n"))
 
 
+def isolation_days(quarantine: DataFrame) -> DataFrame:
+    """Records per start of isolation; a day key that is no date counts as missing."""
+    return quarantine.groupBy("isolation_start").agg(F.count(F.lit(1)).alias("n"))
+
+
 def days_histogram(
     stays: DataFrame, base: DataFrame, lo: int = -20, hi: int = 20, hot: HotKeys | None = None
 ) -> DataFrame:
@@ -184,8 +196,8 @@ def build(sources: dict[str, DataFrame], cfg: StudyConfig, repeated_prior: str =
     """Clean, tag, derive one row per subject, filter the cohort and pair it.
 
     Frames that several tables read are written to the checkpoint folder: the tagged tables, the subject table, the
-    cohort (the propensity fit, the ranks and the balance table read it) and the pairs. Hot subjects are counted once
-    per source.
+    cohort (the propensity fit, the ranks and the balance table read it) and the pairs. Attrition is counted while the
+    subject table is written. Hot subjects are counted once per source.
     """
     hot = {k: hot_keys(sources[k], [ID]) for k in ("master", "hospitalizations", "monitoring")}
     master = S.clean_master(dedupe_rows(sources["master"]), cfg)
@@ -193,15 +205,17 @@ def build(sources: dict[str, DataFrame], cfg: StudyConfig, repeated_prior: str =
     updates = S.clean_updates(dedupe_rows(sources["monitoring"]), cfg)
     tagged_master = checkpointed(tag_master(master, stays, hot["master"]))
     tagged_stays = checkpointed(tag_stays(stays, tagged_master, cfg, hot["hospitalizations"]))
-    base = checkpointed(
-        subject_table(
-            tagged_master, tagged_stays, updates, cfg, repeated_prior, hot["hospitalizations"], hot["monitoring"]
-        )
+    left = Observation()
+    subjects = subject_table(
+        tagged_master, tagged_stays, updates, cfg, repeated_prior, hot["hospitalizations"], hot["monitoring"]
     )
-    pre = checkpointed(cohort(base, cfg))
-    scored = propensity(pre.withColumn("index_day", F.unix_date("index_date")), "arm", ["age", "index_day"])
-    study = checkpointed(match_nearest(scored, "arm", "distance", list(cfg.exact_keys), ID))
-    return Study(cfg, sources, tagged_master, tagged_stays, base, pre, study)
+    base = checkpointed(subjects.observe(left, *attrition_counts(cfg)))
+    pre = checkpointed(cohort(base, cfg).withColumn("index_day", F.unix_date("index_date")))
+    score = fit_logit(pre, "arm", ["age", "index_day"])
+    pre = propensity(pre, "arm", ["age", "index_day"], fit=score)
+    study = checkpointed(match_nearest(pre, "arm", "distance", list(cfg.exact_keys), ID))
+    quarantine = S.clean_quarantine(dedupe_rows(sources["quarantine"]))
+    return Study(cfg, sources, tagged_master, tagged_stays, base, pre, study, quarantine, score, left.get, hot)
 
 
 def run(

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,21 +41,21 @@ def threshold(total: int, partitions: int) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], heavy_rows: int | None = None) -> HotKeys:
-    """Count rows per key and fetch the hot ones. Two jobs: the number of rows, and one that reads the key columns only.
+    """Count rows per key and fetch the hot ones, in one job that reads the key columns only.
 
     Take it once from the raw table and hand it to every join on that key: later filters only make keys lighter. A hot
-    key gets as many salts as it has times ``heavy_rows`` rows (by default the :func:`threshold` for this table).
+    key gets as many salts as it has times ``heavy_rows`` rows (by default the :func:`threshold` for this table). The
+    number of rows, which the threshold needs, is observed on the way; as many keys as can reach it are fetched.
     """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if heavy_rows is None:
-        heavy_rows = threshold(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > heavy_rows)
-        .withColumn("_salts", F.ceil(F.col("_n") / heavy_rows).cast("int"))
-        .drop("_n")
-    )
-    return HotKeys(tuple(tuple(r) for r in hot.collect()))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        seen = Observation()
+        top = counts.observe(seen, F.sum("_n").alias("rows")).filter(F.col("_n") > HEAVY_ROWS).orderBy(F.col("_n").desc()).limit(PARTS * partitions).collect()
+        heavy_rows = threshold(seen.get["rows"] or 0, partitions) if top else HEAVY_ROWS
+    else:
+        top = counts.filter(F.col("_n") > heavy_rows).collect()
+    return HotKeys(tuple((*r[:-1], ceil(r["_n"] / heavy_rows)) for r in top if r["_n"] > heavy_rows))
 
 
 def _match(left: list[str], right: list[str], null_safe: bool) -> Column:

@@ -11,8 +11,8 @@ from pairwell.operators import clean as C
 from pairwell.operators import groups as G
 from pairwell.operators import joins as J
 from pairwell.operators.quality import repeated_keys
-from pairwell.session import new_folder
-from pairwell.sources.delimited import read_delimited, write_csv
+from pairwell.session import discard, new_folder, stored
+from pairwell.sources.delimited import line_kind, read_csv, read_delimited, write_csv
 from suite import views as V
 from suite.registry import query
 
@@ -40,17 +40,50 @@ def scan_delimited(spark, sf):
     write_csv(rows, path, sep="|", missing="NULL")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in rows.columns])
     back = read_delimited(spark, path, schema)
-    return C.coerce(back, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_day": "date"})
+    back = C.coerce(back, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_day": "date"})
+    out = stored(back, "orders")
+    discard(spark, path)
+    return out
 
 
-@query("sink_roundtrip", "SELECT c_custkey, c_name, c_acctbal, NULLIF(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer")
+@query(
+    "sink_roundtrip",
+    """SELECT c_custkey, c_name, c_acctbal, CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN '' ELSE c_mktsegment END AS c_mktsegment
+       FROM customer""",
+)
 def sink_roundtrip(spark, sf):
+    """A table written as CSV and read back: a missing text and an empty one stay apart."""
     path = new_folder(spark, "customer")
+    segment = F.col("c_mktsegment")
     rows = t(spark, sf, "customer").select(
-        "c_custkey", "c_name", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")
-    )
+        "c_custkey", "c_name", "c_acctbal",
+        F.when(segment == "MACHINERY", F.lit("")).when(segment != "BUILDING", segment).alias("c_mktsegment"),
+    )
     write_csv(rows, path)
-    return spark.read.schema(rows.schema).options(header=True, nullValue="").csv(path)
+    back = stored(read_csv(spark, path, rows.schema), "customer")
+    discard(spark, path)
+    return back
+
+
+@query(
+    "scan_malformed",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 3 THEN 'short' WHEN o_orderkey % 40 = 7 THEN 'long' END AS kind,
+         CASE WHEN o_orderkey % 40 <> 3 THEN o_totalprice END AS o_totalprice FROM orders""",
+)
+def scan_malformed(spark, sf):
+    """A text file in which some lines lack their last field and some have one more: all are kept, and named."""
+    path = new_folder(spark, "lines")
+    key, sep = F.col("o_orderkey"), F.lit("|")
+    line = F.concat_ws("|", key.cast("string"), F.concat(F.lit('"'), "o_orderstatus", sep, F.lit('"')))
+    line = F.when(key % 40 == 3, line).otherwise(F.concat(line, sep, F.col("o_totalprice").cast("string")))
+    line = F.when(key % 40 == 7, F.concat(line, F.lit("|beyond"))).otherwise(line)
+    t(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")])
+    back = read_delimited(spark, path, schema, header=False, malformed="line").withColumn("kind", line_kind(F.col("line"), 3))
+    back = C.coerce(back, {"o_orderkey": "bigint", "o_totalprice": "double"})
+    out = stored(back.select("o_orderkey", "kind", "o_totalprice"), "lines")
+    discard(spark, path)
+    return out
 
 
 # cleaning and typing
@@ -368,6 +401,24 @@ def quantiles_by_arm(spark, sf):
     return A.quantiles_by(V.study(spark, sf), "age", "arm")
 
 
+@query(
+    "quantiles_sketched",
+    """SELECT l_returnflag, COUNT(*) AS n, prob, TRUE AS within_error
+       FROM lineitem, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.25 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.75 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) p(prob) GROUP BY l_returnflag, prob""",
+)
+def quantiles_sketched(spark, sf):
+    """Quantiles of prices from sketches of parts, merged, and whether their true ranks, counted here, are within the stated error."""
+    rows = t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    sketches = A.merged_sketches(A.value_sketches(rows, "l_extendedprice", ["l_returnflag", "l_linestatus"]), ["l_returnflag"])
+    found = A.sketched_quantiles(sketches, ["l_returnflag"], (0.01, 0.25, 0.5, 0.75, 0.99))
+    price = F.col("l_extendedprice")
+    ranked = rows.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "n", "prob").agg(
+        F.count_if(price < F.col("value")).alias("below"), F.count_if(price <= F.col("value")).alias("upto")
+    )
+    off = F.greatest(F.col("below") - F.col("prob") * F.col("n"), F.col("prob") * F.col("n") - F.col("upto"), F.lit(0.0))
+    return ranked.select("l_returnflag", "n", "prob", (off <= A.rank_error() * F.col("n")).alias("within_error"))
+
+
 @query(
     "arm_shares",
     """SELECT age_group, general_n, general_n / SUM(general_n) OVER () AS general_p, case_n, case_n / SUM(case_n) OVER () AS case_p,

@@ -1,5 +1,7 @@
 from datetime import date
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pairwell.functions.scalars import bin_left_closed, month_label, year_week
@@ -7,7 +9,7 @@ from pairwell.operators import clean as C
 from pairwell.operators import groups as G
 from pairwell.operators import quality as Q
 from pairwell.operators.joins import join_during, join_lookback, join_within_days
-from pairwell.sources.delimited import read_delimited, write_csv
+from pairwell.sources.delimited import malformed_counts, read_csv, read_delimited, write_csv
 
 
 def values(df, *cols):
@@ -33,6 +35,31 @@ def test_csv_sink_writes_missing_as_empty(spark, tmp_path):
     assert sorted(files[0].read_text().splitlines()) == ["1,", "2,x", "a,b"]
 
 
+def test_csv_keeps_empty_text_and_missing_apart(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x,y"), (None, '"')], "a int, b string")
+    write_csv(df, out, single_file=True)
+    assert sorted(next((tmp_path / "out").glob("*.csv")).read_text().splitlines()) == [',"\\""', "1,", '2,""', '3,"x,y"', "a,b"]
+    assert sorted([tuple(r) for r in read_csv(spark, out, df.schema).collect()], key=str) == sorted([(1, None), (2, ""), (3, "x,y"), (None, '"')], key=str)
+
+
+def test_malformed_lines_are_kept_named_and_counted(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('id|name|day\n1|"a|b"|x\n2|short\n3|c|d|long\n|NULL|\n', encoding="utf-8")
+    (tmp_path / "two.csv").write_text("id|name|day\n4|e|f\n5\n", encoding="utf-8")
+    rows = read_delimited(spark, str(tmp_path), malformed="line")
+    assert sorted([tuple(r) for r in rows.collect()], key=str) == sorted(
+        [("1", "a|b", "x", None), ("2", "short", "", "2|short"), ("3", "c", "d", "3|c|d|long"), ("", None, "", None), ("4", "e", "f", None), ("5", "", "", "5")], key=str
+    )
+    # also where a query needs neither the last field nor the line itself
+    assert sorted(r["id"] for r in rows.where("line is not null").select("id").collect()) == ["2", "3", "5"]
+    counts = {r["file"].rsplit("/", 1)[1]: tuple(r)[1:] for r in malformed_counts(spark, str(tmp_path)).collect()}
+    assert counts == {"one.csv": (4, 1, 1, 0), "two.csv": (2, 1, 0, 0)}
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_delimited(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="name"):
+        read_delimited(spark, str(tmp_path), malformed="name")
+
+
 def test_recode_passes_unlisted_values_and_maps_null(spark):
     df = spark.createDataFrame([("Y",), (None,), ("other",), ("999",)], "x string")
     out = C.recode(df, "x", {"Y": "1", "999": None}, null_to="0")

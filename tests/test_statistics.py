@@ -3,6 +3,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairwell.functions.tails import chi2_tail, fisher_one
 from pairwell.operators.aggregate import quantiles_by
@@ -107,6 +108,32 @@ def test_quantiles(spark):
     assert got["1"] == (4, 1.75, 2.5, 4.75) and got["0"] == (1, 4, 4, 4) and got["all"][0] == 5
 
 
+def test_sketches_of_parts_merge_within_the_stated_error(spark):
+    from pairwell.operators.aggregate import merged_sketches, rank_error, sketched_quantiles, value_sketches
+
+    df = spark.range(200_000, numPartitions=6).select(
+        F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"), (F.col("id") % 2).alias("arm"), (F.col("id") % 17).alias("day")
+    )
+    parts = value_sketches(df.union(spark.sql("SELECT CAST(NULL AS DOUBLE), 0L, 0L")), "v", ["arm", "day"], k=200)
+    assert parts.count() == 34 and parts.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    probs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    values = {a: sorted(r["v"] for r in df.where(F.col("arm") == a).select("v").collect()) for a in (0, 1)}
+    got = sketched_quantiles(merged_sketches(parts, ["arm"]), ["arm"], probs).collect()
+    assert len(got) == 2 * len(probs) and rank_error(200) < 0.0167
+    for r in got:
+        rank = sum(v <= r["value"] for v in values[r["arm"]]) / r["n"]
+        assert r["n"] == 100_000 and abs(rank - r["prob"]) <= rank_error(200) + 1e-5
+
+
+def test_complete_groups_count_no_keys_first(spark, monkeypatch):
+    from pairwell import skew
+    from pairwell.operators.groups import complete_groups
+
+    monkeypatch.setattr(skew, "hot_keys", lambda *a: 1 / 0)
+    df = spark.createDataFrame([(k, i) for k in range(6) for i in range(k)] + [(None, 1), (None, 2), (None, 3)], "g int, i int")
+    assert sorted((r["g"], r["i"]) for r in complete_groups(df, "g", 3).collect()) == [(3, 0), (3, 1), (3, 2)]
+
+
 def table(pair):
     return {r["term"]: r for r in pair[0].collect()}, pair[1].first()
 

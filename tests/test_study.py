@@ -206,6 +206,25 @@ def test_tables_are_written(result):
         assert glob.glob(f"{result[1]}/model_{name}/*.parquet") and glob.glob(f"{result[1]}/model_{name}_fit/*.parquet")
 
 
+def test_attrition_was_counted_while_writing(result):
+    from pairwell.operators.cohort import attrition
+
+    study, out = result
+    assert sorted(map(tuple, study.tables()["attrition"].collect())) == sorted(map(tuple, attrition(study.base, CFG).collect()))
+    assert sum(r["n"] for r in study.tables()["isolation_days"].collect()) == study.quarantine.count()
+
+
+def test_the_score_and_the_matching_summary_are_written(result, spark):
+    study, out = result
+    assert study.score.converged and study.score.max_score < 1e-6
+    assert {r["term"] for r in spark.read.parquet(f"{out}/model_propensity").collect()} == {"(Intercept)", "age", "index_day"}
+    rows = {(r["sample"], r["variable"], r["level"]): r for r in study.tables()["match_balance_summary"].collect()}
+    assert ("matched", "distance", "") in rows and ("all", "sex", "male") in rows
+    # pairs share their exact keys, and the score is closer than before
+    assert all(r["std_mean_diff"] in (None, 0) for (s, v, _), r in rows.items() if s == "matched" and v in CFG.exact_keys)
+    assert abs(rows["matched", "distance", ""]["std_mean_diff"]) <= abs(rows["all", "distance", ""]["std_mean_diff"]) + 0.05
+
+
 def test_params_count_copies(result, files):
     lines = {r["description"]: r["value"] for r in result[0].tables()["params"].collect()}
     master = files[2][0]
