@@ -7,6 +7,7 @@ needs one number per row of the table: the difference of the two classes' logits
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -129,7 +130,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, max_bytes: int, id:
     """At most ``bound`` labelled texts of either class, those whose ids hash lowest, so every document has the same chance.
 
     A text of over ``max_bytes`` is no example (it is scored like any other), so the sample has at most ``2 * bound * max_bytes`` bytes.
-    Rows without id or label do not count; of labels that disagree on an id the lowest counts; repeated documents count once.
+    An id may be a number or a text. Rows without id or label do not count; of labels that disagree on an id the lowest counts; repeated documents count once.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("label"))
     ranked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(bound) for k in (0, 1)]
@@ -139,8 +140,10 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, max_bytes: int, id:
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (hash_order(r["id"]), r["id"]))]
 
 
-def hash_order(x: int) -> int:
-    return x * 0x9E3779B97F4A7C15 % (1 << 64)
+def hash_order(x: object) -> int:
+    """A place for an id: whole numbers and texts alike are told by their value, whatever the order of the rows."""
+    n = x if isinstance(x, int) else int.from_bytes(hashlib.sha256(str(x).encode()).digest()[:8], "little")
+    return n * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", batch_bytes: int = 1 << 20) -> DataFrame:

@@ -62,17 +62,19 @@ def counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
 
 
 def _groups(pieces: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of at most ``limit`` bytes together, or of one longer piece."""
     at, size = 0, 0
     for i, p in enumerate(pieces):
-        if size and size + len(p) > limit:
+        own = len(p) if p.isascii() else len(p.encode())
+        if size and size + own > limit:
             yield at, i
             at, size = i, 0
-        size += len(p)
+        size += own
     if at < len(pieces):
         yield at, len(pieces)
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", limit: int = 512, batch_chars: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", limit: int = 512, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens), by the tokenizer file at ``path``.
 
     A null text counts as empty: no bytes, no tokens. Repeated rows and null ids give a row each; an empty table gives none. Special strings inside a
@@ -89,7 +91,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
                 cut = safe_pieces(x, piece_chars) if may_cut else [x]
                 pieces += cut
                 owner += [i] * len(cut)
-            found = [n for a, b in _groups(pieces, batch_chars) for n in lengths(pieces[a:b])]
+            found = [n for a, b in _groups(pieces, batch_bytes) for n in lengths(pieces[a:b])]
             n = np.bincount(np.array(owner, np.int64), weights=np.array(found, np.float64), minlength=len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 

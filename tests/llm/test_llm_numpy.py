@@ -214,6 +214,37 @@ def test_classifier_learns_words_parts_and_stammer():
     assert quality.train([], []).bias == 0 and quality.train(["a"], [1]).bias > 0
 
 
+def plain_features(text, bits):
+    """The features of one text as the docstring tells them, one after the other."""
+    mix, top, shift = 0x9E3779B1, 1 << 32, 32 - bits
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    names = [sum((b + 1) * pow(mix, k + 1, top) for k, b in enumerate(w)) % top for w in words]
+    out = [((n ^ 0x5BD1E995) * mix % top) >> shift for n in names]
+    for a, b in zip(names, names[1:]):
+        out.append(((0x2545F491 if a == b else (a * mix + b) % top) * mix % top) >> shift)
+    for w in words:
+        edged = [0, *[b + 1 for b in w], 0]
+        for size in (3, 4, 5):
+            for i in range(len(edged) - size + 1):
+                n = edged[i]
+                for k, v in enumerate(edged[i + 1 : i + size], 2):
+                    n = (n * mix + v + k) % top
+                out.append((n * mix % top) >> shift)
+    return out
+
+
+def test_classifier_scores_are_those_of_plain_sums():
+    rng = random.Random(4)
+    model = quality.train([prose(rng, 30) for _ in range(20)] + [prose(rng, 5) * 6 for _ in range(20)], [1] * 20 + [0] * 20, bits=10)
+    many = [*[prose(rng, rng.randrange(1, 50)) for _ in range(30)], "a", "a a", "é ß\t\n x", "word " * 300, ""]
+    got = quality.scores(model, *column_bytes(pa.array(many)))
+    for text, score in zip(many, got, strict=True):
+        ids = plain_features(text.encode(), 10)
+        mean = np.mean(model.vectors[ids].astype(np.float64), axis=0) if ids else np.zeros(model.vectors.shape[1])
+        logits = model.weights.astype(np.float64) @ mean
+        assert score == pytest.approx(1 / (1 + np.exp(-(logits[1] - logits[0] + model.bias))), abs=1e-5)
+
+
 def test_warc_frames_and_records():
     rows = [warc.record_bytes(i, u, p, hashlib.sha1(p).digest(), r, "2020-01-01T00:00:00Z") for i, u, p, r in ((1, "http://x/ ä", b"<p>\r\n\r\n</p>", None), (2, None, b"", None), (None, "u", b"q", 7))]
     got = list(warc.parsed(b"".join(rows)))

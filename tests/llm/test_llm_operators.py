@@ -179,7 +179,7 @@ def test_bpe(odd, none):
 
 def test_token_counts(odd, none):
     whole = Tokenizer.from_file(BPE)
-    got = token_counts.count_tokens(odd, BPE, piece_chars=50, batch_chars=200)
+    got = token_counts.count_tokens(odd, BPE, piece_chars=50, batch_bytes=200)
     want = [(r["doc_id"], len((r["text"] or "").encode()), len(whole.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect()]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(*w, w[2] > 512) for w in want], key=str)
     assert token_counts.count_tokens(none, BPE).collect() == []
@@ -211,19 +211,34 @@ def test_quality(spark, odd, none):
     assert len(quality.labelled(odd, labels, 3, 1 << 16)) <= 6
 
 
+def test_quality_of_text_ids(spark, odd):
+    docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    assert quality.score(docs, quality.fitted(docs, labels)).where("score between 0 and 1").count() == odd.count()
+
+
 def test_topk(spark):
     rng = random.Random(1)
     rows = [(i, [float(rng.uniform(-1, 1)) for _ in range(4)]) for i in range(300)]
-    rows += [(300 + i, rows[50][1]) for i in range(60)] + [rows[100], rows[7], (400, None), (401, [1.0, None, 0.0, 0.0]), (450, [float("nan")] * 4), (402, [float("inf")] * 4), (None, [1.0] * 4), (500, [1.0, 2.0]), (501, [3.0, 2.0]), (550, []), (551, []), (403, [1e9] * 4)]
+    rows += [(300 + i, rows[50][1]) for i in range(60)] + [rows[100], rows[7], (400, None), (401, [1.0, None, 0.0, 0.0]), (450, [float("nan")] * 4), (402, [float("inf")] * 4), (None, [1.0] * 4), (500, [1.0, 2.0]), (501, [3.0, 2.0]), (550, []), (551, []), (403, [1e6] * 4), (650, [3e6, -3e6, 5e5, 1.0]), (750, [9e5] * 4)]
     vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, dims string, rank int").repartition(3)
-    usable = [(i, tuple(np.floor(np.float64(np.float32(x)) * 256) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e5 for x in v)]
+    usable = [(i, tuple(int(np.floor(np.float64(np.float32(x)) * 256)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in sorted({(i, v) for i, v in usable if i % 50 == 0}):
-        scored = sorted((-int(np.dot(v, w)), i) for i, w in usable if i != q and len(w) == len(v))[:5]
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    got = topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, block_rows=128, query_rows=3)
-    assert sorted(map(tuple, got.collect())) == want
-    assert topk.top_k(vectors, vectors.where("false")).collect() == []
+    got = topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, block_rows=128)
+    assert sorted(map(tuple, got.collect())) == want and {403, 650, 750} <= {w[2] for w in want}
+    assert topk.top_k(vectors, vectors.where("false")).collect() == [] and topk.top_k(vectors.where("false"), vectors).collect() == []
+
+
+def test_topk_of_scores_beyond_64_bits_stops(spark):
+    vectors = spark.createDataFrame([(0, [1e10, 1.0]), (1, [3e9, 2.0]), (2, [-1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(vectors.where("vec_id = 0"), vectors).collect()
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="no exact score"):
+        topk.top_k(huge, huge).collect()
 
 
 def test_leaks(spark, odd, none):
