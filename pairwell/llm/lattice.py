@@ -4,7 +4,8 @@ The units are the pieces of a public vocabulary file, single bytes for what no p
 the whole word. A piece starts with the weight that the file's score gives it; rounds of expectation-maximisation over the training texts fit the
 weights to the corpus. The sum over all segmentations into pieces is the forward recursion in log space, for all distinct words of a block at once. With
 c(w) the count of a word among N training tokens and Q(w) that sum as a probability of words, a word has (1 - v) c(w) / N + v Q(w), where v is the share
-of training tokens that are their word's only one; one end closes a text. Both parts add up to 1, so scores of different texts compare.
+of training tokens that are their word's only one; one end closes a text. Both parts add up to 1, so scores of different texts compare. The probability by
+the lattice of pieces alone, in which a word has (1 - e) Q(w) and the end e, its share of the training tokens, is returned beside it.
 """
 
 from __future__ import annotations
@@ -231,9 +232,10 @@ def _refit(table: DataFrame, path: str, weights: np.ndarray, ends: int) -> tuple
 
 
 def score(docs: DataFrame, path: str, trained: Column, id: str = "doc_id", text: str = "text", rounds: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score, score. ``trained`` says which rows the model learns from.
+    """Per row: id, n_tokens, n_known, train_tokens, base_score, score, lattice_score. ``trained`` says which rows the model learns from.
 
-    ``score`` is the log10 probability of the text by the lattice of words and pieces, ``base_score`` that by add-one counts of whole words. Tokens are the words
+    ``score`` is the log10 probability of the text by the lattice of words and pieces, ``lattice_score`` that by the lattice of pieces alone, ``base_score``
+    that by add-one counts of whole words. Tokens are the words
     and one end; ``n_known`` of them are in training texts, which have ``train_tokens``. A null or empty text is its end alone. A null id, repeated rows
     and ties need no care, as every row is scored by itself (repeated training rows count each); a null ``trained`` means false. Without training rows
     all counts are 0 and the pieces keep the file's weights. Other columns are not read.
@@ -271,6 +273,7 @@ def score(docs: DataFrame, path: str, trained: Column, id: str = "doc_id", text:
     new = (of["once"] + 1) / (tokens + 2)
     seen = (1 - new) / tokens if tokens else 0.0
     last = np.log10(seen * ends["n"] if tokens else 1 - new)
+    ending = (ends["n"] + 1) / (tokens + 2)
 
     def known_words(left: pa.Table, right: pa.Table) -> pa.Table:
         place, c = right.column("place").to_numpy(), right.column("c").to_numpy()
@@ -284,17 +287,18 @@ def score(docs: DataFrame, path: str, trained: Column, id: str = "doc_id", text:
             text_of = np.repeat(np.arange(len(sizes)), sizes)
             with np.errstate(divide="ignore"):
                 logs = np.logaddexp(np.log(seen * counts), np.log(new) + spelling.to_numpy().astype(np.float64)) / np.log(10)
-            sums = [np.bincount(text_of, weights=x[at], minlength=len(sizes)) for x in (counts > 0, np.log10(counts + 1.0), logs)]
-            values = [sizes.astype(np.int64) + 1, sums[0].astype(np.int64), sums[1], sums[2] + last]
-            out.append(pa.table([ids, *map(pa.array, values)], ["id", "n_tokens", "n_known", "logs", "score"]))
+            plain = spelling.to_numpy().astype(np.float64) / np.log(10) + np.log10(1 - ending)
+            sums = [np.bincount(text_of, weights=x[at], minlength=len(sizes)) for x in (counts > 0, np.log10(counts + 1.0), logs, plain)]
+            values = [sizes.astype(np.int64) + 1, sums[0].astype(np.int64), sums[1], sums[2] + last, sums[3] + np.log10(ending)]
+            out.append(pa.table([ids, *map(pa.array, values)], ["id", "n_tokens", "n_known", "logs", "score", "lattice_score"]))
         return pa.concat_tables(out) if out else _EMPTY
 
-    _EMPTY = pa.table({"id": pa.array([], pa.null()), "n_tokens": [], "n_known": [], "logs": [], "score": []})
-    rows = scored.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block")).applyInArrow(known_words, f"id {kind}, n_tokens long, n_known long, logs double, score double")
+    _EMPTY = pa.table({"id": pa.array([], pa.null()), "n_tokens": [], "n_known": [], "logs": [], "score": [], "lattice_score": []})
+    rows = scored.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block")).applyInArrow(known_words, f"id {kind}, n_tokens long, n_known long, logs double, score double, lattice_score double")
     rows = stored(rows, "lattice-rows")
     discard_stored(table, counted)
     base = F.col("logs") + F.log10(F.lit(ends["n"] + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(tokens + distinct + 1)))
     return rows.select(
         F.col("id").alias("doc_id"), "n_tokens", (F.col("n_known") + (1 if ends["n"] else 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "lattice_score",
     )

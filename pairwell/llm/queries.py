@@ -76,7 +76,7 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; every seventh by the CRC of its id is held out."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     scored = lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 @query

@@ -200,6 +200,37 @@ def test_lattice_base_and_score(odd, none):
     assert {r["train_tokens"] for r in untrained} == {0} and all(np.isfinite(r["score"]) for r in untrained)
 
 
+def test_lattice_scores_are_those_of_plain_sums(spark):
+    # All segmentations of every word, one by one, with the file's weights; then the mixture with the words' counts.
+    p = lattice.pieces(PIECES)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "other", "zqx", "Ünit", "a", "model", "7up"]) for _ in range(rng.randrange(1, 7)))) for i in range(24)] + [(30, None), (31, "never seen")]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 3
+    weights, end = p.prior * 0.99, 0.01
+
+    def spelled(word):
+        raw = b" " + word.encode()
+        sums = [1.0] + [0.0] * len(raw)
+        for i in range(len(raw)):
+            node = 0
+            for j in range(i, len(raw)):
+                node = p.child[node, raw[j]]
+                if not node:
+                    break
+                if p.ends[node] >= 0:
+                    sums[j + 1] += sums[i] * weights[p.ends[node]]
+        opening = weights[p.opens].sum()
+        return sums[-1] * (opening + end) / opening
+
+    train = Counter(w for i, t in rows if i % 4 != 3 for w in words(t))
+    ends, total = sum(i % 4 != 3 for i, _ in rows), sum(train.values()) + sum(i % 4 != 3 for i, _ in rows)
+    new, e = (sum(n == 1 for n in train.values()) + 1) / (total + 2), (ends + 1) / (total + 2)
+    for r in lattice.score(docs, PIECES, ~held, rounds=0).collect():
+        mine = words(dict(rows)[r["doc_id"]])
+        mixed = sum(np.log10((1 - new) / total * train[w] + new * spelled(w)) for w in mine) + np.log10((1 - new) / total * ends)
+        assert r["score"] == pytest.approx(mixed, abs=1e-4) and r["lattice_score"] == pytest.approx(sum(np.log10((1 - e) * spelled(w)) for w in mine) + np.log10(e), abs=1e-4)
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(None, 1, 0), (3, None, 0), (4, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fitted(odd, labels)
