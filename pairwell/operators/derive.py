@@ -26,7 +26,7 @@ from pairwell.operators.groups import (
     total_days,
 )
 from pairwell.operators.joins import join_during, join_lookback, join_within_days
-from pairwell.session import checkpointed
+from pairwell.session import Tables
 from pairwell.skew import HotKeys, attach, hot_keys
 
 ID = "subject_id"
@@ -265,12 +265,13 @@ def subject_table(
     repeated_prior: str = "error",
     hot_stays: HotKeys | None = None,
     hot_updates: HotKeys | None = None,
+    tables: Tables | None = None,
 ) -> DataFrame:
     """The whole chain from tagged master and stays to one row per subject with all study columns.
 
     ``repeated_prior``: ``error`` stops the run when a subject has two prior stays, ``latest`` keeps the latest. The
-    per-subject table before the states is written to the checkpoint folder, since two joins read it; the number of
-    prior stays is observed on the way.
+    per-subject table before the states is one of ``tables`` (of its own, if none are given), bucketed by subject, since
+    two joins read it; the number of prior stays is observed on the way.
     """
     base = index_rows(master, cfg.clean_first)
     base = base.join(stay_features(stays, base, cfg, hot_stays), ID, "left").withColumns(
@@ -279,8 +280,8 @@ def subject_table(
             "ind_hospitalized": F.coalesce("ind_hospitalized", F.lit("0")),
         }
     )
-    most = Observation()
-    base = checkpointed(base.observe(most, F.max("prior_n").alias("n"), F.max_by(ID, "prior_n").alias("id")))
+    most, tables = Observation(), tables or Tables(master.sparkSession)
+    base = tables.keep(base, "subjects", ID, most, (F.max("prior_n").alias("n"), F.max_by(ID, "prior_n").alias("id")))
     if repeated_prior == "error" and (most.get["n"] or 0) > 1:
         raise ValueError(f"subject {most.get['id']!r} has {most.get['n']} prior stays")
     base = base.drop("prior_n").join(states_during(updates, base, hot_updates), ID, "left")

@@ -25,7 +25,7 @@ from pairwell.operators.survival import (
     regroup,
     with_logrank_p,
 )
-from pairwell.session import checkpointed
+from pairwell.session import Tables
 from pairwell.skew import HotKeys, attach, hot_keys
 from pairwell.sources import tables as S
 from pairwell.sources.delimited import read_delimited, write_csv, write_summary
@@ -52,6 +52,11 @@ class Study:
     score: Logit
     left: dict[str, int]
     hot: dict[str, HotKeys]
+    kept: Tables
+
+    def close(self) -> None:
+        """Remove the tables that the run kept; its frames cannot be read any more."""
+        self.kept.close()
 
     def tables(self) -> dict[str, DataFrame]:
         """Every report table by name."""
@@ -195,38 +200,48 @@ def load(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
 def build(sources: dict[str, DataFrame], cfg: StudyConfig, repeated_prior: str = "error") -> Study:
     """Clean, tag, derive one row per subject, filter the cohort and pair it.
 
-    Frames that several tables read are written to the checkpoint folder: the tagged tables, the subject table, the
-    cohort (the propensity fit, the ranks and the balance table read it) and the pairs. Attrition is counted while the
-    subject table is written. Hot subjects are counted once per source.
+    Frames that several tables read are kept in the shared folder, bucketed by subject where no subject is hot: the
+    tagged tables, the subject table, the cohort (the propensity fit, the ranks and the balance table read it) and the
+    pairs. Attrition is counted while the subject table is written. Hot subjects are counted once per source.
     """
+    tables = Tables(next(iter(sources.values())).sparkSession)
     hot = {k: hot_keys(sources[k], [ID]) for k in ("master", "hospitalizations", "monitoring")}
+    by = {k: None if h.rows else ID for k, h in hot.items()}
     master = S.clean_master(dedupe_rows(sources["master"]), cfg)
     stays = S.clean_stays(dedupe_rows(sources["hospitalizations"]), cfg)
     updates = S.clean_updates(dedupe_rows(sources["monitoring"]), cfg)
-    tagged_master = checkpointed(tag_master(master, stays, hot["master"]))
-    tagged_stays = checkpointed(tag_stays(stays, tagged_master, cfg, hot["hospitalizations"]))
+    tagged_master = tables.keep(tag_master(master, stays, hot["master"]), "master", by["master"])
+    tagged_stays = tables.keep(tag_stays(stays, tagged_master, cfg, hot["hospitalizations"]), "stays", by["hospitalizations"])
     left = Observation()
     subjects = subject_table(
-        tagged_master, tagged_stays, updates, cfg, repeated_prior, hot["hospitalizations"], hot["monitoring"]
+        tagged_master, tagged_stays, updates, cfg, repeated_prior, hot["hospitalizations"], hot["monitoring"], tables
     )
-    base = checkpointed(subjects.observe(left, *attrition_counts(cfg)))
-    pre = checkpointed(cohort(base, cfg).withColumn("index_day", F.unix_date("index_date")))
+    base = tables.keep(subjects, "base", ID, left, tuple(attrition_counts(cfg)))
+    pre = tables.keep(cohort(base, cfg).withColumn("index_day", F.unix_date("index_date")), "cohort", ID)
     score = fit_logit(pre, "arm", ["age", "index_day"])
     pre = propensity(pre, "arm", ["age", "index_day"], fit=score)
-    study = checkpointed(match_nearest(pre, "arm", "distance", list(cfg.exact_keys), ID))
+    study = tables.keep(match_nearest(pre, "arm", "distance", list(cfg.exact_keys), ID), "pairs")
     quarantine = S.clean_quarantine(dedupe_rows(sources["quarantine"]))
-    return Study(cfg, sources, tagged_master, tagged_stays, base, pre, study, quarantine, score, left.get, hot)
+    return Study(cfg, sources, tagged_master, tagged_stays, base, pre, study, quarantine, score, left.get, hot, tables)
 
 
 def run(
-    spark: SparkSession, paths: dict[str, str], out: str, cfg: StudyConfig | None = None, repeated_prior: str = "error"
+    spark: SparkSession, paths: dict[str, str], out: str, cfg: StudyConfig | None = None, repeated_prior: str = "error", keep: bool = False
 ) -> Study:
-    """Read the files, run the study and write every report table as CSV and every model as parquet under ``out``."""
+    """Read the files, run the study and write every report table as CSV and every model as parquet under ``out``.
+
+    The tables between the steps are removed at the end, also of a run that fails later; with ``keep`` they stay until
+    ``close``, so that the frames of the study can be read.
+    """
     cfg = cfg or StudyConfig()
     study = build(load(spark, paths), cfg, repeated_prior)
-    for name, table in study.tables().items():
-        write_csv(table, f"{out}/{name}", single_file=True)
-    for name, (coefficients, fit) in study.models().items():
-        write_summary(coefficients, f"{out}/model_{name}")
-        write_summary(fit, f"{out}/model_{name}_fit")
+    try:
+        for name, table in study.tables().items():
+            write_csv(table, f"{out}/{name}", single_file=True)
+        for name, (coefficients, fit) in study.models().items():
+            write_summary(coefficients, f"{out}/model_{name}")
+            write_summary(fit, f"{out}/model_{name}_fit")
+    finally:
+        if not keep:
+            study.close()
     return study

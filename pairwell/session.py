@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: What of the repository workers may need.
@@ -51,7 +51,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back: lineage is cut, and no executor's loss undoes it."""
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame._pairwell_path = path
+    return frame
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -63,9 +65,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def discard_stored(*frames: DataFrame) -> None:
-    """Remove the folders of frames made by :func:`stored` that nothing reads any more."""
+    """Remove the folders of frames made by :func:`stored`, or selected from such, that nothing reads any more."""
     for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        own = getattr(df, "_pairwell_path", None)
+        for folder in [own] if own else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             discard(df.sparkSession, folder)
 
 
@@ -100,6 +103,45 @@ def needs_shipping(root: str) -> bool:
     return os.path.realpath(root) not in [*given, os.path.realpath(os.getcwd())]
 
 
+class Tables:
+    """The tables that a run keeps below the shared folder, until ``close`` removes them all.
+
+    A table kept by a key is bucketed by it, into as many buckets as a shuffle has partitions: joins, groupings and windows by that key, or by it and
+    more, then need no exchange. Buckets of a hot key would not be divided, so keep such a table without one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.names: list[str] = []
+
+    def keep(self, df: DataFrame, label: str, key: str | None = None, seen: Observation | None = None, metrics: tuple = ()) -> DataFrame:
+        """``df`` written and read back. ``metrics`` are observed by ``seen`` in the stage that writes, which counts no row twice."""
+        path = new_folder(self.spark, label)
+        self.paths.append(path)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(buckets, key) if key else df
+        rows = rows.observe(seen, *metrics) if seen else rows
+        if not key:
+            rows.write.option("compression", "zstd").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        name = f"{label}_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') "
+            f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        self.names.append(name)
+        rows.write.insertInto(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, *self.paths)
+        self.names, self.paths = [], []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder with ``checkpoint()`` and cut its lineage."""
     context = df.sparkSession.sparkContext

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwell.operators.clean import as_ordered, recode
 from pairwell.operators.derive import index_rows, subject_table, tag_master, tag_stays
-from pairwell.session import checkpointed
+from pairwell.session import Tables
 from pairwell.skew import HotKeys
 from suite import views as V
 from suite.views import CFG
@@ -26,13 +26,13 @@ def clean_stays(spark: SparkSession, sf: str) -> DataFrame:
 def tagged(spark: SparkSession, sf: str, keep: bool = False) -> tuple[DataFrame, DataFrame, HotKeys]:
     """Tagged master, tagged stays, and the hot subjects of the stays.
 
-    ``keep`` writes the tagged master to the checkpoint folder, for callers that read it more than once.
+    ``keep`` writes the tagged master to a table bucketed by subject, for callers that read it more than once.
     """
     stays = clean_stays(spark, sf)
-    master = tag_master(V.master(spark, sf), stays, V.hot_master(spark, sf))
+    hot_master, hot = V.hot_master(spark, sf), V.hot_stays(spark, sf)
+    master = tag_master(V.master(spark, sf), stays, hot_master)
     if keep:
-        master = checkpointed(master)
-    hot = V.hot_stays(spark, sf)
+        master = Tables(spark).keep(master, "master", None if hot_master.rows else "subject_id")
     return master, tag_stays(stays, master, CFG, hot), hot
 
 

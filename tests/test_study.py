@@ -165,7 +165,7 @@ def expected(master, stays, updates):
 def result(spark, files, tmp_path_factory):
     # candidates with a later date repeat the stay rows, so prior stays may repeat here
     out = str(tmp_path_factory.mktemp("out") / "tables")
-    return run(spark, files[1], out, CFG, repeated_prior="latest"), out
+    return run(spark, files[1], out, CFG, repeated_prior="latest", keep=True), out
 
 
 def test_subject_table(result, files):
@@ -225,6 +225,27 @@ def test_the_score_and_the_matching_summary_are_written(result, spark):
     assert abs(rows["matched", "distance", ""]["std_mean_diff"]) <= abs(rows["all", "distance", ""]["std_mean_diff"]) + 0.05
 
 
+def test_subject_tables_share_one_layout_and_go_at_the_end(spark, files, tmp_path):
+    import re
+
+    study = build(load(spark, files[1]), CFG, "latest")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = study.base.join(study.stays.groupBy("subject_id").count(), "subject_id").join(study.pre.select("subject_id", "distance"), "subject_id", "left")
+        assert not re.search(r"Exchange hashpartitioning", both._jdf.queryExecution().executedPlan().toString())
+        assert both.count() == study.base.join(study.stays.select("subject_id").distinct(), "subject_id").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    names, paths = list(study.kept.names), list(study.kept.paths)
+    assert len(names) >= 4 and all(spark.catalog.tableExists(n) for n in names)
+    study.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+    import os
+
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
 def test_params_count_copies(result, files):
     lines = {r["description"]: r["value"] for r in result[0].tables()["params"].collect()}
     master = files[2][0]
