@@ -51,7 +51,7 @@ def hot_keys(df: DataFrame, keys: list[str], heavy_rows: int | None = None) -> H
     if heavy_rows is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         seen = Observation()
-        top = counts.observe(seen, F.sum("_n").alias("rows")).filter(F.col("_n") > HEAVY_ROWS).orderBy(F.col("_n").desc()).limit(PARTS * partitions).collect()
+        top = counts.observe(seen, F.sum("_n").alias("rows")).filter(F.col("_n") > HEAVY_ROWS).orderBy(F.col("_n").desc()).limit(min(PARTS * partitions, 2**31 - 1)).collect()
         heavy_rows = threshold(seen.get["rows"] or 0, partitions) if top else HEAVY_ROWS
     else:
         top = counts.filter(F.col("_n") > heavy_rows).collect()

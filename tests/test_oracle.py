@@ -17,7 +17,7 @@ PYTHON = {
 
 
 # their SQL needs every combination of levels to occur
-LARGER = {"poisson_additive", "poisson_fit", "poisson_interaction"}
+LARGER = {"negbin_fit", "negbin_interaction", "poisson_interaction"}
 SF_LARGER = "/root/testdata/sf0.01"
 
 
