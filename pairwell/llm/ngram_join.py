@@ -87,9 +87,9 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, percent: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Per row: id, row, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap, wide (a bitmap of more bits)."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"))
+def sketches(docs: DataFrame, id: str, text: str, size: int, percent: int, batch_bytes: int = 1 << 20) -> DataFrame:
+    """Per row: id, text_hash, n (n-grams), d1, d2 (of the set), window (first hashes in order), bitmap, wide (a bitmap of more bits)."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +102,11 @@ def sketches(docs: DataFrame, id: str, text: str, row: str | None, size: int, pe
                 window = grams[rank < np.repeat(short, n)]
                 digests = [pa.array(_sums(_mixed(grams ^ np.uint64(k)), ends)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends, 0.5), _bitmaps(grams, ends, 2)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 3, 2)], *cells], ["id", "row", "text_hash", "n", "d1", "d2", "window", "bitmap", "wide"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 2)], *cells], ["id", "text_hash", "n", "d1", "d2", "window", "bitmap", "wide"])
         pa.default_memory_pool().release_unused()  # the worker stays while later stages need the memory
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, row long, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary, wide binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary, wide binary")
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -307,22 +307,22 @@ def _compared(members: DataFrame, extra: DataFrame, percent: int, best: bool) ->
     return whole.groupBy("token", "i", "j").applyInArrow(run, "token long, a long, b long, apart long").where("a < b")
 
 
-def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", row: str | None = None, list_limit: int = 16) -> DataFrame:
+def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", groups: bool = False, list_limit: int = 16) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Words are runs of characters other than ASCII white space, A-Z lowered; a text's set is its distinct ``size``-word n-grams, or its whole word
     sequence if that is shorter. Two texts link when 100 * |intersection| >= ``percent`` * |union|. A null or empty text, or one without words, has an
     empty set and links with nothing. Rows with equal sets are linked, repeated rows too. A null id is ignored as a smallest id: a row without id gets
-    the component's smallest known id, or null. An empty table gives no rows. Other columns are not read. With ``row``, the name of a column that
-    numbers the rows, ``row`` and ``group`` are returned too: the number, and one of the component, null for an empty set.
+    the component's smallest known id, or null. An empty table gives no rows. Other columns are not read. With ``groups``,
+    ``text_hash`` (xxhash64 of the text) and ``group`` are returned too, a number of the component, null for an empty set.
 
     N-grams are compared by 64-bit hashes, sets of a class by 128 bits. No cap bounds the members of a list or the partners of a text.
     """
     spark = docs.sparkSession
-    made = stored(sketches(docs, id, text, row, size, percent), "join-sketches")
+    made = stored(sketches(docs, id, text, size, percent), "join-sketches")
     of_class = made.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("least"), F.max(F.struct("id", "text_hash")).alias("one"), F.first("window").alias("window"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     sets = stored(of_class.select("d1", "d2", "n", "least", F.col("one.id").alias("rep"), F.col("one.text_hash").alias("text_hash"), "window", "bitmap", "wide", F.monotonically_increasing_id().alias("rid")), "join-sets")
-    ids = stored(made.select("id", "row", "n", "d1", "d2"), "join-ids")
+    ids = stored(made.select("id", "text_hash", "n", "d1", "d2"), "join-ids")
     discard_stored(made)
     free_shuffles(spark)
 
@@ -406,7 +406,7 @@ def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90, id: str = "
     known = links.labelled(classes.select("d1", "d2", "n", "least", F.col("rid").alias("a"), F.col("rid").alias("b"))).select("d1", "d2", "n", "least", F.col("la").alias("label"))
     known = stored(known, "join-known")
     roots = stored(known.groupBy("label").agg(F.min("least").alias("component_id")), "join-roots")
-    groups = stored(known.join(roots, "label").select("d1", "d2", "n", "component_id", F.col("label").alias("group")), "join-groups")
+    of_class = stored(known.join(roots, "label").select("d1", "d2", "n", "component_id", F.col("label").alias("group")), "join-groups")
     discard_stored(classes, members, about, known, roots)
-    out = ids.join(groups, ["d1", "d2", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *(["row", "group"] if row else []))
+    out = ids.join(of_class, ["d1", "d2", "n"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *(["text_hash", "group"] if groups else []))
