@@ -27,11 +27,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows and rows without id that copy a kept text go like other copies; of rows that share an id with different texts each group keeps its own.
     Documents without words are linked with nothing and all stay.
     """
-    numbered = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    groups = ngram_join.linked_groups(numbered, size=5, percent=80, row="row")
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
-    kept = first.where("group is not null").select("first.row").union(groups.where("group is null").select("row"))
-    return numbered.join(kept, "row", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    groups = ngram_join.linked_groups(docs, size=5, percent=80, groups=True)
+    rows = groups.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "n"))
+    linked = rows.where("group is not null").groupBy("group").agg(first.alias("first")).select("first.doc_id", "first.text_hash", "first.n")
+    wordless = rows.where("group is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n"))
+    kept = stored(linked.union(wordless), "near-kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n")
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64("text") == F.col("hash")))
+    # of equal rows of one document, any: only documents that have some are grouped
+    once = found.where("n = 1").select(*COLUMNS)
+    return once.unionByName(found.where("n > 1").dropDuplicates(["doc_id", "hash"]).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and whether they decode to the text."""
     columns = {"ids": ("array<int>", bpe.Coded.lists), "decoded": ("string", bpe.Coded.texts)}
-    coded = bpe.transcode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), columns)
+    coded = bpe.transcode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), columns, batch_bytes=1 << 20)
     exact = F.coalesce("text", F.lit("")) == F.col("decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 
