@@ -216,18 +216,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id: str = "vec_id"
     scored exactly; a score that 64 bits cannot hold stops the run.
 
     The queries are sent to the blocks of the index, not the index to the queries: a task reads a block, then all queries as a stream, so its memory is
-    one block and a batch of queries. Blocks are made smaller than ``block_rows`` where there are fewer than two for each core. Each block returns at
+    one block and a batch of queries. Blocks are made smaller than ``block_rows`` where there would be fewer than cores. Each block returns at
     most ``k`` rows a query, from which the final list is ranked.
     """
     known = vectors.where(F.col(id).isNotNull() & usable(vector))
     asked = queries.where(F.col(id).isNotNull() & usable(vector)).groupBy(F.col(id).cast("long").alias("query_id")).agg(F.min(vector).alias("query"))
-    spread = math.ceil(known.count() / (2 * known.sparkSession.sparkContext.defaultParallelism))
+    spread = math.ceil(known.count() / known.sparkSession.sparkContext.defaultParallelism)
     blocks = stored(index(known, id, vector, min(block_rows, max(spread, 64))), "topk-index")
     parts = blocks.agg(F.max("part")).first()[0]
     columns = ["part", *_BLOCK.names, "query_id", "query"]
     to_all = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts or 0))))
     rows = blocks.unionByName(to_all, allowMissingColumns=True).select(*columns)
-    dealt = rows.repartition((parts or 0) + 1, "part").sortWithinPartitions("part", F.col("dims").isNull())
+    dealt = rows.repartitionByRange((parts or 0) + 1, "part").sortWithinPartitions("part", F.col("dims").isNull())
     best = dealt.mapInArrow(_answered(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
