@@ -131,9 +131,10 @@ def test_bitmaps_never_exceed_the_difference():
         other = [w if rng.random() > 0.05 else f"v{rng.randrange(10**6)}" for w in words] + ["z"] * rng.randrange(n)
         data, offsets = column_bytes(pa.array([" ".join(words), " ".join(other)]))
         grams, ends = ngram_join.gram_sets(data, offsets, 3)
-        maps = ngram_join._bitmaps(grams, ends).to_pylist()
         a, b = set(grams[: ends[1]].tolist()), set(grams[ends[1] :].tolist())
-        assert ngram_join.folded(*maps) <= len(a ^ b)
+        for share in (0.5, 2):
+            maps = ngram_join._bitmaps(grams, ends, share)
+            assert ngram_join.differing(maps.slice(0, 1), maps.slice(1, 1))[0] <= len(a ^ b)
 
 
 def edit_distance(item, text):
