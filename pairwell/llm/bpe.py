@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.pretokens import by_bytes, column_bytes, pretoken_starts
+from pairwell.llm.pretokens import by_bytes, column_bytes, giving_back, pretoken_starts
 
 NO_RANK = np.int32(2**31 - 1)
 
@@ -174,7 +174,7 @@ def transcode(docs: DataFrame, path: str, columns: dict[str, tuple[str, Callable
                 made = [f(coded) for _, f in columns.values()]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], *[x if isinstance(x, pa.Array) else pa.array(x) for x in made]], [*kept, *columns])
 
-    return docs.select(*inputs).mapInArrow(run, schema)
+    return docs.select(*inputs).mapInArrow(giving_back(run), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

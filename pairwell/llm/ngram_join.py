@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.llm.lattice import _trimmed, words_of
-from pairwell.llm.pretokens import by_bytes, column_bytes
+from pairwell.llm.pretokens import by_bytes, column_bytes, giving_back
 from pairwell.session import discard_stored, free_shuffles, stored
 
 #: A list of keys of at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
@@ -103,10 +103,9 @@ def sketches(docs: DataFrame, id: str, text: str, size: int, percent: int, batch
                 digests = [pa.array(_sums(_mixed(grams ^ np.uint64(k)), ends)) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 cells = [pa.array(n), *digests, _lists(window, np.concatenate([[0], np.cumsum(short)])), _bitmaps(grams, ends, 0.5), _bitmaps(grams, ends, 2)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 2)], *cells], ["id", "text_hash", "n", "d1", "d2", "window", "bitmap", "wide"])
-        pa.default_memory_pool().release_unused()  # the worker stays while later stages need the memory
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary, wide binary")
+    return rows.mapInArrow(giving_back(run), f"id {kind}, text_hash long, n long, d1 long, d2 long, window array<bigint>, bitmap binary, wide binary")
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

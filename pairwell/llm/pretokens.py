@@ -7,7 +7,8 @@ the edges of white space and the apostrophes need a second look. No loop runs ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -108,6 +109,19 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[:1]
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker returns to the system what it has freed: it stays, idle, while later stages need the executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def by_bytes(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes together, or of one longer row; ``offsets`` as of :func:`column_bytes`."""
     rows, at = len(offsets) - 1, 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.pretokens import by_bytes, column_bytes
+from pairwell.llm.pretokens import by_bytes, column_bytes, giving_back
 
 SIZES = (3, 4, 5)
 MIX = np.uint32(0x9E3779B1)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
             found = [scores(small, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in by_bytes(offsets, batch_bytes)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(found) if found else np.zeros(0))], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(giving_back(run), schema)
 
 
 def held_out(id: Column) -> Column:
