@@ -6,7 +6,7 @@ document and of an item, and the sampled steps of a walk are its key. Repetition
 signs, and an edited copy keeps a share of their keys, all of them near one diagonal (place in the text minus place in the item). So equal keys are
 counted for each item and narrow band of diagonals, which is one item-sized window of the text, and a window with enough of them is a candidate.
 
-How many are enough is not chosen but found: for each length, copies of items with edits at the full rate are planted in other text and searched the
+How many are enough is not chosen but found: for each length, copies of all items with edits at the full rate are planted in other text and searched the
 same way, and the limit is what the target recall of them reaches. It grows with the length, while chance does not, so long items need few candidates.
 Candidates pass a second count of the same kind, over shorter walks in their window, with a limit found alike. An exact edit distance decides.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,8 +33,10 @@ WALKS = ((80, 18, 12, 32), (40, 14, 10, 24), (16, 10, 8, 16))
 SHORT = WALKS[-1][0]
 #: Edited copies that pass each of the two counts when the limits are found; 0.9 of all copies are to be found.
 PASSING = 0.97
-#: Items of about one length (a tenth more or less), and edited copies of each, from which the limits are found.
-TRIED_ITEMS, TRIED_COPIES = 24, 16
+#: Edited copies from which the limits are found, at least: of each item, and of all items of about one length (a tenth more or less).
+ITEM_COPIES, LENGTH_COPIES = 16, 384
+#: Copies of an item that are tried at once, and how many such turns one task takes.
+TURN_COPIES, TASK_TURNS = 8, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _LOWER[[*range(0x09, 0x0E)]] = 0x20
@@ -177,45 +180,88 @@ def edited(rng: random.Random, text: bytes, edits: int) -> bytes:
     return bytes(out)
 
 
-def _limits(texts: list[bytes], which: list[int], kind: Class, rate: float) -> None:
-    """Set the limits of both counts for every item of a class: what PASSING of the edited copies of items of its length reach."""
-    lengths: dict[int, list[int]] = {}
-    for k in which:
-        lengths.setdefault(round(math.log(len(texts[k])) / math.log(1.1)), []).append(k)
-    rng = random.Random(17)
-    for alike in lengths.values():
-        first, second = [], []
-        for k in rng.sample(alike, min(len(alike), TRIED_ITEMS)):
-            text, most = texts[k], int(rate * len(texts[k]))
-            alone = _tabled(texts, [k], kind.steps, kind.second, kind.band)
-            for _ in range(TRIED_COPIES if len(alike) >= TRIED_ITEMS else TRIED_COPIES * TRIED_ITEMS // len(alike)):
-                copy = edited(rng, text, most)
-                before, after = (rng.choice(texts)[:60] for _ in range(2))
-                data = np.frombuffer(before + b" " + copy + b" " + after + bytes(PAD), np.uint8)
-                at = places(data[: len(data) - PAD])
-                _, _, counts = _bands(alone, walk_keys(data, at, {kind.steps})[kind.steps], at)
-                first.append(int(counts.max(initial=0)))
-                second.append(_second_count(alone.seconds[k], np.frombuffer(copy, np.uint8), kind.second))
-        for k in alike:
-            kind.least[k] = max(1, int(np.quantile(first, 1 - PASSING, method="lower")))
-            kind.least_second[k] = int(np.quantile(second, 1 - PASSING, method="lower"))
-
-
-def prepared(rows: list[tuple], rate: float = 0.2) -> Items:
-    """The keys and limits of all items: (id, text) each."""
-    ids, texts = [], []
-    for i, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        flat, _, _ = normal(raw, np.array([len(raw)]))
-        ids.append(i)
-        texts.append(flat.tobytes().strip())
+def length_class(size: int) -> int:
+    """One number for the class of walks and the length, to about a tenth, of an item of ``size`` bytes; -1 below the last class."""
+    kind = next((i for i, (least, *_) in enumerate(WALKS) if size >= least), None)
+    return -1 if kind is None else kind << 16 | round(math.log(size) / math.log(1.1))
+
+
+def _turns(many: int) -> int:
+    """How often the edited copies of each of so many items of one length are tried."""
+    return -(-max(ITEM_COPIES, -(-LENGTH_COPIES // many)) // TURN_COPIES)
+
+
+def _tried(text: bytes, turn: int, rate: float) -> Iterator[tuple[int, int, int]]:
+    """(length class, 0 or 1, count) of both counts of edited copies of an item, planted in other text; they follow from the item and the turn alone."""
+    size, rng = length_class(len(text)), random.Random(b"%d " % turn + text)
+    _, steps, second, band = WALKS[size >> 16]
+    alone = _tabled([text], [0], steps, second, band)
+    for _ in range(TURN_COPIES):
+        copy = edited(rng, text, int(rate * len(text)))
+        before, after = (bytes(rng.choices(text, k=60)) for _ in range(2))
+        data = np.frombuffer(before + b" " + copy + b" " + after + bytes(PAD), np.uint8)
+        at = places(data[: len(data) - PAD])
+        _, _, counts = _bands(alone, walk_keys(data, at, {steps})[steps], at)
+        yield size, 0, int(counts.max(initial=0))
+        yield size, 1, _second_count(alone.seconds[0], np.frombuffer(copy, np.uint8), second)
+
+
+def _reached(tallies: dict[tuple[int, int, int], int]) -> dict[int, tuple[int, int]]:
+    """Length class -> the limits of both counts, which PASSING of the copies reach; ``tallies`` says how many copies have each count."""
+    by_count: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for (size, number, value), times in tallies.items():
+        by_count.setdefault((size, number), []).append((value, times))
+    found = {}
+    for key, pairs in by_count.items():
+        values, times = zip(*sorted(pairs), strict=True)
+        found[key] = values[int(np.searchsorted(np.cumsum(times), int((1 - PASSING) * (sum(times) - 1)), "right"))]
+    return {size: (max(1, found[size, 0]), found[size, 1]) for size, number in found if not number}
+
+
+def limits(known: DataFrame, rate: float = 0.2) -> dict[int, tuple[int, int]]:
+    """Length class -> the limits of both counts for the items in column ``text``. Tasks try copies of every item; the driver gets how often each count came."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_flat(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([length_class(len(t)) for t in texts], pa.int32())], ["text", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, turn in zip(batch.column("text").to_pylist(), batch.column("turn").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*_tried(text, turn, rate), strict=True)], ["size", "number", "value"])
+
+    items = known.select("text").mapInArrow(flat, "text binary, size int").where("size >= 0")
+    many = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
+    if not many:
+        return {}
+    turns = F.create_map(*[F.lit(x) for size, n in many.items() for x in (size, _turns(n))])
+    dealt = items.select("text", F.explode(F.sequence(F.lit(1), turns[F.col("size")])).alias("turn"))
+    tasks = math.ceil(sum(n * _turns(n) for n in many.values()) / TASK_TURNS)
+    tried = dealt.repartition(tasks, "text", "turn").mapInArrow(giving_back(run), "size int, number int, value int")
+    return _reached({(r["size"], r["number"], r["value"]): r["count"] for r in tried.groupBy("size", "number", "value").count().collect()})
+
+
+def _flat(text: str | None) -> bytes:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return normal(raw, np.array([len(raw)]))[0].tobytes().strip()
+
+
+def prepared(rows: list[tuple], rate: float = 0.2, reached: dict[int, tuple[int, int]] | None = None) -> Items:
+    """The keys and limits of all items: (id, text) each. ``reached`` holds the limits of their lengths; else they are found here, from these items."""
+    ids, texts = [i for i, _ in rows], [_flat(text) for _, text in rows]
+    sizes = [length_class(len(text)) for text in texts]
+    if reached is None:
+        many = Counter(sizes)
+        reached = _reached(Counter(x for text, size in zip(texts, sizes, strict=True) if size >= 0 for turn in range(1, _turns(many[size]) + 1) for x in _tried(text, turn, rate)))
     classes, longest = [], math.inf
     for least, steps, second, band in WALKS:
         which = [k for k, text in enumerate(texts) if least <= len(text) < longest]
         longest = least
         if which:
             classes.append(_tabled(texts, which, steps, second, band))
-            _limits(texts, which, classes[-1], rate)
+            for k in which:
+                classes[-1].least[k], classes[-1].least_second[k] = reached[sizes[k]]
     short: dict[bytes, list[int]] = {}
     for k, text in enumerate(texts):
         if 0 < len(text) < SHORT:
@@ -307,17 +353,18 @@ def find(
     through; one that is called ``out`` is replaced. Texts are searched whole, and from every sign, whether a word begins there or not.
 
     The items' keys are broadcast: at most 20 bytes for each of ``item_bytes`` bytes of items, which are summed first. More of them are searched in
-    several passes over ``docs``.
+    several passes over ``docs``. The limits come from all items, whatever the passes.
     """
     known = benchmark.where(F.col(id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(id).alias("item"), F.col(item_text).alias("text"))
     total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, math.ceil(total / item_bytes))
+    reached = limits(known, rate)
     kept = [c for c in docs.columns if c != out]
     kind = benchmark.schema[id].dataType.simpleString()
     result = docs.select(*kept).withColumn(out, F.array().cast(f"array<struct<item:{kind},distance:int>>"))
     for number in range(passes):
         rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).orderBy("item", "text").collect()
-        items = prepared([(r["item"], r["text"]) for r in rows], rate)
+        items = prepared([(r["item"], r["text"]) for r in rows], rate, reached)
         result = _marked(result, items, kept, text, out, rate, batch_bytes)
     return result
 

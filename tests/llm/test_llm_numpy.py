@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -182,6 +183,20 @@ def test_leaks_are_found_at_every_edit_rate(size):
         assert recall(items, [host(x, rate) for _, x in items])[0] >= least, rate
 
 
+def test_limits_come_from_all_items(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, f"{i:02d} {prose(rng, 120)[:97].strip()}") for i in range(60)]
+    true, tried = leaks.edited, Counter()
+
+    def edited(rng, text, edits):
+        tried[text] += 1
+        return true(rng, text, edits)
+
+    monkeypatch.setattr(leaks, "edited", edited)
+    ready = leaks.prepared(items)
+    assert set(tried) == set(ready.texts) and min(tried.values()) >= 16 and tried.total() >= 384
+
+
 def test_leaks_in_unspaced_text_and_glued_to_signs():
     rng = random.Random(2)
     signs = [chr(0x4E00 + i) for i in range(400)]

@@ -302,6 +302,20 @@ def test_leaks_are_those_of_all_distances(spark):
     assert len(true) >= 25 and set(got) <= set(true) and all(true[k] <= n for k, n in got.items()) and len(got) >= 0.9 * len(true)
 
 
+def test_limits_of_leaks_are_the_same_in_tasks_and_passes(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 30)))) for i in range(60)] + [(60, "short"), (61, "")]
+    known = spark.createDataFrame([(t,) for _, t in items], "text string")
+    found = leaks.limits(known.repartition(5))
+    assert found == leaks.limits(known.coalesce(1)) and leaks.limits(known.where("false")) == {}
+    ready = leaks.prepared(items)
+    for c in ready.classes:
+        for k in [k for k, s in enumerate(c.seconds) if s is not None]:
+            assert (c.least[k], c.least_second[k]) == found[leaks.length_class(len(ready.texts[k]))]
+    half = leaks.prepared(items[::2], reached=found)
+    assert {(t, int(c.least[k])) for c in half.classes for k, t in enumerate(half.texts) if c.seconds[k] is not None} <= {(t, int(c.least[k])) for c in ready.classes for k, t in enumerate(ready.texts) if c.seconds[k] is not None}
+
+
 def test_warc_round_trip_and_lookup(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv", None), (4, "http://b", ""), (5, "http://c", "é" * 3000), (5, "http://c", "é" * 3000), (None, "http://n", "<p>x</p>"), (7, "http://d", "z" * 200_000)]
     pages = spark.createDataFrame([(*r, "s", 0) for r in rows], "page_id long, url string, html string, sha1 string, frame int").repartition(3)
