@@ -1,8 +1,11 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
 A text is the average of learned vectors of its features: each word, each pair of words in a row, and each run of 3 to 5 bytes inside a word with its
-edges, hashed to a row of one table. A softmax layer gives the class. Training sees a bounded sample of labelled texts, whole ones. Since the layer is linear in the average, scoring
-needs one number per row of the table: the difference of the two classes' logits, looked up for every feature of every whole text and averaged.
+edges, hashed to a row of one table. A softmax layer gives the class. Since the layer is linear in the average, scoring needs one number per row of the
+table: the difference of the two classes' logits, looked up for every feature of every whole text and averaged.
+
+Training sees all labelled texts, whole ones. They are dealt to parts of bounded size, a task learns a model from each, and the average of their tables
+and biases is the model whose logit is the average of theirs.
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.llm.pretokens import by_bytes, column_bytes, giving_back
+from pairwell.session import discard_stored, stored
 
 SIZES = (3, 4, 5)
 MIX = np.uint32(0x9E3779B1)
 REPEAT = np.uint32(0x2545F491)
+#: Bytes of the texts of either class that one task learns from, about, and numbers of a model that are added up at once.
+PART_BYTES, BLOCK = 16 << 20, 1024
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -29,8 +35,8 @@ class Model(NamedTuple):
     table: np.ndarray  # one number per hashed feature: logit of label 1 less that of label 0
     bias: float
     bits: int
-    vectors: np.ndarray
-    weights: np.ndarray
+    vectors: np.ndarray | None  # of one model, not of an average
+    weights: np.ndarray | None
 
 
 def features(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +133,7 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int, max_bytes: int, id: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[str, int]]:
-    """At most ``bound`` labelled texts of either class, those whose ids hash lowest, so every document has the same chance.
+    """At most ``bound`` labelled texts of either class, those whose ids hash lowest, so every document has the same chance; :func:`fitted` takes all instead.
 
     A text of over ``max_bytes`` is no example (it is scored like any other), so the sample has at most ``2 * bound * max_bytes`` bytes.
     An id may be a number or a text. Rows without id or label do not count; of labels that disagree on an id the lowest counts; repeated documents count once.
@@ -170,7 +176,56 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, bound: int = 1000, max_bytes: int = 1 << 16, label: str = "quality") -> Model:
-    """The model learned from at most ``bound`` labelled documents of either class that are not held out."""
-    rows = labelled(docs, labels.where(~held_out(F.col("doc_id"))), bound, max_bytes, label=label)
-    return train([t for t, _ in rows], [k for _, k in rows])
+def examples(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(id, label, text) of every labelled document, whole. Which rows count is as in :func:`labelled`."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("label"))
+    texts = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return known.join(texts, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def dealt(rows: DataFrame, bound: int, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """(``rows`` of :func:`examples` with a column ``part``, the number of parts): each has about ``bound`` texts and at most about ``part_bytes`` of either class.
+
+    The larger class is cut into as many pieces as there are parts. The other one has fewer pieces, and each goes to several parts, so that all parts
+    have the same share of it: every example is in some part, and one of few is in many.
+    """
+    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    cuts = {r["label"]: max(1, -(-r["n"] // bound), -(-r["bytes"] // part_bytes)) for r in found}
+    parts = max(cuts.values(), default=0)
+    pieces = F.when(F.col("label") == 0, F.lit(cuts.get(0, 1))).otherwise(F.lit(cuts.get(1, 1))).cast("long")
+    places = F.sequence(F.pmod(F.xxhash64("id"), pieces), F.lit(parts - 1).cast("long"), pieces)
+    return rows.select("*", F.explode(places).alias("part")) if parts else rows.withColumn("part", F.lit(0).cast("long")), parts
+
+
+def average(rows: DataFrame, parts: int) -> Model:
+    """The average of the models that tasks learn from each part of ``rows`` (id, label, text, part): its logit is the average of theirs.
+
+    A model goes to the shuffle in blocks, which are added up one by one; the driver gets the average alone.
+    """
+
+    def learn(rows: pa.Table) -> pa.Table:
+        ids, texts, labels = (rows.column(c).to_pylist() for c in ("id", "text", "label"))
+        order = sorted(range(len(ids)), key=lambda i: (hash_order(ids[i]), ids[i]))
+        model = train([texts[i] for i in order], [labels[i] for i in order])
+        blocks = [model.table[at : at + BLOCK].astype("<f4").tobytes() for at in range(0, len(model.table), BLOCK)]
+        n = len(blocks)
+        return pa.table({"block": pa.array(range(n), pa.int32()), "part": rows.column("part").combine_chunks().take([0] * n), "bias": [model.bias] * n, "numbers": pa.array(blocks, pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")  # sums do not depend on the order of arrival
+        total = sum(np.frombuffer(x.as_py(), "<f4").astype("<f8") for x in rows.column("numbers"))
+        return pa.table({"block": rows.column("block").slice(0, 1), "n": pa.array([len(rows)], pa.int64()), "bias": [sum(rows.column("bias").to_pylist())], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+    learned = rows.repartition(parts, "part").groupBy("part").applyInArrow(learn, "block int, part long, bias double, numbers binary")
+    blocks = learned.groupBy("block").applyInArrow(add, "block int, n long, bias double, numbers binary").orderBy("block").collect()
+    table = np.concatenate([np.frombuffer(r["numbers"], "<f8") / r["n"] for r in blocks]).astype(np.float32)
+    return Model(table, blocks[0]["bias"] / blocks[0]["n"], len(table).bit_length() - 1, None, None)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, bound: int = 1000, part_bytes: int = PART_BYTES, label: str = "quality") -> Model:
+    """The model learned from all labelled documents that are not held out, whole ones: the average over parts of about ``bound`` documents of either class."""
+    kept = stored(examples(docs, labels.where(~held_out(F.col("doc_id"))), label=label), "quality-examples")
+    rows, parts = dealt(kept, bound, part_bytes)
+    model = average(rows, parts) if parts else train([], [])
+    discard_stored(kept)
+    return model

@@ -242,6 +242,28 @@ def test_quality(spark, odd, none):
     assert len(quality.labelled(odd, labels, 3, 1 << 16)) <= 6
 
 
+def test_quality_learns_from_all_labelled(spark):
+    # 40 texts of one class and 12 of the other, one of over 64 KB: dealt to parts of ten of either, the model is the average of theirs.
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{'good' if i < 40 else 'bad'}{rng.randrange(30)}" for _ in range(20)), int(i < 40)) for i in range(52)]
+    rows[7] = (7, rows[7][1] + " longest" * 10000, 1)
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, quality int").select("doc_id", "text").repartition(4)
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, quality int")
+    learned = {r["doc_id"] for r in labels.where(~quality.held_out(F.col("doc_id"))).collect()}
+    kept, parts = quality.dealt(quality.examples(docs, labels.where(~quality.held_out(F.col("doc_id")))), 10)
+    groups = {}
+    for r in kept.collect():
+        groups.setdefault(r["part"], []).append((quality.hash_order(r["id"]), r["id"], r["text"], r["label"]))
+    assert parts == -(-sum(i < 40 for i in learned) // 10) > 1 and {x[1] for g in groups.values() for x in g} == learned
+    assert sum(len(g) for g in groups.values()) >= len(learned)
+    each = [quality.train([x[2] for x in sorted(g)], [x[3] for x in sorted(g)]) for g in groups.values()]
+    model = quality.fitted(docs, labels, bound=10)
+    assert np.allclose(model.table, np.mean([m.table for m in each], axis=0), atol=1e-5) and model.bias == pytest.approx(np.mean([m.bias for m in each]))
+    whole = quality.fitted(docs, labels)
+    alone = quality.train(*zip(*[(t, k) for i, t, k in sorted(rows, key=lambda r: quality.hash_order(r[0])) if i in learned]))
+    assert np.allclose(whole.table, alone.table, atol=1e-6) and whole.bias == pytest.approx(alone.bias)
+
+
 def test_quality_of_text_ids(spark, odd):
     docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
