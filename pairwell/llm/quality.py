@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.llm.pretokens import by_bytes, column_bytes, giving_back
-from pairwell.session import discard_stored, stored
+from pairwell.session import discard_stored, shuffles_freed, stored
 
 SIZES = (3, 4, 5)
 MIX = np.uint32(0x9E3779B1)
@@ -224,8 +224,10 @@ def average(rows: DataFrame, parts: int) -> Model:
 
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = 1000, part_bytes: int = PART_BYTES, label: str = "quality") -> Model:
     """The model learned from all labelled documents that are not held out, whole ones: the average over parts of about ``bound`` documents of either class."""
-    kept = stored(examples(docs, labels.where(~held_out(F.col("doc_id"))), label=label), "quality-examples")
-    rows, parts = dealt(kept, bound, part_bytes)
-    model = average(rows, parts) if parts else train([], [])
-    discard_stored(kept)
+    # The join moves the texts of all documents, learning those of the labelled ones again: the files of one go before the other begins.
+    with shuffles_freed(docs.sparkSession):
+        kept = stored(examples(docs, labels.where(~held_out(F.col("doc_id"))), label=label), "quality-examples")
+        rows, parts = dealt(kept, bound, part_bytes)
+        model = average(rows, parts) if parts else train([], [])
+        discard_stored(kept)
     return model

@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What of the repository workers may need.
 SHIPPED = ("pairwell", "suite", "corpus_pipeline.py")
 
@@ -80,6 +83,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within remove their shuffle files at once, whatever the driver holds. For frames that are read once only: a second read computes them anew."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 def ship(spark: SparkSession, root: str) -> None:
     """Send the Python sources below ``root`` to the workers, once for each application, unless they find them there."""
     context = spark.sparkContext

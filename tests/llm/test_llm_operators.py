@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from check import compare, connect
 from pairwell.llm import bpe, lattice, leaks, ngram_join, quality, queries, shards, token_counts, topk, url_lists, warc
+from pairwell.session import CLEANUP_KEY, shuffles_freed
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -264,6 +267,38 @@ def test_quality_learns_from_all_labelled(spark):
     assert np.allclose(whole.table, alone.table, atol=1e-6) and whole.bias == pytest.approx(alone.bias)
 
 
+def test_quality_learns_without_the_shuffle_files_of_the_join(spark, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(f.getPath()) for f in manager.localDirs()]
+
+    def left():
+        end = time.monotonic() + 20  # executors are told to remove files, nobody waits for it
+        while (new := {f for folder in folders for f in folder.glob("*/shuffle_*.data")} - before) and time.monotonic() < end:
+            time.sleep(0.1)
+        return new
+
+    def average(rows, parts):
+        seen.append(left())
+        return learn(rows, parts)
+
+    learn, seen = quality.average, []
+    before = {f for folder in folders for f in folder.glob("*/shuffle_*.data")}
+    monkeypatch.setattr(quality, "average", average)
+    docs = spark.createDataFrame([(i, f"word{i} of text") for i in range(60)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int")
+    quality.fitted(docs, labels)
+    assert seen == [set()] and left() == set()
+    assert spark.conf.get(CLEANUP_KEY, None) is None
+    spark.conf.set(CLEANUP_KEY, "false")
+    try:
+        with pytest.raises(ValueError), shuffles_freed(spark):
+            assert spark.conf.get(CLEANUP_KEY) == "true"
+            raise ValueError
+        assert spark.conf.get(CLEANUP_KEY) == "false"
+    finally:
+        spark.conf.unset(CLEANUP_KEY)
+
+
 def test_quality_of_text_ids(spark, odd):
     docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
